@@ -60,8 +60,7 @@ def pagerank(graph: DataFrame, nodes: DataFrame | None = None, *, damping: float
 
     Stops after ``iterations`` rounds or when the ranks move by less than
     ``files * tolerance`` in all (0: never).  Each round joins the edges with
-    the ranks on the importing file and adds up by imported file; partial sums
-    before the shuffle keep hubs from weighing on one task.  Lineage is cut in
+    the ranks on the importing file and adds up by imported file; partial sums before it keep hubs from weighing on one task.  Lineage is cut in
     the shared folder each round, in the same job that measures the change.
     """
     ensure_checkpoint_dir(graph.sparkSession)
