@@ -16,7 +16,10 @@ def canonical_path(path: Column) -> Column:
     p = F.translate(F.trim(path), "\\", "/")
     p = F.regexp_replace(p, "/+", "/")
     p = F.regexp_replace(p, r"(?:/\.)+(?=/|$)", "")
-    return F.regexp_replace(p, r"^(?:\./)+", "")
+    p = F.regexp_replace(p, r"^(?:\./)+", "")
+    # Nearly all paths are spelled that way already: plain searches tell, and spare them the patterns.
+    odd = [F.contains(path, F.lit(x)) for x in ("\\", "./", "//")] + [F.endswith(path, F.lit("/.")), F.trim(path) != path]
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], p).otherwise(path)
 
 
 def content_hash(text: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from skein.functions.paths import canonical_path
 from skein.sources.tables import ensure_checkpoint_dir
 
 HUB_DEGREE = 3
+#: Graphs of at most this many edges and files are ranked in one task; larger ones round by round.
+LOCAL_EDGES = 1_000_000
 
 
 def import_graph(edges: DataFrame) -> DataFrame:
@@ -55,15 +62,46 @@ def connected(graph: DataFrame, path: str) -> DataFrame:
     return out.unionByName(graph.where(F.col("dst") == path).select(F.col("src").alias("path"))).distinct().where(F.col("path") != path)
 
 
-def pagerank(graph: DataFrame, nodes: DataFrame | None = None, *, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def _local_pagerank(damping: float, iterations: int, tolerance: float):
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), schema=pa.schema([("src", pa.string()), ("dst", pa.string())]))
+        src, dst = t["src"].to_pandas(), t["dst"].to_pandas()
+        code, names = pd.factorize(pd.concat([src, dst], ignore_index=True))
+        a, b = code[: len(src)], code[len(src) :]
+        a, b = a[b >= 0], b[b >= 0]
+        n = len(names)
+        if not n:
+            return
+        out = np.bincount(a, minlength=n)
+        share = 1.0 / np.maximum(out, 1)
+        ranks = np.full(n, 1.0 / n)
+        for _ in range(iterations):
+            got = np.bincount(b, (ranks * share)[a], n)
+            moved = (1 - damping) / n + damping * (ranks[out == 0].sum() / n + got)
+            delta, ranks = np.abs(moved - ranks).sum(), moved
+            if delta < n * tolerance:
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ranks)], names=["path", "rank"])
+
+    return rank
+
+
+def pagerank(graph: DataFrame, nodes: DataFrame | None = None, *, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(path, rank)``; ranks add up to 1 and files that import nothing pass theirs to all.
 
-    Stops after ``iterations`` rounds or when the ranks move by less than
+    A graph of at most ``local_edges`` edges and files (they are counted) is
+    ranked in one task; any larger one round by round over all of them.  Stops after ``iterations`` rounds or when the ranks move by less than
     ``files * tolerance`` in all (0: never).  Each round joins the edges with
     the ranks on the importing file and adds up by imported file; partial sums before it keep hubs from weighing on one task.  Lineage is cut in
     the shared folder each round, in the same job that measures the change.
     """
     ensure_checkpoint_dir(graph.sparkSession)
+    graph = graph.checkpoint()
+    ends = graph.select("src", "dst")
+    if nodes is not None:
+        ends = ends.unionByName(nodes.select(canonical_path(F.col("path")).alias("src"), F.lit(None).cast("string").alias("dst")).dropna(subset=["src"]).distinct())
+    if ends.count() <= local_edges:
+        return ends.repartition(1).mapInArrow(_local_pagerank(damping, iterations, tolerance), "path string, rank double")
     degree = degrees(graph, nodes).select("path", "out_degree").checkpoint()
     n = degree.count()
     if not n:

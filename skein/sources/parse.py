@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skein.sources.languages import language_of
+from skein.sources.tables import spread
 
 SCHEMA = (
     "file_path string, sym_ord int, name string, type string, line_start int, line_end int, signature string, docstring string, "
@@ -283,8 +284,8 @@ def parse_content(path: str, content: str, max_lines: int = MAX_LINES) -> list[d
 def parse_files(files: DataFrame, *, max_lines: int = MAX_LINES) -> DataFrame:
     """The symbols of ``files(file_path, content)``; of repeated paths the rows are repeated.
 
-    Rows without path or content give none.  One pass over Arrow batches, no
-    shuffle: parsing scales with the number of input splits.
+    Rows without path or content give none.  One pass over Arrow batches; a scan
+    with fewer splits than cores is spread over them first.
     """
     specs = dict(SPECS)
     kinds = pa.schema(
@@ -305,4 +306,5 @@ def parse_files(files: DataFrame, *, max_lines: int = MAX_LINES) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return files.where("file_path is not null and content is not null").select("file_path", "content").mapInArrow(scan, SCHEMA)
+    rows = files.where("file_path is not null and content is not null").select("file_path", "content")
+    return spread(rows).mapInArrow(scan, SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def tasks_for(rows: int, rows_per_task: int, least: int = 1) -> int:
     """Partitions so that none holds more than about ``rows_per_task`` rows."""
     return max(least, -(-rows // rows_per_task))
+
+
+#: Plan nodes that run no shuffle, so that counting partitions starts no job.
+_NARROW = {"Project", "Filter", "Relation", "LogicalRelation", "LogicalRDD", "LocalRelation", "RelationV2"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, if a scan has fewer splits than there are cores.
+
+    For steps in Python that cost far more than moving a row.  Large inputs
+    have more splits than cores and stay as they are; so does everything that
+    is more than a scan.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+|-]*(\w+)", line))}
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if nodes <= _NARROW and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
