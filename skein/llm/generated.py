@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.repair import Grammar
+from skein.sources.tables import spread
 
 SIGNALS_SCHEMA = (
     "file_path string, n_tokens long, grammar_ratio double, literal_share double, literal_chars long, short_names double, "
@@ -192,7 +193,7 @@ def signals(files: DataFrame, catalog: DataFrame) -> DataFrame:
         if paths:
             yield out()
 
-    return files.where("file_path is not null").select("file_path", "content").mapInArrow(measure, SIGNALS_SCHEMA)
+    return spread(files.where("file_path is not null").select("file_path", "content")).mapInArrow(measure, SIGNALS_SCHEMA)
 
 
 def verdicts(found: DataFrame) -> DataFrame:

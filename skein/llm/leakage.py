@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.tables import spread
+
 LEAKS_SCHEMA = "doc_id long, item_id long, n_words int, n_replaced int, n_slots int, reparameterised boolean"
 
 #: Words in a row that make a leak, and one replaced word in so many.
@@ -175,6 +177,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text:
         blocks[-1].append((int(row[0]), row[1]))
         size += len(row[1])
     rows = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(rows)
     found = [rows.mapInArrow(_searcher(block), LEAKS_SCHEMA) for block in blocks]
     if not found:
         return documents.sparkSession.createDataFrame([], LEAKS_SCHEMA)

@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.tables import spread
+
 #: Containers open at once, for each capacity.
 OPEN_BINS = 256
 #: A container with at most this share of its room left is never packed again.
@@ -52,7 +54,7 @@ def token_counts(documents: DataFrame, *, doc: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = documents.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, SIZES_SCHEMA)
+    return spread(rows).mapInArrow(count, SIZES_SCHEMA)
 
 
 class Packer:

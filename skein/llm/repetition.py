@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.tables import spread
+
 #: A run of RUN words that already began earlier is repeated; this share of all words makes a case.
 RUN, SHARE = 5, 0.4
 #: Rows that the classifier is fitted on, at most.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 #: Calibrated probability from which a document is checked exactly.
 CANDIDATE = 0.05
 WORD_ORDERS, CHAR_ORDERS = (1, 2, 3, RUN), (8, 24)
@@ -189,7 +191,7 @@ def _batches(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Itera
 
 
 def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
-    return documents.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    return spread(documents.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
 
 
 def repetitive(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
