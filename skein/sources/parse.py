@@ -235,7 +235,8 @@ def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> lis
         for m in pattern.finditer(plain):
             group = pattern.groups
             name = m.group(group)
-            if name in _NOT_NAMES or not name:
+            # Only forms without a keyword can be mistaken for a statement.
+            if not name or (name in _NOT_NAMES and kind in ("method", "function") and (spec.typed or spec.bare)):
                 continue
             first = bisect_right(starts, m.start(group)) - 1
             if (first, name) in found:
