@@ -26,7 +26,7 @@ SCHEMA = (
 )
 MAX_LINES, MAX_CALLS, SIGNATURE, DOC_LINES = 500, 50, 100, 3
 ENUM_BASES = frozenset({"Enum", "IntEnum", "StrEnum", "Flag", "IntFlag"})
-_ID = r"[A-Za-z_$][\w$]*"
+_ID = r"[A-Za-z_$][\w$]*+"
 
 
 @dataclass(frozen=True)
@@ -155,21 +155,21 @@ def parse_python(text: str) -> list[dict]:
 
 
 def _rules(spec: LanguageSpec) -> list[tuple[str, re.Pattern]]:
-    mods = rf"(?:(?:{'|'.join(map(re.escape, spec.modifiers))})(?:\([^)]*\))?\s+)*" if spec.modifiers else ""
-    args = r"\((?:[^()]|\([^()]*\))*\)"
-    rules = [(kind, re.compile(rf"^[ \t]*{mods}{re.escape(word)}(?:<[^>\n]*>)?\s+(?:class\s+)?(?:[\w<>]+\s+for\s+)?({_ID})", re.M)) for word, kind in spec.kinds.items()]
+    mods = rf"(?:(?:{'|'.join(map(re.escape, spec.modifiers))})(?:\([^)]*\))?\s++)*+" if spec.modifiers else ""
+    args = r"\((?:[^()]++|\([^()]*+\))*+\)"
+    rules = [(kind, re.compile(rf"^[ \t]*+{mods}{re.escape(word)}(?:<[^>\n]*>)?\s+(?:class\s+)?(?:[\w<>]+\s+for\s+)?({_ID})", re.M)) for word, kind in spec.kinds.items()]
     if spec.name == "go":
         rules += [("method", re.compile(rf"^func\s+\(\s*(?:\w+\s+)?\*?(?P<owner>\w+)[^)]*\)\s*({_ID})", re.M))]
         rules += [(kind, re.compile(rf"^type\s+({_ID})(?:\[[^\]]*\])?\s+{word}", re.M)) for word, kind in (("struct\\b", "struct"), ("interface\\b", "interface"), ("(?!struct\\b|interface\\b)", "type_alias"))]
         rules += [("const", re.compile(rf"^const\s+({_ID})", re.M)), ("variable", re.compile(rf"^var\s+({_ID})", re.M))]
     for word in spec.functions:
-        rules.append(("function", re.compile(rf"^[ \t]*{mods}(?:async\s+)?{re.escape(word)}\s+(?:<[^>\n]*>\s*)?(?:self\.|[\w<>?]+\.)?({_ID}[?!=]?)(?=\s*(?:[<(\[]|$)|\s)", re.M)))
+        rules.append(("function", re.compile(rf"^[ \t]*+{mods}(?:async\s+)?{re.escape(word)}\s+(?:<[^>\n]*>\s*)?(?:self\.|[\w<>?]+\.)?({_ID}[?!=]?)(?=\s*(?:[<(\[]|$)|\s)", re.M)))
     if spec.typed:
-        rules.append(("function", re.compile(rf"^[ \t]*{mods}(?!(?:return|new|else|throw|case|goto|typedef)\b)(?:[A-Za-z_][\w:<>,\[\]?&* ]*?[\s*&]+)(?:[\w]+::)*(~?{_ID})\s*{args}\s*(?:const\s*|noexcept\s*|override\s*|async\*?\s*|throws\s+[\w., ]+)*(?=\{{|=>)", re.M)))
+        rules.append(("function", re.compile(rf"^[ \t]*+{mods}(?:<[^>\n]*>\s*)?(?!(?:return|new|else|throw|case|goto|typedef)\b)(?:[A-Za-z_][\w:<>,\[\]?&* ]*?[\s*&]+)(?:[\w]+::)*(~?{_ID})\s*{args}\s*(?:const\s*|noexcept\s*|override\s*|async\*?\s*|throws\s+[\w., ]+)*(?=\{{|=>)", re.M)))
     if spec.bare:
-        rules.append(("method", re.compile(rf"^[ \t]+{mods}(?:get\s+|set\s+|\*\s*)?(#?{_ID})\s*(?:<[^>\n(]*>)?{args}\s*(?::[^{{;=\n]+)?(?=\{{)", re.M)))
+        rules.append(("method", re.compile(rf"^[ \t]++{mods}(?:get\s+|set\s+|\*\s*)?(#?{_ID})\s*(?:<[^>\n(]*>)?{args}\s*(?::[^{{;=\n]+)?(?=\{{)", re.M)))
     if spec.values:
-        rules.append(("arrow", re.compile(rf"^[ \t]*{spec.values}", re.M)))
+        rules.append(("arrow", re.compile(rf"^[ \t]*+{spec.values}", re.M)))
     if spec.constants:
         rules.append(("constant", re.compile(spec.constants, re.M)))
     return rules
