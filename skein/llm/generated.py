@@ -39,7 +39,7 @@ SHARED_SHARE, SHARED_LENGTH, SIMILARITY, SHINGLE = 0.25, 12, 0.8, 5
 #: The catalogue goes to every task; a larger one must be split by the caller.
 MAX_CATALOG_BYTES = 32_000_000
 #: Characters of one grammar batch.
-BATCH_CHARS = 1_200_000
+BATCH_CHARS = 2_500_000
 
 #: Folders kept for outside code (whole path parts, lower case).
 OUTSIDE_PLACES = frozenset(

@@ -60,7 +60,8 @@ class Grammar:
     def infer(self, shared: bool = False, on_rule=None) -> Grammar:
         """Replace pairs until none occurs twice in its sequence, or (``shared``) in all sequences together.
 
-        ``on_rule(rule numbers, owners)`` hears of each replacement.
+        ``on_rule(rule numbers, owners)`` hears of each replacement.  Rules are
+        counted only where they belong to one sequence.
         """
         while len(self.symbols) > 1:
             scope = np.zeros(len(self.symbols), np.int64) if shared else self.owner
@@ -74,10 +75,7 @@ class Grammar:
             left, right = np.divmod(pairs, first)
             self.rounds.append((first, left, right))
             self.length = np.append(self.length, self.length[left] + self.length[right])
-            used = np.unique(np.stack([self.owner[places], rule]), axis=1) if shared else None
-            if shared:
-                self.rules += np.bincount(used[0], minlength=self.n_owners)
-            else:
+            if not shared:
                 _, once = np.unique(number, return_index=True)
                 self.rules += np.bincount(self.owner[places[once]], minlength=self.n_owners)
             s[places] = first + rule
