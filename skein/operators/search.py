@@ -71,8 +71,10 @@ def search_symbols(
     q = query.lower()
     rows = _wanted(symbols, symbol_type, file_pattern)
     keys = ["file_path", "sym_ord", "name", "type", "line_start", "line_end", "signature", "docstring", "parent", "name_lower"]
-    rows = rows.select(keys).dropDuplicates(["file_path", "sym_ord", "name", "type", "line_start"])
-    exact = rows.where(F.col("name_lower") == q).withColumn("score", F.lit(1.0))
+    rows = rows.select(keys)
+    # Repeated rows go last, among what was found: the table itself is filtered in its scan and never shuffled.
+    one = ["file_path", "sym_ord", "name", "type", "line_start"]
+    exact = rows.where(F.col("name_lower") == q).dropDuplicates(one).withColumn("score", F.lit(1.0))
     found = exact
     if fuzzy or exact.isEmpty():
         first = Window.partitionBy("file_path", "name_lower").orderBy("sym_ord", "line_start", "type")
@@ -92,7 +94,7 @@ def search_symbols(
             ratios = names.withColumn("ratio", _similarity("name_lower", F.lit(q))).where("ratio > 0.5")
             far = scored.where("score is null").drop("score").join(ratios, "name_lower").withColumn("score", 0.6 * F.col("ratio")).drop("ratio")
             near = near.unionByName(far)
-        near = near.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("score", _bonus(F.col("score"), q)).where("score > 0.3")
+        near = near.dropDuplicates(one).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("score", _bonus(F.col("score"), q)).where("score > 0.3")
         found = exact.unionByName(near)
     return found.orderBy(F.desc("score"), "name", "file_path", "sym_ord").limit(clamp_limit(limit)).select(*RESULT)
 

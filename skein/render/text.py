@@ -142,6 +142,20 @@ def compact_index(code_map: dict, *, by: str = "file", private: bool = False) ->
     return "\n".join(f"{k}: {', '.join(v)}" for k, v in sorted(groups.items())) + "\n"
 
 
+def coverage_line(mapped: int, unmapped: dict[str, int], skipped: dict[str, int] | None = None, gaps: list[str] = ()) -> str:
+    """How much of a tree is mapped, in one line: the four commonest unmapped extensions, why files were skipped, and gaps."""
+    left = sum(unmapped.values())
+    percent = round(100 * mapped / (mapped + left), 1) if mapped + left else 100.0
+    parts = [f"{percent}% of {mapped + left} files mapped"]
+    if unmapped:
+        parts.append("unmapped: " + ", ".join(f"{e} {n}" for e, n in sorted(unmapped.items(), key=lambda x: (-x[1], x[0]))[:4]))
+    if skipped:
+        parts.append("skipped: " + ", ".join(f"{c} {n}" for c, n in sorted(skipped.items())))
+    if gaps:
+        parts.append("nothing found in: " + ", ".join(gaps))
+    return "; ".join(parts)
+
+
 def table(rows: list[dict]) -> str:
     """Rows as aligned columns."""
     if not rows:

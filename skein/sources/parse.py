@@ -22,7 +22,7 @@ from skein.sources.tables import spread
 
 SCHEMA = (
     "file_path string, sym_ord int, name string, type string, line_start int, line_end int, signature string, docstring string, "
-    "parent string, dependencies array<string>, decorators array<string>, truncated boolean, source string, visibility string"
+    "parent string, dependencies array<string>, decorators array<string>, truncated boolean, source string, visibility string, modifiers array<string>, mixins array<string>, return_type string"
 )
 MAX_LINES, MAX_CALLS, SIGNATURE, DOC_LINES = 500, 50, 100, 3
 ENUM_BASES = frozenset({"Enum", "IntEnum", "StrEnum", "Flag", "IntFlag"})
@@ -52,6 +52,8 @@ class LanguageSpec:
     values: str | None = None
     private: Callable[[str, str], bool] = lambda name, before: bool(re.search(r"\bprivate\b", before))
     constants: str | None = None
+    returns: str | None = None
+    mixins: str | None = None
 
 
 _JAVAISH = ("public", "private", "protected", "internal", "static", "final", "abstract", "sealed", "partial", "virtual", "override", "async", "readonly", "open", "data", "inner", "suspend", "default", "synchronized", "export", "declare", "const", "unsafe", "pub", "extern", "inline", "mutating", "required", "convenience", "fileprivate", "indirect", "annotation", "value")
@@ -68,17 +70,17 @@ def register_language(spec: LanguageSpec) -> None:
 
 for _spec in (
     LanguageSpec("javascript", {"class": "class"}, ("function", "function*"), _JAVAISH, bare=True, strings=_JS_STRINGS, values=_ARROW, private=lambda n, b: n.startswith("#")),
-    LanguageSpec("typescript", {"class": "class", "interface": "interface", "type": "type", "enum": "enum", "namespace": "namespace"}, ("function", "function*"), _JAVAISH, bare=True, strings=_JS_STRINGS, values=_ARROW),
+    LanguageSpec("typescript", {"class": "class", "interface": "interface", "type": "type", "enum": "enum", "namespace": "namespace"}, ("function", "function*"), _JAVAISH, bare=True, strings=_JS_STRINGS, values=_ARROW, returns=r"\)\s*:\s*([^{=]+?)\s*(?:\{|=>|$)"),
     LanguageSpec("java", {"class": "class", "interface": "interface", "enum": "enum", "record": "class", "@interface": "interface"}, (), _JAVAISH, typed=True),
     LanguageSpec("csharp", {"class": "class", "interface": "interface", "enum": "enum", "struct": "struct", "record": "class", "namespace": "namespace", "delegate": "type"}, (), _JAVAISH, typed=True),
-    LanguageSpec("go", {}, ("func",), (), strings=r'"(?:\\.|[^"\\\n])*"?|`[^`]*`?|\'(?:\\.|[^\'\\\n])*\'', private=lambda n, b: n[:1].islower()),
-    LanguageSpec("rust", {"struct": "struct", "enum": "enum", "trait": "trait", "impl": "impl", "mod": "module", "type": "type", "union": "union"}, ("fn",), _JAVAISH, strings=r'r(?P<h>#*)"(?s:.*?)"(?P=h)|"(?:\\.|[^"\\])*"?|\'(?:\\[^\n]+?|[^\'\\\n])\'', private=lambda n, b: "pub" not in b),
+    LanguageSpec("go", {}, ("func",), (), strings=r'"(?:\\.|[^"\\\n])*"?|`[^`]*`?|\'(?:\\.|[^\'\\\n])*\'', private=lambda n, b: n[:1].islower(), returns=r"\)\s*((?:\([^()]*\)|[\w*\[\].]+(?:\[[^\]]*\])?[\w*.]*))\s*(?:\{|$)"),
+    LanguageSpec("rust", {"struct": "struct", "enum": "enum", "trait": "trait", "impl": "impl", "mod": "module", "type": "type", "union": "union"}, ("fn",), _JAVAISH, strings=r'r(?P<h>#*)"(?s:.*?)"(?P=h)|"(?:\\.|[^"\\])*"?|\'(?:\\[^\n]+?|[^\'\\\n])\'', private=lambda n, b: "pub" not in b, returns=r"->\s*([^{;]+?)\s*(?:where\b|\{|;|$)"),
     LanguageSpec("c", {"struct": "struct", "enum": "enum", "union": "union"}, (), ("typedef", "static", "extern", "inline", "const"), typed=True),
     LanguageSpec("cpp", {"class": "class", "struct": "struct", "enum": "enum", "union": "union", "namespace": "namespace"}, (), ("typedef", "static", "extern", "inline", "const", "virtual", "template"), typed=True),
-    LanguageSpec("ruby", {"class": "class", "module": "module"}, ("def",), (), block="end", comment=r"\#[^\n]*", constants=r"^[ \t]*([A-Z][A-Z0-9_]*)\s*=[^=~]"),
+    LanguageSpec("ruby", {"class": "class", "module": "module"}, ("def",), (), block="end", comment=r"\#[^\n]*", constants=r"^[ \t]*([A-Z][A-Z0-9_]*)\s*=[^=~]", mixins=r"^\s*(?:include|extend|prepend)\s+([\w:, ]+)"),
     LanguageSpec("php", {"class": "class", "interface": "interface", "trait": "trait", "enum": "enum", "namespace": "namespace"}, ("function",), _JAVAISH, comment=r"//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)"),
-    LanguageSpec("swift", {"class": "class", "struct": "struct", "enum": "enum", "extension": "extension", "protocol": "protocol", "typealias": "type_alias", "actor": "class"}, ("func",), _JAVAISH),
-    LanguageSpec("kotlin", {"class": "class", "interface": "interface", "object": "object", "typealias": "type_alias"}, ("fun",), _JAVAISH),
+    LanguageSpec("swift", {"class": "class", "struct": "struct", "enum": "enum", "extension": "extension", "protocol": "protocol", "typealias": "type_alias", "actor": "class"}, ("func",), _JAVAISH, returns=r"->\s*([^{]+?)\s*(?:where\b|\{|$)"),
+    LanguageSpec("kotlin", {"class": "class", "interface": "interface", "object": "object", "typealias": "type_alias"}, ("fun",), _JAVAISH, returns=r"\)\s*:\s*([^{=]+?)\s*(?:\{|=|$)"),
     LanguageSpec("dart", {"class": "class", "mixin": "mixin", "enum": "enum", "extension": "extension", "typedef": "type_alias"}, (), _JAVAISH, typed=True, private=lambda n, b: n.startswith("_")),
 ):
     register_language(_spec)
@@ -89,7 +91,7 @@ _CALL = re.compile(rf"\b({_ID})\s*[!?]?\(")
 
 
 def _symbol(**x) -> dict:
-    return {"docstring": None, "parent": None, "dependencies": [], "decorators": [], "truncated": False, "visibility": None, **x}
+    return {"docstring": None, "parent": None, "dependencies": [], "decorators": [], "truncated": False, "visibility": None, "modifiers": None, "mixins": None, "return_type": None, **x}
 
 
 def _short_doc(text: str | None) -> str | None:
@@ -212,6 +214,28 @@ def _end(lines: list[str], first: int, block: str, most: int) -> tuple[int, bool
     return len(lines) - 1, False
 
 
+def _members(spec: LanguageSpec, out: list[dict], lines: list[str]) -> None:
+    """Return types, and where bodies say so: mixed-in modules, and members after a line that makes them private."""
+    for s in out:
+        if spec.returns and s["type"] in ("function", "method", "arrow") and (m := re.search(spec.returns, s["signature"] or "")):
+            s["return_type"] = m[1].strip() or None
+        if spec.block != "end" or s["type"] not in ("class", "module"):
+            continue
+        body = range(s["line_start"], s["line_end"])
+        if spec.mixins:
+            s["mixins"] = [x.strip() for i in body if (m := re.match(spec.mixins, lines[i])) for x in m[1].split(",")] or None
+        inner = [(h["line_start"], h["line_end"]) for h in out if h is not s and h["type"] in ("class", "module") and s["line_start"] < h["line_start"] <= s["line_end"]]
+        now = None
+        members = {h["line_start"] - 1: h for h in out if h["type"] == "function"}
+        for i in body:
+            if any(a - 1 <= i < b for a, b in inner):
+                continue
+            if m := re.match(r"\s*(private|protected|public)\s*$", lines[i]):
+                now = None if m[1] == "public" else m[1]
+            elif i in members and now:
+                members[i]["visibility"] = now
+
+
 def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> list[dict]:
     """Symbols of a file by its language's rules, in order of their first line."""
     _, blanked, rules = _compiled(spec)
@@ -248,8 +272,10 @@ def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> lis
             found[first, name] = _symbol(
                 name=name, type=kind, line_start=first + 1, line_end=last + 1, signature=original[first].strip()[:SIGNATURE].rstrip("{ ").rstrip(),
                 parent=owner, truncated=cut, source="rules", visibility="private" if private else None,
+                modifiers=[w for w in re.findall(r"[\w#]+", before) if w in spec.modifiers] or None,
             )
     out = [found[k] for k in sorted(found, key=lambda k: k[0])]
+    _members(spec, out, lines)
     holders = [s for s in out if s["type"] in _CONTAINERS]
     for s in out:
         if s["parent"] is None:
@@ -292,7 +318,7 @@ def parse_files(files: DataFrame, *, max_lines: int = MAX_LINES) -> DataFrame:
     kinds = pa.schema(
         [("file_path", pa.string()), ("sym_ord", pa.int32()), ("name", pa.string()), ("type", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()),
          ("signature", pa.string()), ("docstring", pa.string()), ("parent", pa.string()), ("dependencies", pa.list_(pa.string())), ("decorators", pa.list_(pa.string())),
-         ("truncated", pa.bool_()), ("source", pa.string()), ("visibility", pa.string())]
+         ("truncated", pa.bool_()), ("source", pa.string()), ("visibility", pa.string()), ("modifiers", pa.list_(pa.string())), ("mixins", pa.list_(pa.string())), ("return_type", pa.string())]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -285,6 +285,15 @@ def test_parse_details(spark):
     assert parse_files(files).count() == 6
 
 
+def test_parse_members():
+    ruby = {s["name"]: s for s in parse_content("a.rb", "class C\n  include A, B::C\n  def open\n  end\n  private\n  def shut\n  end\n  public\n  def free\n  end\nend\n")}
+    assert ruby["C"]["mixins"] == ["A", "B::C"] and [ruby[n]["visibility"] for n in ("open", "shut", "free")] == [None, "private", None]
+    back = lambda path, source: [(s["return_type"], s["modifiers"]) for s in parse_content(path, source) if s["type"] in ("function", "method", "arrow")]
+    assert back("a.go", "func F(a int) (int, error) {\n}\nfunc G() *T {\n}\nfunc H() {\n}\n") == [("(int, error)", None), ("*T", None), (None, None)]
+    assert back("a.rs", "pub async fn f(a: u8) -> Vec<u8> {\n}\n") == [("Vec<u8>", ["pub", "async"])]
+    assert back("a.ts", "export async function f(a: number): Promise<void> {\n}\n") == [("Promise<void>", ["export", "async"])]
+
+
 def test_register_language():
     from skein.sources import languages
 
@@ -410,6 +419,7 @@ def test_render():
     tree = text.skeleton(MAP, {"lib/b.py": 5})
     assert "b.py [high:5]" in tree and tree.endswith("2 files, 3 symbols, 1 hubs\n")
     assert text.table([{"a": 1, "bb": None}]).splitlines()[0] == "a  bb"
+    assert text.coverage_line(3, {".a": 1, ".b": 2, ".c": 1, ".d": 1, ".e": 1}, {"ignored": 4}, ["lua"]) == "33.3% of 9 files mapped; unmapped: .b 2, .a 1, .c 1, .d 1; skipped: ignored 4; nothing found in: lua"
     with pytest.raises(ValueError):
         text.export(MAP, "pdf")
 
