@@ -4,8 +4,8 @@ Each file is scanned once: comments and strings are blanked (so what stands in
 them is no function), declarations are found in the rest, and the comment that
 ends right above a declaration (or, in Python, the docstring) is its
 documentation.  The rows form a qualified symbol table; documented
-declarations are joined with definitions elsewhere by qualified name and
-normalised signature, and trivial documentation is dropped last.
+declarations are joined with definitions elsewhere in their root by owner, name
+and parameter types, and trivial documentation is dropped last.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.paths import parent_dir
@@ -26,14 +26,14 @@ from skein.sources.tables import spread
 
 SYMBOLS_SCHEMA = (
     "file_path string, name string, line_start int, qualified string, signature string, "
-    "has_body boolean, documented boolean, doc string, code string"
+    "has_body boolean, documented boolean, doc string, code string, root string, family string, owner string, types string"
 )
 
 LANGUAGES = {
     "py": "python", "pyi": "python", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "js", "tsx": "js",
-    "go": "go", "java": "java", "rs": "rust", "rb": "ruby", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c",
+    "go": "go", "java": "java", "rs": "rust", "rb": "ruby", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp",
 }
-NAMED = {"javascript": "js", "typescript": "js", "c++": "c", "cpp": "c"}
+NAMED = {"javascript": "js", "typescript": "js", "c++": "cpp"}
 
 #: Possessive throughout: an unbalanced parenthesis fails at once.
 _ARGS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
@@ -57,12 +57,14 @@ _BLANKED = {
     "python": r"(\#[^\n]*)|[rbuRBUfF]{0,2}(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z))|" + rf"{_DQ}|{_SQ}",
 }
 #: What any of them can begin with; one look spares most places the alternatives.
-_FIRST = {"js": "[/\"'`]", "go": "[/\"'`]", "java": "[/\"']", "rust": "[/\"'r]", "c": "[/\"']"}
+_FIRST = {"js": "[/\"'`]", "go": "[/\"'`]", "java": "[/\"']", "rust": "[/\"'r]", "c": "[/\"']", "cpp": "[/\"']"}
+_BLANKED["cpp"] = _BLANKED["c"]
 BLANKED = {k: re.compile(f"(?={_FIRST[k]})(?:{v})" if k in _FIRST else v, re.S) for k, v in _BLANKED.items()}
 
 _MODS_JS = r"(?:(?:export|default|declare|public|private|protected|static|readonly|abstract|override|async|get|set)\s++)*+"
 _VALUE_JS = rf"(?:async\s+)?(?:function\b|(?:<[^>\n]*>\s*)?{_ARGS}\s*(?::[^={{;]+)?=>|{_ID}\s*=>)"
 _MODS_JAVA = r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s++)"
+_AFTER_CPP = r"\s*+(?:(?:const|volatile|noexcept|override|final|&&?)\s*+)*+(?:->[^;{}=]+)?(?:=\s*(?:0|default|delete)\s*)?"
 _DECLARED = {
     "js": [
         rf"^[ \t]*+{_MODS_JS}function\s*\*?\s*({_ID})\s*[<(]",
@@ -90,11 +92,29 @@ _DECLARED = {
     "c": [
         rf"^(?!(?:typedef|return|else|case|goto)\b)[A-Za-z_][\w \t*<>:,&\x22]*?[\s*&]\**({_ID})\s*{_ARGS}\s*(?:const\s*)?(?=[{{;])",
     ],
+    "cpp": [
+        rf"^[ \t]*+(?!(?:typedef|return|else|case|goto|using|throw|delete|new|co_return|co_await|co_yield)\b)(?:template\s*<[^;{{}}()]*>\s*)?[A-Za-z_][\w \t*<>:,&\x22]*?[\s*&](?:{_ID}(?:<[^;{{}}()]*>)?::)*+(~?{_ID})\s*{_ARGS}{_AFTER_CPP}(?=[{{;])",
+        rf"^[ \t]*+(?:(?:explicit|inline|constexpr|virtual)\s++)*+(?:{_ID}(?:<[^;{{}}()]*>)?::)*+(~?{_ID})\s*{_ARGS}(?:{_AFTER_CPP}(?=[{{;])|\s*(?:noexcept\s*)?(?=:(?!:)))",
+    ],
     "python": [rf"^[ \t]*(?:async\s+)?def\s+({_ID})\s*[\[(]"],
 }
 DECLARED = {k: [re.compile(p, re.M) for p in v] for k, v in _DECLARED.items()}
-_SCOPE = re.compile(rf"^([ \t]*)(?:export\s+|default\s+|abstract\s+|public\s+|pub\s+|final\s+)*(?:class|struct|impl(?:<[^>]*>)?|module|interface|trait|enum)\s+({_ID})(?:\s+for\s+({_ID}))?", re.M)
-_INDENT = re.compile(r"[ \t]*")
+#: Methods that a TypeScript interface or abstract class only declares.
+_MEMBER_TS = re.compile(rf"^[ \t]*+{_MODS_JS}(#?{_ID})\??\s*+(?:<[^>(\n]*+>)?{_ARGS}[ \t]*+(?::[^;{{}}=\n]++)?(?:[;,]|$)", re.M)
+#: What only C++ has; headers of both have one suffix.
+_CPP = re.compile(r"^\s*(?:class|namespace|template|public|private|protected)\b|\w::", re.M)
+_HEADS = {
+    "java": re.compile(rf"\b(class|interface|enum|record)\s+({_ID})"),
+    "js": re.compile(rf"\b(class|interface|enum|namespace|module)\s+({_ID})"),
+    "rust": re.compile(rf"\b(struct|enum|trait|mod)\s+({_ID})"),
+    "cpp": re.compile(r"\b(class|struct|union|enum|namespace)\b(?:\s+(?:class|struct|alignas\([^)]*\)|\[\[[^\]]*\]\]|[A-Z_]+(?=\s+[A-Za-z_])))*\s*((?:[A-Za-z_]\w*::)*[A-Za-z_]\w*)?(?:\s*<[^;{}()]*>)?\s*(?:final\b)?\s*(?::(?!:)[^()]*)?$"),
+}
+_MARKS = re.compile(r"[;{}]")
+_NOTES = re.compile(r"@\w[\w.]*(?:\([^()]*\))?|#!?\[[^\]]*\]")
+#: To the brace of a Rust function's body or the semicolon in its place.
+_TO_BODY = re.compile(r"(?:[^{;\[]|\[[^\]]*\])*+")
+#: Languages with declarations that have no body; those of a family share declarations.
+FAMILIES = {"c": "c", "cpp": "c", "java": "java", "rust": "rust", "js": "js"}
 _ATTRIBUTE = re.compile(r"[ \t]*(?:@|#!?\[|\[\[)")
 
 #: Lines that give tools orders.
@@ -180,6 +200,176 @@ def _normal_signature(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\s*([(),:*<>&\[\]=])\s*", r"\1", text)).strip()
 
 
+def _skip_angles(text: str, at: int) -> int:
+    """Past the angle brackets that open at ``at``, if any do."""
+    depth, i = 0, at
+    while i < len(text):
+        c = text[i]
+        if c == "<":
+            depth += 1
+        elif c == ">" and text[i - 1] not in "-=":
+            depth -= 1
+        elif depth == 0 and not c.isspace():
+            return i
+        i += 1
+    return i if depth == 0 else at
+
+
+def _without_angles(text: str) -> str:
+    out, i = [], 0
+    while i < len(text):
+        if text[i] == "<":
+            i = max(_skip_angles(text, i), i + 1)
+            out.append(" ")
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def _split(text: str, mark: str = ",") -> list[str]:
+    """At the marks that stand in no bracket."""
+    out, depth, last = [], 0, 0
+    for i, c in enumerate(text):
+        if c in "([{<":
+            depth += 1
+        elif c in ")]}" or (c == ">" and text[i - 1 : i] not in ("-", "=")):
+            depth -= 1
+        elif c == mark and depth <= 0:
+            out.append(text[last:i])
+            last = i + 1
+    return [x for x in (*out, text[last:]) if x.strip()]
+
+
+_C_WORDS = frozenset("void bool char short int long float double signed unsigned auto wchar_t size_t ssize_t _Bool".split())
+_C_DROPPED = frozenset("struct class union enum register static extern inline volatile restrict __restrict __restrict__ typename".split())
+_C_TOKEN = re.compile(r"\.\.\.|::|\w+|[^\s\w]")
+
+
+def _c_type(text: str) -> str:
+    text = _split(text, "=")[0]
+    pointer = re.search(r"\(\s*(?:\w+::)?[*&^]\s*(?:const\s*)?\w*\s*\)\s*(\(.*\))\s*$", text, re.S)
+    if pointer:
+        return f"{_c_type(text[: pointer.start()] + ' ')}(*)({','.join(_parameter_types(pointer.group(1), 'c', ''))})"
+    text, arrays = re.subn(r"\[[^\]]*\]", "", text)
+    tokens = [t for t in _C_TOKEN.findall(text) if t not in _C_DROPPED]
+    words = [i for i, t in enumerate(tokens) if re.match(r"\w", t) and t != "const"]
+    if len(words) > 1 and words[-1] == len(tokens) - 1 and tokens[-1] not in _C_WORDS and tokens[-2] != "::":
+        tokens.pop()
+    tokens += ["*"] * arrays
+    # Const of the value itself is no part of the type.
+    while tokens and tokens[-1] == "const":
+        tokens.pop()
+    if not {"*", "&"} & set(tokens):
+        tokens = [t for t in tokens if t != "const"]
+    if {"unsigned", "long", "short", "signed"} & set(tokens):
+        tokens = [t for t in tokens if t != "int"]
+    if "signed" in tokens and "char" not in tokens:
+        tokens = [t for t in tokens if t != "signed"] if len({"long", "short"} & set(tokens)) else ["int" if t == "signed" else t for t in tokens]
+    at = next((i for i, t in enumerate(tokens) if t in "*&<"), len(tokens))
+    # ``char const *`` is ``const char *``, ``int unsigned`` is ``unsigned int``.
+    if "::" not in tokens[:at]:
+        tokens[:at] = sorted(tokens[:at])
+    return " ".join(tokens)
+
+
+def _parameter_types(args: str, lang: str, owner: str) -> list[str]:
+    """The types in an argument list, names, defaults and annotations dropped."""
+    out = []
+    for part in _split(args.strip()[1:-1]):
+        if lang in ("c", "cpp"):
+            kind = _c_type(part)
+            if kind != "void":
+                out.append(kind)
+            continue
+        part = " ".join(_NOTES.sub(" ", part).split())
+        if lang == "java":
+            part = re.sub(r"\bfinal\s+", "", part)
+            m = re.match(rf"(.*?)\s*\b({_ID})\s*((?:\[\s*\]\s*)*)$", part)
+            kind = re.sub(r"\b[\w$]+\.(?=[A-Za-z_$])", "", (m.group(1) + m.group(3)) if m else part)
+        elif lang == "rust":
+            if re.match(r"(?:&\s*(?:'\w+\s+)?)?(?:mut\s+)?self\b", part):
+                continue
+            kind = re.sub(r"\b\w+::", "", re.sub(r"'\w+\b\s*,?", "", re.split(r"(?<!:):(?!:)", part, maxsplit=1)[-1])).replace("<>", "")
+            kind = re.sub(rf"\b{re.escape(owner)}\b", "Self", kind) if owner else kind
+        else:
+            part = _split(part, "=")[0] if "=>" not in part else re.sub(r"=(?!>)[^>]*$", "", part)
+            name, colon, kind = part.partition(":")
+            if name.strip() == "this":
+                continue
+            kind = ("..." if name.strip().startswith("...") else "") + (kind if colon else "any")
+        out.append(re.sub(r"\s*(\W)\s*", r"\1", kind.strip()))
+    return out
+
+
+def _types_in(text: str) -> list[str]:
+    """Bare names of the types in a list of supertypes."""
+    text = re.sub(r"\b(?:public|private|protected|virtual|typename)\b", " ", _without_angles(text))
+    names = (re.split(r"::|\.", re.sub(r"\s+", "", re.sub(r"\(.*", "", x, flags=re.S)))[-1] for x in re.split(r"[,+]", text))
+    return [n for n in names if re.fullmatch(r"[A-Za-z_$][\w$]*", n)]
+
+
+def _head(text: str, lang: str) -> tuple[str, str, list[str]] | None:
+    """``(kind, name, supertypes)`` of the type or namespace whose block the text opens."""
+    text = _NOTES.sub(" ", text) if "@" in text or "#" in text else text
+    if lang == "rust":
+        m = re.search(r"\bimpl\b", text)
+        if m and "(" not in text[: m.start()]:
+            body = re.split(r"\bwhere\b", _without_angles(text[m.end() :]))[0]
+            trait, of, kind = re.split(r"(\bfor\b)", body, maxsplit=1) if re.search(r"\bfor\b", body) else ("", "", body)
+            named = _types_in(kind.replace("&", " ").replace("mut ", " "))
+            return ("impl", named[0], _types_in(trait)) if named else None
+    if lang == "cpp":
+        text = re.sub(r"^\s*#[^\n]*$|\b(?:public|private|protected)\s*:(?!:)", " ", text, flags=re.M)
+        if re.match(r"\s*extern\b[\s\x22C]*$", text):
+            return ("namespace", "", [])
+    m = _HEADS[lang].search(text)
+    if not m or "(" in text[: m.start()]:
+        return None
+    name = (m.group(2) or "").split("::")[-1]
+    rest = text[m.end(2) :] if m.group(2) else ""
+    if lang == "rust":
+        supers = _types_in(re.split(r"\bwhere\b", rest)[0].partition(":")[2]) if m.group(1) == "trait" else []
+    elif lang == "cpp":
+        supers = _types_in(re.split(r"(?<!:):(?!:)", rest, maxsplit=1)[1]) if re.search(r"(?<!:):(?!:)", rest) else []
+    else:
+        supers = _types_in(",".join(re.split(r"\b(?:extends|implements|permits)\b", _without_angles(re.sub(r"\bpermits\b.*", "", rest, flags=re.S)))[1:]))
+    return m.group(1), name, supers
+
+
+class _Blocks:
+    """The blocks in braces of a text without comments and strings."""
+
+    def __init__(self, plain: str, lang: str):
+        self.blocks: list[tuple[int, tuple[str, str, list[str]] | None]] = []  # parent, head
+        self.at, self.top, inner, last = [-1], [-1], -1, 0
+        for m in _MARKS.finditer(plain):
+            mark = m.group()
+            if mark == "{":
+                self.blocks.append((inner, _head(plain[last : m.start()], lang)))
+                inner = len(self.blocks) - 1
+            elif mark == "}" and inner >= 0:
+                inner = self.blocks[inner][0]
+            last = m.end()
+            if mark != ";":
+                self.at.append(m.start())
+                self.top.append(inner)
+
+    def head(self, offset: int) -> tuple[str, str, list[str]] | None:
+        """The innermost block there; ('', '', []) outside all blocks."""
+        i = self.top[bisect_right(self.at, offset) - 1]
+        return self.blocks[i][1] if i >= 0 else ("", "", [])
+
+    def owner(self, offset: int) -> str:
+        i = self.top[bisect_right(self.at, offset) - 1]
+        while i >= 0 and not (self.blocks[i][1] and self.blocks[i][1][1]):
+            i = self.blocks[i][0]
+        return self.blocks[i][1][1] if i >= 0 else ""
+
+    def supers(self) -> set[tuple[str, str]]:
+        return {(h[1], above) for _, h in self.blocks if h for above in h[2] if above != h[1]}
+
+
 def _python(text: str) -> list[tuple] | None:
     """Functions by the syntax tree; None if the text has none."""
     try:
@@ -198,7 +388,7 @@ def _python(text: str) -> list[tuple] | None:
                 if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                     doc = ast.get_docstring(child, clean=True)
                     args = ",".join(a.arg for a in (*child.args.posonlyargs, *child.args.args, *child.args.kwonlyargs))
-                    out.append((child.name, child.lineno, scope + child.name, f"{child.name}({args})", True, doc, child.lineno, child.end_lineno))
+                    out.append((child.name, child.lineno, scope + child.name, f"{child.name}({args})", True, doc, child.lineno, child.end_lineno, "", ""))
                     inner = scope + child.name + "."
                 elif isinstance(child, ast.ClassDef):
                     inner = scope + child.name + "."
@@ -206,8 +396,8 @@ def _python(text: str) -> list[tuple] | None:
     return out
 
 
-def _scanned(text: str, lang: str, full: bool = True) -> list[tuple]:
-    """Functions by declarations in the text without comments and strings."""
+def _scanned(text: str, lang: str, full: bool = True, owned: bool = True) -> list[tuple]:
+    """Functions by declarations in the text without comments and strings; ``full`` adds arguments, ``owned`` owners and types as well."""
     comments: list[tuple[int, int]] = []
 
     def blank(m: re.Match) -> str:
@@ -219,11 +409,34 @@ def _scanned(text: str, lang: str, full: bool = True) -> list[tuple]:
         return fill * len(s) if "\n" not in s else "".join(c if c == "\n" else fill for c in s)
 
     plain = BLANKED[lang].sub(blank, text)
+    if lang == "c" and _CPP.search(plain):
+        lang = "cpp"
+    members = full and lang == "js" and ("interface" in plain or "abstract" in plain)
+    owned = full and owned and lang in FAMILIES
+    blocks = _Blocks(plain, lang) if lang == "cpp" or members or (owned and lang in _HEADS) else None
     hits: dict[int, tuple[str, re.Match]] = {}
-    for pattern in DECLARED[lang]:
+    for n, pattern in enumerate(DECLARED[lang]):
         for m in pattern.finditer(plain):
-            if m.group(1) not in _CONTROL and m.start(1) not in hits:
+            if m.group(1) in _CONTROL or m.start(1) in hits:
+                continue
+            if lang == "cpp":
+                # Inside a function, what looks like a declaration is a call or a variable.
+                inner = blocks.head(m.start(1))
+                if inner is None and (n or plain[m.start()] in " \t"):
+                    continue
+                if n:
+                    of_class = re.findall(r"(\w+)(?:<[^;{}()]*>)?::", plain[m.start() : m.start(1)])
+                    if m.group(1).lstrip("~") != (of_class[-1] if of_class else inner[1]):
+                        continue
+            hits[m.start(1)] = (m.group(1), m)
+    declared: set[int] = set()
+    if members:
+        for m in _MEMBER_TS.finditer(plain):
+            head = blocks.head(m.start(1))
+            member = head and (head[0] == "interface" or (head[0] == "class" and "abstract" in plain[m.start() : m.start(1)]))
+            if member and m.start(1) not in hits:
                 hits[m.start(1)] = (m.group(1), m)
+                declared.add(m.start(1))
     if not hits:
         return []
     starts = [0]
@@ -235,7 +448,6 @@ def _scanned(text: str, lang: str, full: bool = True) -> list[tuple]:
     for n, (a, b) in enumerate(comments):
         for i in range(line_at(a), line_at(max(a, b - 1)) + 1):
             in_comment[i] = n
-    scopes = [(m.start(), len(m.group(1)), m.group(3) or m.group(2)) for m in _SCOPE.finditer(plain)]
     out = []
     order = sorted(hits)
     for k, at in enumerate(order):
@@ -251,20 +463,26 @@ def _scanned(text: str, lang: str, full: bool = True) -> list[tuple]:
         if above < last:
             lines = [of(text, i) for i in range(above + 1, last + 1)]
             doc = "\n".join(x.rstrip("\r\n") for x in lines)
-        indent = _INDENT.match(plain, starts[top]).end() - starts[top]
-        owner = next((scope + "." for pos, depth, scope in reversed(scopes) if pos < at and depth < indent), "") if full else ""
         end = m.end()
         tail = plain[end : end + 1]
-        has_body = not (lang in ("c", "java") and tail == ";")
         limit = starts[line_at(order[k + 1])] if k + 1 < len(order) else len(text)
-        args = _ARGUMENTS.search(plain, at, limit) if full else None
+        owner = blocks.owner(at) if blocks and owned else ""
+        if lang == "cpp" and owned:
+            of_class = re.findall(r"(\w+)(?:<[^;{}()]*>)?::(?=[\w:<>, ~]*$)", plain[max(m.start(), at - 200) : at])
+            owner = of_class[-1] if of_class and plain[at - 2 : at] == "::" else owner
+        args = _ARGUMENTS.search(plain, _skip_angles(plain, at + len(name)) if lang in ("rust", "js") else at, limit) if full else None
+        has_body = not (lang in ("c", "cpp", "java") and tail == ";") and at not in declared
+        if lang == "rust" and args and m.re is DECLARED["rust"][0]:
+            stop = _TO_BODY.match(plain, args.end()).end()
+            has_body = plain[stop : stop + 1] != ";"
         signature = _normal_signature(name + (args.group() if args else ""))
-        out.append((name, line_at(at) + 1, owner + name, signature, has_body, doc, top + 1, line_at(max(at, limit - 1)) + 1))
+        types = ",".join(_parameter_types(args.group(), lang, owner)) if args and owned else ""
+        out.append((name, line_at(at) + 1, f"{owner}.{name}" if owner else name, signature, has_body, doc, top + 1, line_at(max(at, limit - 1)) + 1, owner, types))
     return out
 
 
-def file_functions(path: str, language: str | None, content: str, *, full: bool = True) -> list[tuple]:
-    """``(name, line, qualified, signature, has_body, documented, doc, first, last line)`` of each function of a file; ``full`` adds arguments to signatures."""
+def file_functions(path: str, language: str | None, content: str, *, full: bool = True, owned: bool = True) -> list[tuple]:
+    """``(name, line, qualified, signature, has_body, documented, doc, first, last line, owner, types)`` of each function of a file; ``full`` adds arguments to signatures, ``owned`` owners and types as well."""
     lang = language_of(path, language)
     if not lang or not content:
         return []
@@ -272,11 +490,11 @@ def file_functions(path: str, language: str | None, content: str, *, full: bool
     text = text[1:] if text.startswith("﻿") else text
     found = _python(text) if lang == "python" else None
     if found is None:
-        found = _python_scanned(text) if lang == "python" else _scanned(text, lang, full)
+        found = _python_scanned(text) if lang == "python" else _scanned(text, lang, full, owned)
     out = []
-    for name, line, qualified, signature, has_body, doc, first, last in found:
+    for name, line, qualified, signature, has_body, doc, first, last, owner, types in found:
         prose = description(doc.split("\n")) if doc else ""
-        out.append((name, line, qualified, signature, has_body, bool(prose) and is_real(prose, name), prose, first, last))
+        out.append((name, line, qualified, signature, has_body, bool(prose) and is_real(prose, name), prose, first, last, owner, types))
     return out
 
 
@@ -300,38 +518,101 @@ def _python_scanned(text: str) -> list[tuple]:
             if at in first_at:
                 doc = re.sub(r"^[a-zA-Z]*(?:\"\"\"|'''|\"|')|(?:\"\"\"|'''|\"|')$", "", text[slice(*first_at[at])])
         line = text.count("\n", 0, m.start(1)) + 1
-        out.append((m.group(1), line, m.group(1), _normal_signature(m.group(1) + (args.group() if args else "")), True, doc, line, line))
+        out.append((m.group(1), line, m.group(1), _normal_signature(m.group(1) + (args.group() if args else "")), True, doc, line, line, "", ""))
     return out
 
 
-def symbol_table(files: DataFrame, *, with_text: bool = True) -> DataFrame:
+def supertypes(path: str, language: str | None, content: str) -> set[tuple[str, str]]:
+    """``(type, supertype)`` that the declarations of types in a file name."""
+    lang = language_of(path, language)
+    if lang not in FAMILIES or not content:
+        return set()
+    fill = lambda m: "".join(c if c == "\n" else " " if m.group(1) is not None else '"' for c in m.group())
+    plain = BLANKED[lang].sub(fill, content.replace("\r\n", "\n").replace("\r", "\n"))
+    return _Blocks(plain, "cpp" if lang == "c" else lang).supers()
+
+
+def _language(path: Column, language: Column) -> Column:
+    """``language_of`` inside the JVM."""
+    suffix = F.create_map(*[F.lit(x) for k, v in LANGUAGES.items() for x in ("." + k, v)])
+    said = F.lower(F.trim(language))
+    named = F.create_map(*[F.lit(x) for k, v in (NAMED | {k: k for k in BLANKED}).items() for x in (k, v)])
+    return F.coalesce(suffix[F.concat(F.lit("."), F.lower(F.substring_index(path, ".", -1)))], named[said])
+
+
+def _with_root(files: DataFrame) -> DataFrame:
+    first = F.substring_index("file_path", "/", 1)
+    root = F.coalesce(F.col("root"), first) if "root" in files.columns else first
+    return files.where("file_path is not null and content is not null").select("file_path", "language", "content", root.alias("root"))
+
+
+def symbol_table(files: DataFrame, *, with_text: bool = True, part: str | None = None) -> DataFrame:
     """The functions of all files, documented or not.
 
-    ``files`` needs ``file_path``, ``language`` and ``content``.  Rows without a
-    path or content and files of unknown languages give none; repeated rows
-    give repeated functions; other columns are ignored.  ``with_text`` adds the
-    code and the description, else both are null.
+    ``files`` needs ``file_path``, ``language`` and ``content``; without a
+    ``root`` the first part of the path is one.  Rows without a path or content
+    and files of unknown languages give none; repeated rows give repeated
+    functions; other columns are ignored.  ``with_text`` adds the code, the
+    description, owners and arguments, else they are null or left out.  A
+    ``part`` has less: ``own`` the documented functions with a body, without
+    owners, ``bare`` those without documentation, ``declared`` the documented
+    declarations.
     """
+    wanted = {None: None, "own": (True, True), "bare": (True, False), "declared": (False, True)}[part]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("file_path", "name", "line_start", "qualified", "signature", "has_body", "documented", "doc", "code")
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string())
+        names = ("file_path", "name", "line_start", "qualified", "signature", "has_body", "documented", "doc", "code", "root", "family", "owner", "types")
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.string()] * 6)
         for b in batches:
             rows: list[tuple] = []
-            for path, language, content in zip(*(b[c].to_pylist() for c in ("file_path", "language", "content")), strict=True):
-                found = file_functions(path, language, content, full=with_text)
+            for path, language, content, root in zip(*(b[c].to_pylist() for c in ("file_path", "language", "content", "root")), strict=True):
+                found = file_functions(path, language, content, full=with_text, owned=part != "own")
+                found = [f for f in found if (f[4], f[5]) == wanted] if wanted else found
+                family = FAMILIES.get(language_of(path, language)) if found else None
                 lines = content.splitlines() if with_text and found else []
-                for name, line, qualified, signature, has_body, real, doc, first, last in found:
+                for name, line, qualified, signature, has_body, real, doc, first, last, owner, types in found:
                     code = "\n".join(lines[first - 1 : last]).rstrip() if with_text else None
-                    rows.append((path, name, line, qualified, signature, has_body, real, doc if with_text else None, code))
+                    rows.append((path, name, line, qualified, signature, has_body, real, doc if with_text else None, code, root, family, owner, types))
                 if len(rows) > 20_000:
                     yield _batch(rows, names, kinds)
                     rows = []
             if rows:
                 yield _batch(rows, names, kinds)
 
-    kept = files.where("file_path is not null and content is not null").select("file_path", "language", "content")
-    return spread(kept).mapInArrow(scan, SYMBOLS_SCHEMA)
+    return spread(_with_root(files)).mapInArrow(scan, SYMBOLS_SCHEMA)
+
+
+def _ancestors(files: DataFrame) -> DataFrame:
+    """``(root, family, type, ancestor, distance)`` of all types, through any number of steps."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [
+                (root, FAMILIES[language_of(path, language)], a, z)
+                for path, language, content, root in zip(*(b[c].to_pylist() for c in ("file_path", "language", "content", "root")), strict=True)
+                for a, z in supertypes(path, language, content)
+            ]
+            if rows:
+                yield _batch(rows, ("root", "family", "type", "above"), (pa.string(),) * 4)
+
+    def closure(t: pa.Table) -> pa.Table:
+        up: dict[str, list[str]] = {}
+        for a, z in zip(t["type"].to_pylist(), t["above"].to_pylist(), strict=True):
+            up.setdefault(a, []).append(z)
+        rows = []
+        for a in up:
+            seen, ring, far = {a}, [a], 0
+            while ring:
+                ring, far = sorted({z for x in ring for z in up.get(x, ())} - seen), far + 1
+                seen.update(ring)
+                rows.extend((a, z, far) for z in ring)
+        n = len(rows)
+        cols = [pa.array([t[k][0].as_py()] * n, pa.string()) for k in ("root", "family")]
+        cols += [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32()))]
+        return pa.Table.from_arrays(cols, names=["root", "family", "type", "ancestor", "distance"])
+
+    edges = spread(files).mapInArrow(scan, "root string, family string, type string, above string").distinct()
+    return edges.groupBy("root", "family").applyInArrow(closure, "root string, family string, type string, ancestor string, distance int")
 
 
 def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
@@ -347,20 +628,39 @@ def code_doc_pairs(files: DataFrame) -> DataFrame:
     """``(file_path, name, line_start, signature, code, doc, doc_path)``: code with its description.
 
     A function documented where it is defined pairs with that text.  A
-    definition without documentation takes that of a declaration (a prototype,
-    an interface's method) of the same folder with the same qualified name and
-    normalised signature, which tells overloads apart; of several the first by
-    path counts.  Documentation that is empty or trivial pairs with nothing.
+    definition without documentation takes that of a declaration without body
+    (a prototype, an interface's or trait's method, an abstract one) of the
+    same root with the same owner, name and parameter types, which tell
+    overloads apart; the owner is the type that holds it or stands before
+    ``::``, or any type above that one.  Declarations of the same folder come
+    first, then nearer types, then the first by path.  Documentation that is
+    empty or trivial pairs with nothing.  Type parameters are not replaced by
+    their arguments, and Go's interfaces, which no type names, are not followed.
     """
-    table = symbol_table(files).withColumn("folder", parent_dir(F.col("file_path")))
-    own = table.where("documented and has_body").withColumn("doc_path", F.col("file_path"))
-    declared = (
-        table.where("documented and not has_body")
-        .groupBy("folder", "qualified", "signature")
-        .agg(F.min(F.struct("file_path", "doc")).alias("d"))
-        .select("folder", "qualified", "signature", F.col("d.file_path").alias("doc_path"), F.col("d.doc").alias("doc"))
-    )
-    bare = table.where("has_body and not documented").drop("doc")
-    joined = bare.join(declared, ["folder", "qualified", "signature"])
+    key = ["root", "family", "owner", "name", "types"]
+    # Not every file is scanned again: only those that can hold what is looked for.
+    lang = _language(F.col("file_path"), F.col("language"))
+    could = _with_root(files).where(lang.isin(*FAMILIES))
+    has = lambda word: F.col("content").rlike(word)
+    declaring = could.where(
+        lang.isin("c", "cpp") | ((lang == "java") & has(r"\b(?:interface|abstract|native)\b"))
+        | ((lang == "js") & has(r"\b(?:interface|abstract)\b")) | ((lang == "rust") & has(r"\b(?:trait|extern)\b"))
+    )
+    deriving = could.where(
+        (lang.isin("c", "cpp") & has(r"\b(?:class|struct)\b[^;{}()]*:")) | (lang.isin("java", "js") & has(r"\b(?:extends|implements)\b"))
+        | ((lang == "rust") & has(r"\b(?:impl|trait)\b"))
+    )
     cols = ["file_path", "name", "line_start", "signature", "code", "doc", "doc_path"]
+    own = symbol_table(files, part="own").withColumn("doc_path", F.col("file_path"))
+    declared = symbol_table(declaring, part="declared").select(*key, "file_path", "doc").distinct()
+    above = _ancestors(deriving).withColumnRenamed("ancestor", "owner")
+    inherited = declared.join(above, ["root", "family", "owner"]).select("root", "family", F.col("type").alias("owner"), "name", "types", "file_path", "doc", "distance")
+    offered = declared.select(*key, "file_path", "doc", F.lit(0).alias("distance")).unionByName(inherited).withColumn("folder", parent_dir(F.col("file_path")))
+    best = F.min(F.struct("distance", "file_path", "doc"))
+    # The best of each folder, and of these the best of the root: a definition meets one row of each.
+    near = offered.groupBy(*key, "folder").agg(best.alias("d"))
+    far = near.groupBy(*key).agg(F.min("d").alias("far"), F.map_from_entries(F.collect_list(F.struct("folder", "d"))).alias("near"))
+    bare = symbol_table(could, part="bare").drop("doc")
+    said = F.coalesce(F.try_element_at("near", parent_dir(F.col("file_path"))), F.col("far"))
+    joined = bare.join(far, key).withColumn("said", said).withColumns({"doc_path": F.col("said.file_path"), "doc": F.col("said.doc")})
     return own.select(cols).unionByName(joined.select(cols)).dropDuplicates(["file_path", "name", "line_start"])

@@ -151,6 +151,31 @@ def test_pairs_join_declarations(spark):
     assert got["r/s.c", 5][0].startswith("Counts the other")
 
 
+PAIRED = [
+    # A header in another folder; names of parameters differ or are missing.
+    ({"r/include/x.h": f"/** {REAL} */\nint f(int, const char*, void (*)(int));\n", "r/src/x.c": "int f(int count, char const *s, void (*done)(int code)) {\n  return 1;\n}\n"}, {("r/src/x.c", "f"): "r/include/x.h"}),
+    ({"r/include/x.h": f"/** {REAL} */\nint f(int n);\n", "r/src/x.c": "int f(long n) {\n  return 1;\n}\n", "q/x.c": "int f(int n) {\n  return 1;\n}\n"}, {}),
+    # The declaration of the same folder comes first.
+    ({"r/a/x.h": f"/** {REAL} */\nint f(void);\n", "r/b/x.h": f"/** {REAL} */\nint f();\n", "r/b/x.c": "int f(void) {\n  return 1;\n}\n", "r/c/x.c": "int f() {\n  return 1;\n}\n"}, {("r/b/x.c", "f"): "r/b/x.h", ("r/c/x.c", "f"): "r/a/x.h"}),
+    # Interfaces, also through another type.
+    ({"r/i/I.java": f"interface I {{\n  /** {REAL} */\n  int m(int a, java.util.List<String> b);\n}}\n", "r/c/C.java": "class B extends C {\n  public int m(int x, List<String> y) {\n    return 1;\n  }\n}\nclass C implements I {\n  public int m(final int x, List<String> y) {\n    return 1;\n  }\n}\nclass D {\n  public int m(int x, List<String> y) {\n    return 1;\n  }\n}\n"}, {("r/c/C.java", "m"): "r/i/I.java"}),
+    ({"r/t.rs": f"pub trait Store<T> {{\n    /// {REAL}\n    fn put(&self, key: &'a str, n: [u8; 4]) -> [u8; 4];\n}}\n", "r/m/s.rs": "impl<T: Fn(u8) -> u8> crate::Store<T> for Disk<T> {\n    fn put(&self, k: &str, bytes: [u8; 4]) -> [u8; 4] {\n        bytes\n    }\n}\n"}, {("r/m/s.rs", "put"): "r/t.rs"}),
+    ({"r/i.ts": f"export interface Store {{\n  /** {REAL} */\n  put(key: string, n?: number): void;\n}}\n", "r/m/s.ts": "class Disk implements Store {\n  put(k: string, count: number): void {\n    call(k);\n  }\n}\n"}, {("r/m/s.ts", "put"): "r/i.ts"}),
+    # Members of a C++ class, defined outside it or in a class below it.
+    ({"r/include/f.hpp": f"namespace n {{\nclass Foo : public Base {{\n public:\n  /** {REAL} */\n  int bar(int, const std::string &);\n  /** {REAL} */\n  explicit Foo(int a);\n  /** {REAL} */\n  virtual int pure(int a) const = 0;\n}};\n}}\n", "r/src/f.cpp": "n::Foo::Foo(int b) : b_(b) {\n  use(b);\n  Foo other(1);\n}\nint n::Foo::bar(int count, const std::string &s) {\n  return 1;\n}\nclass Low : public n::Foo {\n  int pure(int z) const override {\n    return z;\n  }\n};\n"}, {("r/src/f.cpp", x): "r/include/f.hpp" for x in ("bar", "Foo", "pure")}),
+]
+
+
+@pytest.mark.parametrize("k", range(len(PAIRED)))
+def test_pairs_across_folders_and_types(spark, k):
+    texts, want = PAIRED[k]
+    df = spark.createDataFrame([(p, None, t) for p, t in texts.items()], "file_path string, language string, content string")
+    got = [r for r in docpairs.code_doc_pairs(df).collect()]
+    assert {(r.file_path, r.name): r.doc_path for r in got if r.file_path != r.doc_path} == want
+    assert all(r.doc == REAL for r in got)
+    assert k != 3 or sorted(r.line_start for r in got) == [2, 7]
+
+
 # Packing
 
 
