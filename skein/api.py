@@ -12,7 +12,7 @@ from skein.functions.paths import content_hash
 from skein.operators import diff, graph, lines, resolve, search
 from skein.render import text
 from skein.sources import codec, config, listing
-from skein.sources.imports import raw_imports
+from skein.sources.imports import file_language, raw_imports
 from skein.sources.parse import MAX_LINES, parse_files
 from skein.sources.tables import ensure_checkpoint_dir
 
@@ -75,7 +75,7 @@ class CodeIndex:
         """``(src_file, dst_file)`` between files of the index."""
         if "content" not in self.files.columns:
             return self.files.select(F.col("file_path").alias("src_file"), F.explode("imports").alias("dst_file")).distinct()
-        raw = raw_imports(self.files).join(self.files.select("file_path", "language"), "file_path")
+        raw = raw_imports(self.files).join(self.files.select("file_path", file_language(F.col("file_path"), F.col("language")).alias("language")), "file_path")
         asked = raw.select(F.col("file_path").alias("src"), F.col("raw_import").alias("spec"), "language")
         aliases = config.tsconfig_aliases(self.root) + config.pyproject_aliases(self.root) if self.root else []
         module = config.module_name(self.root) if self.root else None

@@ -79,8 +79,9 @@ select distinct file_path, unnest(list_concat(list_concat(
   regexp_extract_all(c, '\brequire\(\s*[''"]([^''"\n]+)[''"]\s*\)', 1), regexp_extract_all(c, '\bimport\(\s*[''"]([^''"\n]+)[''"]\s*\)', 1)))) as raw_import
 from f where lower(language) in ('javascript', 'typescript')""")
 def imports_javascript(spark, sf_dir):
-    """Raw imports of JavaScript and TypeScript, found by native patterns."""
-    return raw_imports(table(spark, sf_dir, "files"), ("javascript", "typescript"))
+    """Raw imports of files recorded as JavaScript or TypeScript, found by native patterns."""
+    recorded = table(spark, sf_dir, "files").where(F.lower("language").isin("javascript", "typescript"))
+    return raw_imports(recorded, ("javascript", "typescript"))
 
 
 @query()

@@ -14,6 +14,7 @@ from skein.operators import diff, graph, lines, resolve, rollup, search
 from skein.render import text
 from skein.sources import codec, config, listing
 from skein.sources.ignore import ignored_paths, is_ignored, parse_rules
+from skein.sources.imports import raw_imports
 from skein.sources.parse import LanguageSpec, parse_content, parse_files, register_language
 from skein.sources.tables import ensure_checkpoint_dir, spread, table
 from skein.streaming.watch import Watcher, poll_changes
@@ -476,3 +477,18 @@ def test_spread_leaves_shuffles_alone(spark, small):
     df = table(spark, small, "files")
     assert spread(df).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert spread(df.groupBy("root").count()) is not None
+
+
+@pytest.mark.parametrize(("path", "language", "text", "want"), [
+    ("r/a.py", None, "import os\n", ["os"]),
+    ("r/a.py", "java", "import os.path\n", ["os.path"]),
+    ("r/hook", " Python", "import os\n", ["os"]),
+    ("r/a.py", "python", "import a, b.c as d,e\r\nimport f; import g, h; call(i, j)\nimport k, \\\n    l  # , m\n", ["a", "b.c", "e", "f", "g", "h", "k", "l"]),
+    ("r/a.ts", None, "export * from './a';\nexport {\n  b,\n} from './b';\nexport type { T } from './t';\nexport * as n from \"./n\";\nexport{c}from'./c';\nexport const from = 'x';\n", ["./a", "./b", "./c", "./n", "./t"]),
+    ("r/a.js", None, "const a = require ('a');\nawait import ('b');\n", ["a", "b"]),
+    ("r/a.cpp", "c", "#include <vector>\n", ["vector"]),
+    ("r/a.txt", None, "import os\n", []),
+])
+def test_raw_imports(spark, path, language, text, want):
+    df = spark.createDataFrame([(path, language, text)], "file_path string, language string, content string")
+    assert sorted(r.raw_import for r in raw_imports(df).collect()) == want
