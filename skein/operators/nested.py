@@ -3,12 +3,14 @@
 The JVM decodes the JSON text into typed nested columns; Python only sees Arrow
 buffers.  A child table is emitted from a list column's offsets: its values
 are the child rows, ``list_parent_indices`` names each child's parent and keys
-travel down by one ``take``.  No row is visited in Python.
+travel down by one ``take``.  Only packed payloads and members below the typed levels
+are visited one by one.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,8 @@ NODES_SCHEMA = "raw_id long, node_kind string, own_key string, parent_key string
 
 #: Levels of members that the JVM decodes; deeper ones follow level by level.
 TYPED_LEVELS = 3
-#: Layers of packing (text in text, envelopes, one-element lists) that are opened.
-PACKING = 4
+#: What tells a map; the first two hold its records.
+KNOWN = ("files", "index", "stats", "root", "generated_at")
 
 
 def _symbol_type(levels: int) -> str:
@@ -41,17 +43,56 @@ def _is_map(text: Column) -> Column:
     return F.startswith(text, F.lit("{")) & F.coalesce(*known).isNotNull()
 
 
-def _open_once(text: Column) -> Column:
-    """The text inside one layer of packing; a map's own text stays."""
-    quoted = F.element_at(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>"), 1)
-    listed = F.try_element_at(F.from_json(text, "array<string>"), F.lit(1))
-    inside = F.filter(F.map_values(F.from_json(text, "map<string,string>")), lambda v: F.ltrim(v).rlike(r'^["{\[]'))
-    return F.ltrim(
-        F.when(F.startswith(text, F.lit('"')), quoted)
-        .when(F.startswith(text, F.lit("[")), listed)
-        .when(~_is_map(text), F.try_element_at(inside, F.lit(1)))
-        .otherwise(text)
-    )
+def _holds_records(text: Column) -> Column:
+    probe = F.from_json(text, PROBE)
+    return F.startswith(text, F.lit("{")) & F.coalesce(*[F.when(probe[k].rlike(r"^\s*[{\[]"), True) for k in KNOWN[:2]], F.lit(False))
+
+
+_BLANK = re.compile(r"[ \t\r\n]*")
+_DECODER = json.JSONDecoder(strict=False)
+
+
+def _parts(text: str) -> Iterator[tuple[str | None, object, str]]:
+    """Key (None in a list), value and own text of each part of an object or list."""
+    skip = lambda i: _BLANK.match(text, i).end()
+    i = skip(1)
+    while text[i] not in "}]":
+        key = None
+        if text[0] == "{":
+            key, i = _DECODER.raw_decode(text, i)
+            i = skip(skip(i) + 1)
+        value, end = _DECODER.raw_decode(text, i)
+        yield key, value, text[i:end]
+        i = skip(end)
+        i = skip(i + 1) if text[i] == "," else i
+
+
+def _unpacked(text: str) -> str:
+    """The text of the map inside any layers of packing, of several the one that tells most, then the first."""
+    best, found = (False, 0), text
+    stack = [text]
+    while stack:
+        t = stack.pop().lstrip("\ufeff \t\r\n")
+        try:
+            if t[:1] == '"':
+                stack.append(_DECODER.raw_decode(t)[0])
+            if t[:1] not in ("{", "["):
+                continue
+            parts = list(_parts(t))
+        except (ValueError, IndexError, RecursionError):
+            continue
+        known = {k: v for k, v, _ in parts if k in KNOWN and v is not None}
+        records = any(isinstance(known.get(k), (dict, list)) or (isinstance(known.get(k), str) and known[k].lstrip()[:1] in ("{", "[")) for k in KNOWN[:2])
+        if (records, len(known)) > best:
+            best, found = (records, len(known)), t
+        if not records:
+            inside = [own for k, v, own in parts if k not in KNOWN and isinstance(v, (dict, list, str))]
+            stack.extend(reversed(inside))
+    return found
+
+
+def _unpack(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _unpacked(t) for t in texts.to_pylist()], pa.string())
 
 
 def decoded_maps(raw: DataFrame) -> DataFrame:
@@ -59,12 +100,14 @@ def decoded_maps(raw: DataFrame) -> DataFrame:
 
     A payload counts once per ``raw_id`` (the one received last).  Texts that
     are no valid JSON give no row; ``is_map`` is not true where no layer holds a map.
+    Payloads that are no map with records themselves are opened to any depth,
+    through every value of every layer.
     """
     text = F.ltrim(F.regexp_replace(F.col("payload"), "^﻿", ""))
     one = raw.groupBy("raw_id").agg(F.max_by("payload", F.struct("received_at", "payload")).alias("payload"))
     texts = one.where(F.try_parse_json("payload").isNotNull()).select("raw_id", text.alias("t"))
-    for _ in range(PACKING):
-        texts = texts.select("raw_id", _open_once(F.col("t")).alias("t"))
+    texts = texts.select("raw_id", "t", F.when(~_holds_records(F.col("t")), F.col("t")).alias("packed"))
+    texts = texts.select("raw_id", F.coalesce(F.arrow_udf(_unpack, "string")("packed"), "t").alias("t"))
     # No filter here: pushed below the projections above it would copy each layer's expressions into the next.
     top = texts.select("raw_id", _is_map(F.col("t")).alias("is_map"), "t").select(
         "raw_id",

@@ -157,6 +157,25 @@ def test_nested(spark, rows):
     assert flatten_maps(spark.createDataFrame([], "raw_id long, payload string, received_at timestamp")).count() == 0
 
 
+def test_nested_any_packing(spark, rows):
+    plain = {"files": {"a.py": {"hash": "h", "symbols": [{"name": "f", "deps": ["g"]}]}}, "index": {"f": {"file": "a.py"}}, "stats": {"files_processed": 1.50}}
+    text = json.dumps(plain)
+    five = text
+    for _ in range(5):
+        five = json.dumps(five)
+    lists = text
+    for _ in range(9):
+        lists = f"[{lists}]"
+    payloads = {
+        1: five, 2: lists, 3: json.dumps({"sent_by": {"name": "s", "stats": {"files": 3}}, "code_map": plain}), 4: json.dumps([{"part": 1}, "x", json.dumps({"body": [text]})]),
+        5: json.dumps({"root": "/w", "note": "{not json", "data": {"inner": text}}), 6: json.dumps({"sent_by": {"root": "/s"}, "files": 3, "code_map": plain}),
+    }
+    df = spark.createDataFrame([(i, p, T0) for i, p in payloads.items()], "raw_id long, payload string, received_at timestamp")
+    want = brute_nodes(0, text)
+    assert len(want) == 5
+    assert set(rows(flatten_maps(df))) == {(i, *r[1:]) for i in payloads for r in want}
+
+
 def drift(spark, batches):
     data = [(f, b, json.dumps(r) if isinstance(r, dict) else r, "x") for f, b, r in batches]
     return spark.createDataFrame(data, "f string, b int, p string, key string")
