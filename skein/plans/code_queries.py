@@ -484,6 +484,13 @@ def importers_chain_d3(spark, sf_dir):
     return graph.chains(_graph(spark, sf_dir), start, reverse=True)
 
 
+@query(_chain_sql(True, f"select distinct {_CANON.format('path')} as path from hub_nodes where path is not null"))
+def importers_chain_hubs_d3(spark, sf_dir):
+    """What reaches the hubs of the shared library in three imports."""
+    start = table(spark, sf_dir, "hub_nodes").select(canonical_path(F.col("path")).alias("path")).dropna().distinct()
+    return graph.chains(_graph(spark, sf_dir), start, reverse=True)
+
+
 @query(f"""with {_GRAPH}, h as (select path from d where in_degree >= 8), y as (select file_path, count(distinct name) as n from symbols where type in ('class', 'function') group by 1)
 select h.path, coalesce(n, 0) as n_symbols from h left join y on y.file_path = h.path""")
 def hub_symbols(spark, sf_dir):

@@ -492,3 +492,13 @@ def test_spread_leaves_shuffles_alone(spark, small):
 def test_raw_imports(spark, path, language, text, want):
     df = spark.createDataFrame([(path, language, text)], "file_path string, language string, content string")
     assert sorted(r.raw_import for r in raw_imports(df).collect()) == want
+
+
+def test_chains_start_at_hubs(spark, small):
+    from skein.plans.code_queries import QUERIES
+
+    hubs = {r.path for r in table(spark, small, "hub_nodes").select("path").dropna().distinct().collect()}
+    first = QUERIES["importers_chain_hubs_d3"](spark, small).where("depth = 1")
+    assert {r.start for r in first.select("start").distinct().collect()} == hubs
+    edges = graph.import_graph(table(spark, small, "import_edges")).where(F.col("dst").isin(*hubs))
+    assert first.count() == edges.count()
