@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.sources.tables import tasks_for
+from skein.sources.tables import ensure_checkpoint_dir, small_side, tasks_for
 
 KINDS = ("added", "removed", "changed")
 
@@ -97,7 +97,7 @@ def snapshot_changes(
     key: str,
     values: list,
     received: str | None = None,
-    rows_per_task: int = 2_000_000,
+    bytes_per_task: int = 16_000_000,
 ) -> DataFrame:
     """Records added, removed or changed by each snapshot but the first of its series.
 
@@ -112,6 +112,7 @@ def snapshot_changes(
 
     Returns ``(snapshot, key, change_kind)`` without duplicates.
     """
+    ensure_checkpoint_dir(records.sparkSession)
     ranks = rank_snapshots(snapshots, snapshot, series, at)
     value_cols = [F.col(v) if isinstance(v, str) else v for v in values]
     hashed = F.xxhash64(*[x for v in value_cols for x in (v.isNull(), v)])
@@ -128,11 +129,13 @@ def snapshot_changes(
         F.col("_seq").cast("long").alias("seq"),
         F.col("_snapshot").cast("long").alias("snapshot"), F.col("_next").cast("long").alias("next"),
     )
-    least = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = tasks_for(records.count(), rows_per_task, least)
-    found = compact.repartition(buckets, "k1").mapInArrow(_differences, "_k1 long, _k2 long, _owner long, _kind tinyint")
-    # Full values only of keys that differ: one path for each key, and those met by a difference stay.
-    names = joined.groupBy(k1.alias("_k1"), k2.alias("_k2")).agg(F.first("_key").alias("_key"))
+    # A bucket holds some hundred bytes for each dozen bytes of the (compressed) table.
+    buckets = compact.repartition(tasks_for(rows, bytes_per_task), "k1")
+    found = buckets.mapInArrow(_differences, "_k1 long, _k2 long, _owner long, _kind tinyint").checkpoint()
+    # Full values only of keys that differ: the others' rows go no further than their scan.
+    keys = found.select("_k1", "_k2").distinct()
+    named = joined.select(k1.alias("_k1"), k2.alias("_k2"), "_key").join(small_side(keys, found.count()), ["_k1", "_k2"], "left_semi")
+    names = named.groupBy("_k1", "_k2").agg(F.first("_key").alias("_key"))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("_kind").cast("int") + 1)
     return found.join(names, ["_k1", "_k2"]).select(
         F.col("_owner").alias(snapshot), F.col("_key").alias(key), kind.alias("change_kind")

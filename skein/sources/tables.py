@@ -7,6 +7,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the one the cluster names, else one of our own.
 
     ``spark.checkpoint.dir`` names a folder that all executors share.  Only a
-    session that sets nothing (tests, a laptop) gets a temporary folder.
+    local session that sets nothing (tests, a laptop) gets a temporary folder; a
+    cluster without one is refused, as its executors would not see it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -27,13 +29,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not sc.getCheckpointDir():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix=f"skein-{os.getpid()}-"))
     return sc.getCheckpointDir()
 
 
-def tasks_for(rows: int, rows_per_task: int, least: int = 1) -> int:
-    """Partitions so that none holds more than about ``rows_per_task`` rows."""
-    return max(least, -(-rows // rows_per_task))
+#: A side of at most so many rows (which are counted first) may be sent to every task.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, how_many: int | None = None) -> DataFrame:
+    """A side that is cheap to count, marked for broadcast if it has at most BROADCAST_ROWS rows; else joined by shuffle."""
+    n = df.count() if how_many is None else how_many
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def tasks_for(df: DataFrame, bytes_per_task: int) -> int:
+    """Tasks so that none gets more than about ``bytes_per_task`` of what the plan reads, and at least as many as a shuffle has.
+
+    The size is the optimizer's, from the files' lengths and the columns read: no
+    job runs for it.  Where it knows none, tasks are as many as the input has, twice.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // bytes_per_task) if size < 2**60 else 2 * df.rdd.getNumPartitions())
 
 
 #: Plan nodes that run no shuffle, so that counting partitions starts no job.
