@@ -13,6 +13,7 @@ from skein.operators.drift import consistent_records, record_fields, schema_chan
 from skein.operators.nested import flatten_maps
 from skein.operators.selection import distinct_per_key, quantiles_per_key
 from skein.operators.snapshots import snapshot_changes
+from skein.sources import tables
 
 T0 = datetime(2025, 1, 1)
 MAPS = "map_id long, root string, generated_at timestamp, clash string"
@@ -89,14 +90,35 @@ def test_distinct_per_key(spark, rows):
     assert rows(distinct_per_key(df.where("false"), F.col("key"), F.col("v"))) == []
 
 
-@pytest.mark.parametrize("small", [1, 50, 10_000])
-def test_quantiles_exact(spark, rows, small):
+@pytest.mark.parametrize("prefixes,limit", [((16, 32, 64), 10), ((2, 4, 64), 0), ((1,), 10_000), ((1, 3, 6), 3)])
+def test_distinct_bins_are_split_until_each_holds_one(spark, rows, monkeypatch, prefixes, limit):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", limit)
+    data = [("hot", f"v{i * i % 997}") for i in range(9000)] + [(f"k{i % 40}", f"w{i % 7}") for i in range(400)]
+    want = sorted((k, len({v for key, v in data if key == k})) for k in {k for k, _ in data})
+    df = spark.createDataFrame(data, "key string, v string")
+    assert rows(distinct_per_key(df, F.col("key"), F.col("v"), prefixes=prefixes)) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("bins", [64, 256])
+def test_quantiles_above_the_old_bounds(spark, bins):
+    rng = random.Random(bins)
+    data = [("hot", rng.randrange(-(2**62), 2**62)) for _ in range(12_000)] + [(f"k{i % 300}", i // 300) for i in range(1500)]
+    df = spark.createDataFrame(data, "key string, v long")
+    held = defaultdict(list)
+    for k, v in data:
+        held[k].append(v)
+    want = {k: (len(v), sorted(v)[max(1, -(-len(v) // 2)) - 1], max(v)) for k, v in held.items()}
+    assert {r[0]: tuple(r)[1:] for r in quantiles_per_key(df, F.col("key"), F.col("v"), [0.5, 1.0], bins=bins).collect()} == want
+
+
+@pytest.mark.parametrize("hot_share", [0.0, 0.05, 1.0])
+def test_quantiles_exact(spark, rows, hot_share):
     rng = random.Random(1)
     data = [("hot", int(rng.paretovariate(0.3)) % 10**12 * rng.choice([1, -1])) for _ in range(3000)]
     data += [("tied", 7)] * 400 + [("tied", 8)] * 3 + [("one", -5), ("nul", None), (None, 3)]
     df = spark.createDataFrame(data, "key string, v long")
     probs = [0.0, 0.01, 0.5, 0.99, 1.0]
-    got = {r[0]: tuple(r)[1:] for r in quantiles_per_key(df, F.col("key"), F.col("v"), probs, bins=16, small=small).collect()}
+    got = {r[0]: tuple(r)[1:] for r in quantiles_per_key(df, F.col("key"), F.col("v"), probs, bins=16, hot_share=hot_share).collect()}
     want = {}
     for k in ("hot", "tied", "one"):
         v = sorted(x for key, x in data if key == k)
