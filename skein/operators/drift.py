@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.sources.tables import ensure_checkpoint_dir
+from skein.sources.tables import ensure_checkpoint_dir, small_side
 
 #: The consistent symbol table: field, type, value where a record lacks the field.
 TARGET = [
@@ -43,32 +43,25 @@ def json_type(value: Column) -> Column:
     )
 
 
-def record_fields(raw: DataFrame, feed: str, batch: str, payload: str, identity: str) -> DataFrame:
-    """One row per record and key: ``feed, batch, sid, key, kind, text``.
+def open_records(raw: DataFrame, feed: str, batch: str, payload: str, identity: str) -> DataFrame:
+    """One row per record: ``feed, batch, sid, m``, the fields of a record as one map from key to variant.
 
-    Payloads that are no JSON object give no rows.  ``kind`` and ``text`` are
-    null for a JSON null; ``sid`` is null where the record names none.
+    Payloads that are no JSON object have no fields; ``sid`` is null where the
+    record names none.
     """
-    kept = raw.select(F.col(feed).alias("feed"), F.col(batch).alias("batch"), F.col(payload).alias("_p"))
-    opened = kept.where(F.col("feed").isNotNull() & F.col("batch").isNotNull()).select(
-        "feed",
-        "batch",
-        F.from_json("_p", "map<string,variant>").alias("_m"),
-        F.get_json_object("_p", f"$.{identity}").alias("sid"),
-    )
-    rows = opened.select("feed", "batch", "sid", F.explode("_m").alias("key", "value"))
-    kind = json_type(F.col("value"))
-    return rows.select(
-        "feed", "batch", "sid", "key", kind.alias("kind"), F.when(kind.isNotNull(), F.to_json("value")).alias("text")
-    )
+    return raw.where(F.col(feed).isNotNull() & F.col(batch).isNotNull()).select(
+        F.col(feed).alias("feed"), F.col(batch).alias("batch"),
+        F.get_json_object(payload, f"$.{identity}").alias("sid"), F.from_json(payload, "map<string,variant>").alias("m"),
+    )
 
 
-def fingerprints(fields: DataFrame) -> DataFrame:
+def fingerprints(records: DataFrame) -> DataFrame:
     """The schema of each batch, as a map from key to its types, with the batch before it in the feed.
 
     Only (feed, batch, key, type) counts are shuffled: a feed that sends most
     of the records is merged before that.
     """
+    fields = records.select("feed", "batch", F.explode("m").alias("key", "value")).select("feed", "batch", "key", json_type(F.col("value")).alias("kind"))
     per_type = fields.groupBy("feed", "batch", "key", "kind").agg(F.count("*").alias("n"))
     per_key = per_type.groupBy("feed", "batch", "key").agg(
         F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("types")
@@ -82,12 +75,13 @@ def fingerprints(fields: DataFrame) -> DataFrame:
     )
 
 
-def renames(fields: DataFrame, prints: DataFrame) -> DataFrame:
+def renames(records: DataFrame, prints: DataFrame) -> DataFrame:
     """``feed, batch, old, new``: a vanished key whose values a new key carries for the same records.
 
     At least one record must show the value under both keys and none another
     value.  Of several candidates the one seen on most records wins, then the
-    first by name; a key takes part in one rename of a batch.
+    first by name; a key takes part in one rename of a batch.  Only values of
+    keys that came or went, in the batches where they did, leave the scan.
     """
     both = prints.where("was is not null").select(
         "feed",
@@ -97,21 +91,25 @@ def renames(fields: DataFrame, prints: DataFrame) -> DataFrame:
         F.array_except(F.map_keys("schema"), F.map_keys("was")).alias("come"),
     )
     both = both.where("size(gone) > 0 and size(come) > 0")
-    gone = both.select("feed", "batch", F.col("before").alias("at"), F.explode("gone").alias("key"))
-    come = both.select("feed", "batch", F.col("batch").alias("at"), F.explode("come").alias("key"))
-
-    def seen(wanted: DataFrame, name: str, value: str) -> DataFrame:
-        at = fields.withColumnRenamed("batch", "at").where("sid is not null and text is not null")
-        return (
-            at.join(wanted, ["feed", "at", "key"])
-            .select("feed", "batch", "sid", F.col("key").alias(name), F.concat_ws(":", "kind", "text").alias(value))
-            .distinct()
-        )
-
-    pairs = seen(gone, "old", "v").join(seen(come, "new", "u"), ["feed", "batch", "sid"])
+    sides = both.select(
+        "feed",
+        F.explode(F.array(F.struct(F.col("before").alias("at"), "batch", F.col("gone").alias("keys"), F.lit(True).alias("old")), F.struct(F.col("batch").alias("at"), "batch", F.col("come").alias("keys"), F.lit(False).alias("old")))).alias("s"),
+    ).select("feed", F.col("s.at").alias("_at"), "s.batch", "s.keys", "s.old")
+    # A row for each batch and side, as few as the batches.
+    wanted = small_side(sides)
+    shown = records.withColumnRenamed("batch", "_at").where("sid is not null").join(wanted, ["feed", "_at"])
+    value = F.try_element_at("m", F.col("key"))
+    kind = json_type(value)
+    shown = shown.select("feed", "batch", "sid", "old", "m", F.explode("keys").alias("key")).select(
+        "feed", "batch", "sid", "old", "key", F.when(kind.isNotNull(), F.concat_ws(":", kind, F.to_json(value))).alias("v")
+    )
+    shown = shown.where("v is not null")
+    side = lambda old: F.collect_set(F.when(F.col("old") == old, F.struct("key", "v")))
+    met = shown.groupBy("feed", "batch", "sid").agg(side(True).alias("o"), side(False).alias("n")).where("size(o) > 0 and size(n) > 0")
+    pairs = met.select("feed", "batch", F.explode("o").alias("o"), "n").select("feed", "batch", "o", F.explode("n").alias("n"))
     agreed = (
-        pairs.groupBy("feed", "batch", "old", "new")
-        .agg(F.count_if(F.col("u") == F.col("v")).alias("same"), F.count_if(F.col("u") != F.col("v")).alias("other"))
+        pairs.groupBy("feed", "batch", F.col("o.key").alias("old"), F.col("n.key").alias("new"))
+        .agg(F.count_if(F.col("o.v") == F.col("n.v")).alias("same"), F.count_if(F.col("o.v") != F.col("n.v")).alias("other"))
         .where("same > 0 and other = 0")
     )
     by_old = Window.partitionBy("feed", "batch", "old").orderBy(F.desc("same"), "new")
@@ -125,7 +123,7 @@ def renames(fields: DataFrame, prints: DataFrame) -> DataFrame:
     )
 
 
-def schema_changes(fields: DataFrame) -> DataFrame:
+def schema_changes(records: DataFrame) -> DataFrame:
     """``feed, batch, change_kind, field_name, was``: each batch against the batch before it in its feed.
 
     ``added`` and ``removed`` keys occur in no record of the other batch;
@@ -134,9 +132,9 @@ def schema_changes(fields: DataFrame) -> DataFrame:
     value in either batch has no type to compare.
     """
     # Both are as small as the schemas (a row per batch, a row per renamed key), and read several times.
-    ensure_checkpoint_dir(fields.sparkSession)
-    prints = fingerprints(fields).checkpoint()
-    moved = renames(fields, prints).checkpoint()
+    ensure_checkpoint_dir(records.sparkSession)
+    prints = fingerprints(records).checkpoint()
+    moved = renames(records, prints).checkpoint()
     pairs = prints.where("was is not null")
     come = pairs.select("feed", "batch", F.explode(F.array_except(F.map_keys("schema"), F.map_keys("was"))).alias("k"))
     gone = pairs.select("feed", "batch", F.explode(F.array_except(F.map_keys("was"), F.map_keys("schema"))).alias("k"))
@@ -174,28 +172,40 @@ def consistent_records(raw: DataFrame, feed: str, batch: str, payload: str, iden
     began as (a key renamed from another in batch b means that field from b on),
     then through the target's cast (a value that cannot be cast is null) and
     default rules.  Fields outside the target stay under their first names in
-    ``other``.  A record delivered twice in a batch counts once.
+    ``other``.  Where two keys of a record lead to one field, the renamed one
+    counts.  A record delivered twice in a batch counts once; of different
+    deliveries the greatest payload counts.  A record moves once, as it came:
+    its fields are never rows of their own.
     """
     target = target or TARGET
-    fields = record_fields(raw, feed, batch, payload, identity).where("sid is not null").distinct()
-    steps = renames(fields, fingerprints(fields)).select("feed", F.col("batch").cast("long"), "old", "new")
+    ensure_checkpoint_dir(raw.sparkSession)
+    records = open_records(raw, feed, batch, payload, identity)
+    steps = renames(records, fingerprints(records).checkpoint()).select("feed", F.col("batch").cast("long"), "old", "new")
     # The steps of one feed: as many as it has renamed keys, far below a task's memory.
     named = steps.groupBy("feed").applyInPandas(_chain, "feed string, batch long, key string, first_name string")
     uses = named.groupBy("feed", "key").agg(F.array_sort(F.collect_list(F.struct("batch", "first_name"))).alias("uses"))
-    latest = F.element_at(F.filter("uses", lambda u: u["batch"] <= F.col("batch")), -1)
-    routed = fields.join(uses, ["feed", "key"], "left").withColumn("field", F.coalesce(latest["first_name"], "key"))
-    plain = F.when(F.col("kind") == "string", F.element_at(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), 1))
-    per_record = routed.groupBy("feed", "batch", "sid").agg(
-        F.map_from_entries(
-            F.array_sort(
-                F.array_distinct(F.collect_list(F.when(F.col("field") != identity, F.struct("field", plain.otherwise(F.col("text")).alias("v")))))
-            )
-        ).alias("m")
+    routes = uses.groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("key", "uses"))).alias("routes")).checkpoint()
+    kept = raw.where(F.col(feed).isNotNull() & F.col(batch).isNotNull()).select(
+        F.col(feed).alias("feed"), F.col(batch).alias("batch"), F.get_json_object(payload, f"$.{identity}").alias("sid"), F.col(payload).alias("p")
     )
+    one = kept.where("sid is not null").repartition("feed", "batch", "sid").groupBy("feed", "batch", "sid").agg(F.max("p").alias("p"))
+    routed = one.join(small_side(routes), "feed", "left").select("feed", "batch", "sid", "routes", F.from_json("p", "map<string,variant>").alias("m"))
+    latest = lambda key: F.element_at(F.filter(F.try_element_at("routes", key), lambda u: u["batch"] <= F.col("batch")), -1)["first_name"]
+    entry = lambda e: F.struct(F.coalesce(latest(e["key"]), e["key"]).alias("field"), latest(e["key"]).isNull().alias("own"), _text(e["value"]).alias("v"))
+    entries = F.filter(F.array_sort(F.transform(F.map_entries("m"), entry)), lambda e: e["field"] != identity)
+    routed = routed.withColumn("e", entries)
+    first = F.filter("e", lambda e, i: (i == 0) | (F.get("e", i - 1)["field"] != e["field"]))
+    mapped = routed.withColumn("m", F.map_from_entries(F.transform(first, lambda e: F.struct(e["field"], e["v"]))))
     cols = []
     for name, kind, default in target:
         value = F.try_element_at("m", F.lit(name))
         value = value if kind == "string" else value.try_cast(kind)
         cols.append((value if default is None else F.coalesce(value, F.lit(default))).alias(name))
     names = [n for n, _, _ in target]
-    return per_record.select("feed", "batch", "sid", *cols, F.map_filter("m", lambda k, v: ~k.isin(names)).alias("other"))
+    return mapped.select("feed", "batch", "sid", *cols, F.map_filter("m", lambda k, v: ~k.isin(names)).alias("other"))
+
+
+def _text(value: Column) -> Column:
+    """A string as it is, other values as their JSON text, JSON null as null."""
+    kind = json_type(value)
+    return F.when(kind == "string", value.cast("string")).when(kind.isNotNull(), F.to_json(value))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.paths import canonical_path
-from skein.operators.drift import consistent_records, record_fields, schema_changes
+from skein.operators.drift import TARGET, consistent_records, open_records, schema_changes
 from skein.operators.nested import flatten_maps
 from skein.operators.selection import distinct_per_key, quantiles_per_key
 from skein.operators.snapshots import snapshot_changes
@@ -67,13 +67,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_maps(table(spark, sf_dir, "raw_maps"))
 
 
-def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record_fields(table(spark, sf_dir, "raw_symbols"), "feed", "batch_no", "payload", "sid")
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return open_records(table(spark, sf_dir, "raw_symbols"), "feed", "batch_no", "payload", "sid")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each batch of a feed changed in the schema."""
-    return schema_changes(_fields(spark, sf_dir)).withColumnRenamed("batch", "batch_no")
+    return schema_changes(_records(spark, sf_dir)).withColumnRenamed("batch", "batch_no")
 
 
 def p6_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +139,38 @@ with cells as (
 )
 """
 
+_SYMBOLS = (
+    _FIELDS.replace("with cells", "with recursive cells", 1).rstrip()
+    + """, steps(feed, batch_no, key, first_name, since) as (
+  select feed, batch_no, new, old, batch_no from moved
+  union all
+  select s.feed, s.batch_no, s.key, m.old, m.batch_no from steps s join moved m on m.feed = s.feed and m.new = s.first_name and m.batch_no < s.since
+), named as (
+  select feed, batch_no, key, arg_min(first_name, since) as first_name from steps group by all
+), records as (
+  select feed, batch_no, json_extract_string(payload, '$.sid') as sid, max(payload) as p from raw_symbols where json_extract_string(payload, '$.sid') is not null group by all
+), opened as (
+  select r.feed, r.batch_no, r.sid, e.key, case when e.type = 'VARCHAR' then json_extract_string(e.value, '$') when e.type <> 'NULL' then e.value::varchar end as v
+  from records r, json_each(r.p) e where e.key <> 'sid'
+), routed as (
+  select o.feed, o.batch_no, o.sid, coalesce(arg_max(n.first_name, n.batch_no), o.key) as field, count(n.key) = 0 as own, o.v
+  from opened o left join named n on n.feed = o.feed and n.key = o.key and n.batch_no <= o.batch_no group by o.feed, o.batch_no, o.sid, o.key, o.v
+), one as (
+  select * from routed qualify row_number() over (partition by feed, batch_no, sid, field order by own, v) = 1
+)
+"""
+)
+
+
+def _target_sql(name: str, kind: str, default) -> str:
+    value = f"max(v) filter (where field = '{name}')"
+    if kind == "bigint":
+        value = f"case when regexp_full_match({value}, '[+-]?[0-9]+') then try_cast({value} as bigint) end"
+    elif kind != "string":
+        value = f"try_cast({value} as {kind})"
+    return f"{value if default is None else f'coalesce({value}, {default})'} as {name}"
+
+
 ORACLE = {
     "p2_found": _CHANGES + "select map_id, file_path, change_kind from changes",
     "p2_change_counts": _CHANGES + "select map_id, change_kind, count(*) as n_files from changes group by all",
@@ -161,4 +193,9 @@ select g.feed, g.batch_no, 'removed', g.key, '' from gone g left join moved m on
 union all
 select s.feed, s.batch_no, 'retyped', s.key, '' from schemas s join batches b using (feed, batch_no)
 join schemas p on p.feed = s.feed and p.batch_no = b.before and p.key = s.key where s.kinds <> '' and p.kinds <> '' and s.kinds <> p.kinds""",
+    "p6_symbols": _SYMBOLS
+    + f"""select feed, batch_no, sid, {", ".join(_target_sql(*t) for t in TARGET)},
+  '{{' || coalesce(string_agg(to_json(field)::varchar || ':' || coalesce(to_json(v)::varchar, 'null'), ',' order by field)
+    filter (where field not in ({", ".join(f"'{t[0]}'" for t in TARGET)})), '') || '}}' as other
+from one group by feed, batch_no, sid""",
 }

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.paths import canonical_path
-from skein.operators.drift import consistent_records, record_fields, schema_changes
+from skein.operators.drift import consistent_records, open_records, schema_changes
 from skein.operators.nested import flatten_maps
 from skein.operators.selection import distinct_per_key, quantiles_per_key
 from skein.operators.snapshots import snapshot_changes
@@ -208,15 +208,15 @@ def test_drift_changes(spark, rows):
     second = [{"sid": i, "label": f"n{i}", "line": str(i), "flag": None, "fresh": [i], "ext": {"a": 1}} for i in range(5)]
     third = [{"sid": i, "label": f"n{i}", "line": str(i), "flag": 1.5, "ext": {"a": 1}} for i in range(6)]
     data = drift(spark, [("f", 1, r) for r in first * 2] + [("f", 2, r) for r in second] + [("f", 4, r) for r in third] + [("g", 1, first[0]), ("g", 2, "no json"), (None, 1, first[0]), ("g", 3, "[1]")])
-    got = rows(schema_changes(record_fields(data, "f", "b", "p", "sid")))
+    got = rows(schema_changes(open_records(data, "f", "b", "p", "sid")))
     want = [("f", 2, "renamed", "label", "name"), ("f", 2, "removed", "gone", ""), ("f", 2, "added", "fresh", ""), ("f", 2, "retyped", "line", ""), ("f", 4, "removed", "fresh", "")]
     assert got == sorted(want, key=repr)
-    assert rows(schema_changes(record_fields(data.where("false"), "f", "b", "p", "sid"))) == []
+    assert rows(schema_changes(open_records(data.where("false"), "f", "b", "p", "sid"))) == []
 
 
 def test_drift_rename_needs_equal_values(spark, rows):
     data = drift(spark, [("f", 1, {"sid": i, "a": True, "b": i}) for i in range(8)] + [("f", 2, {"sid": i, "c": i % 2 == 0, "d": i}) for i in range(8)])
-    got = rows(schema_changes(record_fields(data, "f", "b", "p", "sid")))
+    got = rows(schema_changes(open_records(data, "f", "b", "p", "sid")))
     assert got == sorted([("f", 2, "removed", "a", ""), ("f", 2, "added", "c", ""), ("f", 2, "renamed", "d", "b")], key=repr)
 
 
@@ -224,3 +224,18 @@ def test_drift_one_table(spark):
     batches = [("f", 1, {"sid": 1, "name": "x", "line_start": 3}), ("f", 2, {"sid": 1, "label": "x", "line_start": "4"}), ("f", 3, {"sid": 1, "tag": "x", "line_start": "q", "truncated": True})]
     got = consistent_records(drift(spark, batches), "f", "b", "p", "sid").orderBy("batch").select("batch", "name", "line_start", "truncated", "other").collect()
     assert [tuple(r) for r in got] == [(1, "x", 3, False, {}), (2, "x", 4, False, {}), (3, "x", None, True, {})]
+
+
+def test_drift_two_keys_lead_to_one_field(spark):
+    batches = [("f", 1, {"sid": i, "name": f"x{i}"}) for i in range(3)] + [("f", 2, {"sid": i, "label": f"x{i}"}) for i in range(3)]
+    batches += [("f", 3, {"sid": 1, "label": "new", "name": "other", "deep": {"a": [1, None]}}), ("f", 3, {"sid": 1, "label": "new", "name": "other", "deep": {"a": [1, None]}}), ("f", 3, {"sid": 2})]
+    got = consistent_records(drift(spark, batches), "f", "b", "p", "sid").where("batch = 3").orderBy("sid").select("sid", "name", "other").collect()
+    assert [tuple(r) for r in got] == [("1", "new", {"deep": '{"a":[1,null]}'}), ("2", None, {})]
+    assert consistent_records(drift(spark, batches).where("false"), "f", "b", "p", "sid").count() == 0
+
+
+def test_drift_steps_too_many_to_send(spark, rows, monkeypatch):
+    data = drift(spark, [("f", 1, {"sid": i, "a": True, "b": i}) for i in range(8)] + [("f", 2, {"sid": i, "c": i % 2 == 0, "d": i}) for i in range(8)])
+    want = rows(schema_changes(open_records(data, "f", "b", "p", "sid"))), [repr(r) for r in rows(consistent_records(data, "f", "b", "p", "sid"))]
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
+    assert (rows(schema_changes(open_records(data, "f", "b", "p", "sid"))), [repr(r) for r in rows(consistent_records(data, "f", "b", "p", "sid"))]) == want
