@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -14,8 +9,8 @@ from skein.functions.paths import canonical_path
 from skein.sources.tables import ensure_checkpoint_dir
 
 HUB_DEGREE = 3
-#: Graphs of at most this many edges and files are ranked in one task; larger ones round by round.
-LOCAL_EDGES = 1_000_000
+#: Rounds of PageRank that run as one job.
+BLOCK_ROUNDS = 5
 
 
 def import_graph(edges: DataFrame) -> DataFrame:
@@ -62,66 +57,71 @@ def connected(graph: DataFrame, path: str) -> DataFrame:
     return out.unionByName(graph.where(F.col("dst") == path).select(F.col("src").alias("path"))).distinct().where(F.col("path") != path)
 
 
-def _local_pagerank(damping: float, iterations: int, tolerance: float):
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), schema=pa.schema([("src", pa.string()), ("dst", pa.string())]))
-        src, dst = t["src"].to_pandas(), t["dst"].to_pandas()
-        code, names = pd.factorize(pd.concat([src, dst], ignore_index=True))
-        a, b = code[: len(src)], code[len(src) :]
-        a, b = a[b >= 0], b[b >= 0]
-        n = len(names)
-        if not n:
-            return
-        out = np.bincount(a, minlength=n)
-        share = 1.0 / np.maximum(out, 1)
-        ranks = np.full(n, 1.0 / n)
-        for _ in range(iterations):
-            got = np.bincount(b, (ranks * share)[a], n)
-            moved = (1 - damping) / n + damping * (ranks[out == 0].sum() / n + got)
-            delta, ranks = np.abs(moved - ranks).sum(), moved
-            if delta < n * tolerance:
-                break
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ranks)], names=["path", "rank"])
-
-    return rank
-
-
-def pagerank(graph: DataFrame, nodes: DataFrame | None = None, *, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def _rounds(links: DataFrame, state: DataFrame, carried: list[str], rounds: int, damping: float) -> DataFrame:
+    """``state`` with ``v1 .. v<rounds>``: each the ranks that the one before passes on (``v0`` the first), damped.
+
+    Every round is one join and one sum.  A file's own numbers travel along a
+    link to itself (weight 0, ``own`` 1), so that the plan stays a chain.
+    """
+    for k in range(1, rounds + 1):
+        met = links.join(state.withColumnRenamed("id", "src"), "src")
+        kept = [F.sum(F.col(c) * F.col("own")).alias(c) for c in carried]
+        state = met.groupBy(F.col("dst").alias("id")).agg(*kept, (F.lit(damping) * F.sum(F.col(f"v{k - 1}") * F.col("weight"))).alias(f"v{k}"))
+        carried = [*carried, f"v{k}"]
+    return state
+
+
+def pagerank(graph: DataFrame, nodes: DataFrame | None = None, *, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, block: int = BLOCK_ROUNDS) -> DataFrame:
     """``(path, rank)``; ranks add up to 1 and files that import nothing pass theirs to all.
 
-    A graph of at most ``local_edges`` edges and files (they are counted) is
-    ranked in one task; any larger one round by round over all of them.  Stops after ``iterations`` rounds or when the ranks move by less than
-    ``files * tolerance`` in all (0: never).  Each round joins the edges with
-    the ranks on the importing file and adds up by imported file; partial sums before it keep hubs from weighing on one task.  Lineage is cut in
-    the shared folder each round, in the same job that measures the change.
+    Stops after ``iterations`` rounds or after the first that moves the ranks
+    by less than ``files * tolerance`` in all (0: never).
+
+    A round is linear: with ``A`` the passing on and ``u`` the even share,
+    ``r' = dA r + b u``, where ``b`` needs the mass of files that import
+    nothing.  So ``block`` rounds run as one job without that number: they give
+    ``(dA)^k r``; as ``(dA)^k u`` is known from the first block, the masses,
+    and with them the ranks of every round, follow from their sums.  Each round
+    is a join on the importing file and a sum by imported file, with partial
+    sums before the shuffle, so hubs do not weigh on one task.  Lineage is cut
+    in the shared folder after each block.
     """
     ensure_checkpoint_dir(graph.sparkSession)
     graph = graph.checkpoint()
-    ends = graph.select("src", "dst")
-    if nodes is not None:
-        ends = ends.unionByName(nodes.select(canonical_path(F.col("path")).alias("src"), F.lit(None).cast("string").alias("dst")).dropna(subset=["src"]).distinct())
-    if ends.count() <= local_edges:
-        return ends.repartition(1).mapInArrow(_local_pagerank(damping, iterations, tolerance), "path string, rank double")
-    degree = degrees(graph, nodes).select("path", "out_degree").checkpoint()
-    n = degree.count()
+    known = degrees(graph, nodes).select("path", "out_degree").withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    n = known.count()
     if not n:
-        return degree.select("path", F.lit(0.0).alias("rank"))
-    links = graph.join(degree.withColumnRenamed("path", "src"), "src").checkpoint()
-    ranks = degree.withColumn("rank", F.lit(1.0 / n))
-    dangling = degree.where("out_degree = 0").count() / n
-    for _ in range(iterations):
-        given = links.join(ranks.select(F.col("path").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("rank") / F.col("out_degree")).alias("got"))
-        base = (1 - damping) / n + damping * dangling / n
-        moved = ranks.withColumnRenamed("rank", "before").join(given, "path", "left").withColumn("rank", F.lit(base) + damping * F.coalesce("got", F.lit(0.0)))
-        # The next round needs the mass of files that import nothing: observed while the ranks are kept.
+        return known.select("path", F.lit(0.0).alias("rank"))
+    links = graph.join(known.select(F.col("path").alias("src"), F.col("id").alias("a"), "out_degree"), "src").join(known.select(F.col("path").alias("dst"), F.col("id").alias("b")), "dst")
+    links = links.select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.lit(1.0) / F.col("out_degree")).alias("weight"), F.lit(0.0).alias("own"))
+    links = links.unionByName(known.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("own"))).checkpoint()
+    state = known.select("id", F.when(F.col("out_degree") == 0, 1.0).otherwise(0.0).alias("idle"), F.lit(1.0 / n).alias("v0"))
+    shared: list[float] = [known.where("out_degree = 0").count() / n]  # idle mass of (dA)^k u
+    mass, columns, done = shared[0], [], 0
+    even = lambda k: F.col(f"u{k}") if k else F.lit(1.0 / n)
+    while done < iterations:
+        rounds = min(block, iterations - done)
         facts = Observation()
-        idle = F.sum(F.when(F.col("out_degree") == 0, F.col("rank")).otherwise(0.0))
-        moved = moved.observe(facts, idle.alias("idle"), F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved"))
-        ranks = moved.select("path", "out_degree", "rank").checkpoint()
-        dangling = facts.get["idle"] or 0.0
-        if facts.get["moved"] < n * tolerance:
-            break
-    return ranks.select("path", "rank")
+        idle = [F.coalesce(F.sum(F.col("idle") * F.col(f"v{k}")), F.lit(0.0)).alias(f"v{k}") for k in range(1, rounds + 1)]
+        found = _rounds(links, state, ["idle", *columns, "v0"], rounds, damping).observe(facts, *idle).checkpoint()
+        if not done:
+            # The ranks began even: what the first block passes on is (dA)^k u.
+            found = found.withColumns({f"u{k}": F.col(f"v{k}") for k in range(1, rounds)})
+            columns = [f"u{k}" for k in range(1, rounds)]
+            shared += [facts.get[f"v{k}"] for k in range(1, rounds)]
+        base, ranks = [], [F.col("v0")]
+        for k in range(1, rounds + 1):
+            base.append((1 - damping) + damping * mass)
+            ranks.append(sum((F.lit(b) * even(k - 1 - i) for i, b in enumerate(base)), F.col(f"v{k}")))
+            mass = facts.get[f"v{k}"] + sum(b * shared[k - 1 - i] for i, b in enumerate(base))
+        last = rounds
+        if tolerance > 0:
+            moved = found.agg(*[F.sum(F.abs(ranks[k] - ranks[k - 1])) for k in range(1, rounds + 1)]).first()
+            last = next((k for k, d in enumerate(moved, 1) if d < n * tolerance), 0) or rounds
+            done = iterations if moved[last - 1] < n * tolerance else done
+        state = found.select("id", "idle", *columns, ranks[last].alias("v0"))
+        done += rounds
+    return known.select("id", "path").join(state.select("id", F.col("v0").alias("rank")), "id").select("path", "rank")
 
 
 def chains(graph: DataFrame, start: DataFrame, *, depth: int = 3, reverse: bool = False) -> DataFrame:

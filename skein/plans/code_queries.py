@@ -462,6 +462,19 @@ def critical_topn(spark, sf_dir):
     return ranks.join(graph.degrees(g, nodes), "path").select("path", "in_degree", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "path").limit(15)
 
 
+def _converged_sql(most: int) -> str:
+    """The ranks of the first round that moves them by less than a millionth a file, of at most ``most`` rounds."""
+    moved = " union all ".join(f"select {k} as k, sum(abs(a.rank - b.rank)) as moved from p{k} a join p{k - 1} b using (path)" for k in range(1, most + 1))
+    ranks = " union all ".join(f"select {k} as k, path, rank from p{k}" for k in range(1, most + 1))
+    return f"{_pagerank_sql(most)}, stop as (select min(k) as k from ({moved}) where moved < 1e-6 * (select count(*) from d)) select path, round(rank, 9) as rank from ({ranks}) where k = (select k from stop)"
+
+
+@query(_converged_sql(30))
+def pagerank_converged(spark, sf_dir):
+    """PageRank with the operator's own rounds and tolerance."""
+    return graph.pagerank(_graph(spark, sf_dir), table(spark, sf_dir, "file_nodes")).select("path", F.round("rank", 9).alias("rank"))
+
+
 def _chain_sql(reverse: bool, start: str) -> str:
     a, b = ("dst", "src") if reverse else ("src", "dst")
     return f"""with recursive {_GRAPH}, t(start, depth, node, trail) as (

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import subprocess
 import time
 
@@ -129,12 +130,12 @@ def test_lines(spark, numbered, rows):
 MINI = [("utils", "config"), ("main", "config"), ("main", "utils"), ("main", "routes"), ("test_config", "config"), ("main", None)]
 
 
-@pytest.mark.parametrize("local_edges", [0, 1000])
-def test_pagerank_golden(spark, local_edges):
+@pytest.mark.parametrize("block", [1, 5, 7])
+def test_pagerank_golden(spark, block):
     ensure_checkpoint_dir(spark)
     edges = spark.createDataFrame(MINI + MINI[:2], "src_file string, dst_file string")
     nodes = spark.createDataFrame([(x,) for x in ("core", "api", "middleware", "tests", "config")], "path string")
-    ranks = {r.path: r["rank"] for r in graph.pagerank(graph.import_graph(edges), nodes, tolerance=1e-9, local_edges=local_edges, iterations=60 if local_edges else 25).collect()}
+    ranks = {r.path: r["rank"] for r in graph.pagerank(graph.import_graph(edges), nodes, tolerance=1e-9, block=block, iterations=25).collect()}
     want = {"config": 0.273447, "utils": 0.108842, "routes": 0.108842, "main": 0.084812, "core": 0.084812}
     assert sum(ranks.values()) == pytest.approx(1) and len(ranks) == 9
     for k, v in want.items():
@@ -152,6 +153,27 @@ def test_pagerank_shapes(spark, edges, want):
     assert got == pytest.approx(want, abs=2e-6)
 
 
+@pytest.mark.parametrize("iterations,tolerance", [(0, 0.0), (3, 0.0), (12, 0.0), (100, 1e-5)])
+def test_pagerank_by_brute_force(spark, iterations, tolerance):
+    rng = random.Random(iterations)
+    pairs = sorted({(f"f{rng.randrange(80)}", f"f{int(rng.paretovariate(0.7)) % 90}") for _ in range(400)})
+    names = sorted({x for p in pairs for x in p} | {"lone"})
+    out = {x: [b for a, b in pairs if a == x] for x in names}
+    ranks = dict.fromkeys(names, 1 / len(names))
+    for _ in range(iterations):
+        idle = sum(r for x, r in ranks.items() if not out[x])
+        moved = dict.fromkeys(names, 0.15 / len(names) + 0.85 * idle / len(names))
+        for x, to in out.items():
+            for y in to:
+                moved[y] += 0.85 * ranks[x] / len(to)
+        delta, ranks = sum(abs(moved[x] - ranks[x]) for x in names), moved
+        if delta < len(names) * tolerance:
+            break
+    g = graph.import_graph(spark.createDataFrame(pairs, "src_file string, dst_file string"))
+    got = graph.pagerank(g, spark.createDataFrame([("lone",)], "path string"), iterations=iterations, tolerance=tolerance)
+    assert {r.path: r["rank"] for r in got.collect()} == pytest.approx(ranks, abs=1e-12)
+
+
 def test_graph(spark, rows):
     edges = spark.createDataFrame([("a", "./b"), ("b", "c"), ("c", "a"), ("d\\x", "a"), ("a", "a"), (None, "a")], "src_file string, dst_file string")
     g = graph.import_graph(edges)
