@@ -23,10 +23,17 @@ from skein.sources.tables import spread
 RUN, SHARE = 5, 0.4
 #: Rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 2000
+#: Weight of the squared weights in the fit.
+DECAY = 1e-3
 #: Calibrated probability from which a document is checked exactly.
 CANDIDATE = 0.05
-WORD_ORDERS, CHAR_ORDERS = (1, 2, 3, RUN), (8, 24)
-BUCKETS = 4096
+#: Words and bytes of the hashed n-grams, and the cells of each.
+WORD_ORDERS, CHAR_ORDERS = (1, 2, 3), (8, 24)
+BUCKET_BITS = 4
+BUCKETS = 1 << BUCKET_BITS
+N_FEATURES = 2 * BUCKETS * (len(WORD_ORDERS) + len(CHAR_ORDERS))
+#: Sign of each weight: n-grams seen before count for repetition, new ones against it.
+SIGNS = np.tile(np.repeat([-1.0, 1.0], BUCKETS), len(WORD_ORDERS) + len(CHAR_ORDERS))
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -69,46 +76,78 @@ def _covered(size: int, starts: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:size]) > 0
 
 
+def _named(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_codes``, and a 64-bit hash of each different word that is the same in every batch."""
+    found = [WORDS.findall(t.lower()) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    flat = np.empty(len(owner), object)
+    flat[:] = [w for f in found for w in f]
+    code, names = pd.factorize(flat)
+    return code, owner, pd.util.hash_array(names, categorize=False) if len(names) else np.empty(0, np.uint64)
+
+
+def _word_grams(words: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and whether it stood earlier in its text, of each run of ``order`` words."""
+    m = len(words) - order + 1
+    if m < 1:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    at = np.flatnonzero(owner[:m] == owner[order - 1 :])
+    h = np.zeros(len(at), np.uint64)
+    for i in range(order):
+        h = (h ^ words[at + i]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    of = owner[at]
+    return h, of, _again(h ^ (of.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+
+
+def _word_counts(grams: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    h, of, again = grams
+    place = (of * 2 + again) * BUCKETS + (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return np.bincount(place, minlength=n * 2 * BUCKETS).reshape(n, 2 * BUCKETS)
+
+
+def _char_counts(flat: np.ndarray, holder: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
+    """New and repeated runs of ``order`` bytes by cell; told apart by a hash table of eight places a byte of the text."""
+    n, m = len(sizes), len(flat) - order + 1
+    if m < 1:
+        return np.zeros((n, 2 * BUCKETS), np.int64)
+    # Eight bytes from each place on, as one number; orders are multiples of eight.
+    eights = np.ndarray(len(flat) - 7, "<u8", flat, strides=(1,))
+    h = np.zeros(m, np.uint64)
+    for i in range(0, order, 8):
+        h = (h ^ eights[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    inside = holder[:m] == holder[order - 1 :]
+    h, of = h[inside], holder[:m][inside]
+    bits = np.maximum(np.ceil(np.log2(np.maximum(sizes, 1) * 8)), BUCKET_BITS).astype(np.int64)
+    first = np.cumsum(1 << bits) - (1 << bits)
+    used = np.zeros(int((1 << bits).sum()), bool)
+    used[first[of] + (h >> (64 - bits).astype(np.uint64)[of]).astype(np.int64)] = True
+    edges = (first[:, None] + (np.arange(BUCKETS) << (bits - BUCKET_BITS)[:, None])).ravel()
+    new = np.add.reduceat(used, edges, dtype=np.int64).reshape(n, BUCKETS)
+    every = np.bincount(of * BUCKETS + (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS)
+    return np.concatenate([new, every - new], 1)
+
+
 def features(texts: list[str]) -> np.ndarray:
-    """Repetition of hashed n-grams, a row of shares in 0..1 for each text.
+    """Hashed word and character n-grams, a row for each text.
 
-    For words: the share of n-grams seen before, for each order, and the share
-    of words under repeated runs of RUN.  For characters: how far the hashed
-    n-grams fall short of being all different (linear counting in BUCKETS
-    buckets).
+    Every n-gram (WORD_ORDERS words, CHAR_ORDERS bytes) falls into one of
+    BUCKETS cells by its hash, and into one of two sets of cells by whether it
+    stood earlier in the text; a cell's value is its share of the text's n-grams of
+    that order, times BUCKETS.  The order whose runs make a case is none of them.
     """
     n = len(texts)
-    codes, owner = word_codes(texts)
-    total = np.maximum(np.bincount(owner, minlength=n), 1)
-    cols = []
-    for order in WORD_ORDERS:
-        h, at = _runs(codes, owner, order)
-        again = _again(h)
-        mine = owner[at]
-        cols.append(np.bincount(mine[again], minlength=n) / np.maximum(np.bincount(mine, minlength=n), 1))
-        if order == RUN:
-            cols.append(np.bincount(owner[_covered(len(codes), at[again], RUN)], minlength=n) / total)
+    codes, owner, hashes = _named(texts)
+    words = hashes[codes]
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    sizes = np.array([len(r) for r in raw])
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+    sizes = np.array([len(r) for r in raw], np.int64)
+    flat = np.frombuffer(b"".join(raw), np.uint8)
     holder = np.repeat(np.arange(n), sizes)
-    for order in CHAR_ORDERS:
-        m = len(flat) - order + 1
-        if m < 1:
-            cols.append(np.zeros(n))
-            continue
-        h = np.zeros(m, np.uint32)
-        for i in range(0, order, max(1, order // 8)):
-            h = h * np.uint32(0x01000193) ^ flat[i : i + m]
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
-        inside = holder[:m] == holder[order - 1 :]
-        cell = holder[:m][inside] * BUCKETS + (h[inside] >> np.uint32(20)).astype(np.int64)
-        used = (np.bincount(cell, minlength=n * BUCKETS).reshape(n, BUCKETS) > 0).sum(1)
-        grams = np.maximum(sizes - order + 1, 1)
-        different = -BUCKETS * np.log(np.maximum(1 - used / BUCKETS, 0.5 / BUCKETS))
-        cols.append(np.clip(1 - different / np.minimum(grams, BUCKETS * 7.5), 0, 1))
-    return np.stack(cols, 1)
+    counts = [_word_counts(_word_grams(words, owner, k), n) for k in WORD_ORDERS] + [_char_counts(flat, holder, sizes, k) for k in CHAR_ORDERS]
+    out = [c * (BUCKETS / np.maximum(c.sum(1, keepdims=True), 1)) for c in counts]
+    return np.concatenate(out, 1) if n else np.zeros((0, N_FEATURES))
 
 
 def exact_shares(texts: list[str]) -> np.ndarray:
@@ -129,22 +168,22 @@ def exact_shares(texts: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Logistic regression with non-negative weights and Platt calibration, in numpy.
+    """Logistic regression with weights of fixed sign and Platt calibration, in numpy.
 
-    Weights are kept non-negative: no feature can lower the score of a text
-    that repeats more, whatever the sample holds.
+    An n-gram seen before never lowers the score and a new one never raises it,
+    whatever the sample holds.
     """
 
     def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float):
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
 
     @staticmethod
-    def _fit(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 4.0) -> tuple[np.ndarray, float]:
+    def _fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, steps: int = 400, rate: float = 4.0) -> tuple[np.ndarray, float]:
         w, b = np.zeros(x.shape[1]), -1.0
         balance = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
         for _ in range(steps):
             g = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * balance
-            w = np.maximum(0, w - rate * (x.T @ g + 1e-4 * w))
+            w = signs * np.maximum(0, signs * (w - rate * (x.T @ g + DECAY * w)))
             b -= rate * g.sum()
         return w, b
 
@@ -153,9 +192,9 @@ class Model:
         """Weights on the even rows, calibration on the odd ones; a sample of one class alone scores all as candidates."""
         if len(np.unique(y[::2])) < 2 or len(np.unique(y[1::2])) < 2:
             return cls(np.zeros(x.shape[1]), 0.0, 1.0, 0.0)
-        w, b = cls._fit(x[::2], y[::2])
+        w, b = cls._fit(x[::2], y[::2], SIGNS, rate=0.2)
         score = (x[1::2] @ w + b)[:, None]
-        a, c = cls._fit(score - score.min(), y[1::2], rate=0.5)
+        a, c = cls._fit(score - score.min(), y[1::2], np.ones(1), rate=0.5)
         return cls(w, b, float(a[0]), float(c - a[0] * score.min()))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -170,7 +209,7 @@ def fit_model(documents: DataFrame, *, text: str = "text", key: str = "doc_id",
         rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < max(1, 1_000_000 * sample_rows // n))
     texts = [r[0] for r in rows.select(text).limit(sample_rows).collect()]
     if not texts:
-        return Model.fit(np.zeros((0, len(WORD_ORDERS) + 1 + len(CHAR_ORDERS))), np.zeros(0))
+        return Model.fit(np.zeros((0, N_FEATURES)), np.zeros(0))
     return Model.fit(features(texts), (exact_shares(texts) >= SHARE).astype(float))
 
 

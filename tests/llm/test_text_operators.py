@@ -296,12 +296,28 @@ def test_leaks_blocks_and_slots(spark, rows, monkeypatch):
 # Repetition
 
 
-def test_features_hold_the_exact_share():
+def test_features_are_hashed_ngrams():
     rng = random.Random(9)
-    texts = ["", "one two", "A b c d e a B c d e", "x1y2z3 " * 40] + [" ".join(rng.choice("abcdefg") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 200))) for _ in range(60)]
-    exact = repetition.exact_shares(texts)
-    assert np.allclose(repetition.features(texts)[:, repetition.WORD_ORDERS.index(repetition.RUN) + 1], exact)
-    assert exact[2] == 0.5
+    texts = ["", "one two", "A b c d e a B c d e", "x1y2z3 " * 40, "ü" * 9] + [" ".join(rng.choice("abcdefg") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 200))) for _ in range(60)]
+    x = repetition.features(texts)
+    assert x.shape == (len(texts), repetition.N_FEATURES) and np.isfinite(x).all()
+    cells = x.reshape(len(texts), -1, 2, repetition.BUCKETS).sum(3) / repetition.BUCKETS
+    for i, t in enumerate(texts):
+        words = repetition.WORDS.findall(t.lower())
+        for j, order in enumerate(repetition.WORD_ORDERS):
+            grams = [tuple(words[k : k + order]) for k in range(len(words) - order + 1)]
+            want = 1 - len(set(grams)) / len(grams) if grams else 0
+            assert cells[i, j, 1] == pytest.approx(want) and cells[i, j].sum() == pytest.approx(bool(grams))
+        raw = t.lower().encode()
+        for j, order in enumerate(repetition.CHAR_ORDERS, len(repetition.WORD_ORDERS)):
+            grams = [raw[k : k + order] for k in range(len(raw) - order + 1)]
+            want = 1 - len(set(grams)) / len(grams) if grams else 0
+            # Two runs may meet in one place of the table.
+            assert want <= cells[i, j, 1] + 1e-9 and (len(grams) < 50 or cells[i, j, 1] < want + 0.15)
+    # A text has the same features in any batch.
+    assert np.array_equal(x[3:9], repetition.features(texts[3:9]))
+    assert np.array_equal(x[7], repetition.features([texts[7]])[0])
+    assert repetition.exact_shares(texts)[2] == 0.5
 
 
 def test_repetitive(spark, rows):
@@ -319,7 +335,7 @@ def test_repetitive(spark, rows):
     got = {r[0] for r in rows(repetition.repetitive(df, model))}
     want = {i for i, t in docs if t and repetition.exact_shares([t])[0] >= repetition.SHARE}
     assert got == want and 150 < len(docs) and len(want) > 40
-    assert (model.weights >= 0).all()
+    assert (model.weights * repetition.SIGNS >= 0).all()
     # Held-out accuracy of the classifier alone, at even odds.
     p = model.probability(repetition.features(plain + spam))
     assert ((p >= 0.5) == (np.arange(190) >= 150)).mean() > 0.97
@@ -329,7 +345,7 @@ def test_model_without_both_classes_checks_everything(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     model = repetition.fit_model(df)
     assert model.probability(repetition.features(["x"]))[0] >= repetition.CANDIDATE
-    assert repetition.fit_model(df.where("false")).probability(np.zeros((1, 7)))[0] == 0.5
+    assert repetition.fit_model(df.where("false")).probability(np.zeros((1, repetition.N_FEATURES)))[0] == 0.5
 
 
 def test_shares_empty(spark):
