@@ -307,7 +307,7 @@ def test_features_are_hashed_ngrams():
         for j, order in enumerate(repetition.WORD_ORDERS):
             grams = [tuple(words[k : k + order]) for k in range(len(words) - order + 1)]
             want = 1 - len(set(grams)) / len(grams) if grams else 0
-            assert cells[i, j, 1] == pytest.approx(want) and cells[i, j].sum() == pytest.approx(bool(grams))
+            assert cells[i, j, 1] == pytest.approx(want) and cells[i, j].sum() == pytest.approx(float(bool(grams)))
         raw = t.lower().encode()
         for j, order in enumerate(repetition.CHAR_ORDERS, len(repetition.WORD_ORDERS)):
             grams = [raw[k : k + order] for k in range(len(raw) - order + 1)]
