@@ -23,21 +23,23 @@ from skein.llm.repair import Grammar
 from skein.sources.tables import spread
 
 SIGNALS_SCHEMA = (
-    "file_path string, n_tokens long, grammar_ratio double, literal_share double, literal_chars long, short_names double, "
+    "file_path string, n_tokens long, grammar_ratio double, literal_share double, literal_ratio double, short_names double, "
     "stated boolean, outside_place boolean, catalog_item long, catalog_similarity double"
 )
 
 #: Grammar size over tokens below which a file is rules repeated by a program.
 GENERATED_RATIO = 0.35
-#: Fewer tokens (for data: characters of literals) than this are too little to tell.
-LEAST_TOKENS = 60
-LITERAL_SHARE, LEAST_LITERAL = 0.93, 200
+#: Share of a file's names and literals that literals must hold to be data, and the size of the grammar of their sequence
+#: over its length: data hardly compresses.
+LITERAL_SHARE, LITERAL_RATIO = 0.93, 0.9
+#: Fewer tokens tell no ratio or share: a grammar needs that many to show a rule twice.
+LEAST_TOKENS = 20
 #: Share of one-letter names in squeezed code.
 SHORT_NAMES = 0.5
 #: Share of the tokens under rules shared with the catalogue that makes a candidate, and the similarity that decides.
 SHARED_SHARE, SHARED_LENGTH, SIMILARITY, SHINGLE = 0.25, 12, 0.8, 5
-#: The catalogue goes to every task; a larger one must be split by the caller.
-MAX_CATALOG_BYTES = 32_000_000
+#: The catalogue goes to every task, in blocks of at most this size: each further block is a pass over the files.
+CATALOG_BYTES = 32_000_000
 #: Characters of one grammar batch.
 BATCH_CHARS = 2_500_000
 
@@ -46,11 +48,15 @@ OUTSIDE_PLACES = frozenset(
     "third_party third-party thirdparty 3rdparty vendor _vendor vendored node_modules bower_components "
     "jspm_packages site-packages pods deps external extern externals".split()
 )
-#: Statements of a tool at the head of a file; mentions of such statements are none.
+#: Statements of a tool at the head of a file, each from the line's first word on: a mark, an order not to touch it, or
+#: who made it from what.  Mentions of such statements do not begin like that.
+_MADE = r"(?:generated|created|produced|built|made|emitted|compiled|erzeugt|erstellt|generiert|produite?|généré|creado|generado|generato)"
+_FROM = r"(?:by|from|with|using|par|depuis|von|aus|mit|por|da)\b"
 STATED = re.compile(
-    r"<auto-?generated|^\W*@generated\b|^\W*do not modify by hand|^\W*auto-?generated (?:file|code|by)\b|^\W*auto-?generated:"
-    r"|^\W*machine made from|automatisch erzeugt|automatically (?:created|generated) (?:from|by)|built by \w+ on every"
-    r"|produced by a tool|^\W*generated code --|^\W*code generated by|est (?:produit|généré) par|^\W*(?:this file (?:is|was) )?generated (?:by|from)\b",
+    rf"^\W*(?:auto-?generated\b|generated code\b|(?:please )?do not (?:edit|modify|change|touch)\b|(?:generated|built|produced) {_FROM} \w"
+    rf"|(?:machine|tool|auto(?:matically|matisch)?)[ -]{_MADE}\b"
+    rf"|(?:(?:this|the|diese[rs]?|ces?|cette|este|questo) )?(?:source |code )?(?:file|code|module|source|datei|quelltext|fichier|archivo) (?:(?:is|was|has been|wurde|ist|est|a été|fue|è) )?(?:(?:auto(?:matically|matisch)?|machine)[ -])?{_MADE}(?: {_FROM}|[.!]))"
+    r"|(?<!\w)@generated\b(?!\w)",
     re.I | re.M,
 )
 TOKEN = re.compile(r"[^\W\d]+|\d[\w.]*|\"[^\"\n]*\"|'[^'\n]*'|[^\w\s]")
@@ -119,8 +125,15 @@ def file_signals(paths: list[str], texts: list[str], catalog: list[tuple[int, st
     symbols = code.copy()
     if is_number.any():
         symbols[is_number[code]] = int(np.flatnonzero(is_number)[0])
-    g = Grammar(symbols, owner, max(1, len(names)), total).infer()
+    marks = pd.util.hash_array(names.astype(object), categorize=False) if len(names) else np.zeros(1, np.uint64)
+    g = Grammar(symbols, owner, max(1, len(names)), total, np.where(is_number, np.uint64(1), marks) if len(names) else marks).infer()
     ratio = g.size_ratio(n_tokens)
+    # Literals as they are, in the files that hold mostly such.
+    share = literal / np.maximum(literal + named, 1)
+    of_data = is_literal[code] & (share >= LITERAL_SHARE)[owner] & (owner < n)
+    n_literals = np.bincount(owner[of_data], minlength=total)
+    literals = Grammar(code[of_data], owner[of_data], max(1, len(names)), total, marks).infer()
+    literal_ratio = np.where(n_literals > 0, literals.size_ratio(n_literals), 0.0)
 
     item, similarity = np.full(n, -1), np.zeros(n)
     if k:
@@ -150,8 +163,8 @@ def file_signals(paths: list[str], texts: list[str], catalog: list[tuple[int, st
             "file_path": paths,
             "n_tokens": n_tokens[:n],
             "grammar_ratio": ratio[:n],
-            "literal_share": (literal / np.maximum(literal + named, 1))[:n],
-            "literal_chars": literal[:n].astype(np.int64),
+            "literal_share": share[:n],
+            "literal_ratio": literal_ratio[:n],
             "short_names": (short_n / np.maximum(names_n, 1))[:n],
             "stated": [bool(STATED.search(file_head(t))) for t in texts],
             "outside_place": [in_outside_place(p) for p in paths],
@@ -161,19 +174,43 @@ def file_signals(paths: list[str], texts: list[str], catalog: list[tuple[int, st
     )
 
 
+def _blocks(catalog: DataFrame) -> list[list[tuple[int, str]]]:
+    """The catalogue's entries in blocks of at most CATALOG_BYTES (one entry at least)."""
+    out: list[list[tuple[int, str]]] = [[]]
+    held = 0
+    for item, text in catalog.select("item_id", "content").dropna().distinct().orderBy("item_id").toLocalIterator():
+        size = len(text.encode("utf-8", "surrogatepass"))
+        if out[-1] and held + size > CATALOG_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append((int(item), text))
+        held += size
+    return out
+
+
 def signals(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per row of ``files(file_path, content)`` with every signal.
 
     A null or empty content has no tokens and only its place counts; rows with
     a null path are left out; repeated rows are measured each.  ``catalog``
-    needs ``item_id`` and ``content`` and must hold at most MAX_CATALOG_BYTES
-    (checked); an empty one is fine.
+    needs ``item_id`` and ``content``; an empty one is fine, one above
+    CATALOG_BYTES goes out in blocks, and the most similar entry of all counts
+    (then repeated rows are measured once).  What a file's ratios are does not
+    depend on the files around it.
     """
-    size = catalog.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
-    if size > MAX_CATALOG_BYTES:
-        raise ValueError(f"the catalogue holds {size} bytes; at most {MAX_CATALOG_BYTES} can go to every task")
-    known = [(int(r[0]), r[1]) for r in catalog.select("item_id", "content").dropna().distinct().orderBy("item_id").collect()]
-
+    rows = spread(files.where("file_path is not null").select("file_path", "content"))
+    found = [rows.mapInArrow(_measurer(block), SIGNALS_SCHEMA) for block in _blocks(catalog)]
+    if len(found) == 1:
+        return found[0]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    names = [c for c in every.columns if not c.startswith("catalog_")]
+    best = F.max(F.struct("catalog_similarity", (-F.col("catalog_item")).alias("item")))
+    return every.groupBy(*names).agg(best.alias("b")).select(*names, (-F.col("b.item")).alias("catalog_item"), "b.catalog_similarity")
+
+
+def _measurer(known: list[tuple[int, str]]):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths: list[str] = []
         texts: list[str] = []
@@ -193,17 +230,18 @@ def signals(files: DataFrame, catalog: DataFrame) -> DataFrame:
         if paths:
             yield out()
 
-    return spread(files.where("file_path is not null").select("file_path", "content")).mapInArrow(measure, SIGNALS_SCHEMA)
+    return measure
 
 
 def verdicts(found: DataFrame) -> DataFrame:
     """Signals with what they say: ``kinds`` names each reason, and is empty for hand-written files."""
     enough = F.col("n_tokens") >= LEAST_TOKENS
+    is_data = (F.col("literal_share") >= LITERAL_SHARE) & (F.col("literal_ratio") >= LITERAL_RATIO)
     reasons = {
         "stated": F.col("stated"),
-        "generated": enough & (F.col("grammar_ratio") < GENERATED_RATIO) & (F.col("literal_share") < LITERAL_SHARE),
+        "generated": enough & (F.col("grammar_ratio") < GENERATED_RATIO) & ~is_data,
         "squeezed": enough & (F.col("short_names") > SHORT_NAMES),
-        "data": (F.col("literal_chars") >= LEAST_LITERAL) & (F.col("literal_share") >= LITERAL_SHARE),
+        "data": enough & is_data,
         "outside": F.col("outside_place"),
         "copied": F.col("catalog_similarity") >= SIMILARITY,
     }

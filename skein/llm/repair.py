@@ -12,12 +12,19 @@ import numpy as np
 import pandas as pd
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    h = ((left << np.uint64(1)) ^ (right * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 class Grammar:
     """State of the inference: the sequences and, for each symbol, its expansion's length."""
 
-    def __init__(self, symbols: np.ndarray, owner: np.ndarray, n_symbols: int, n_owners: int):
+    def __init__(self, symbols: np.ndarray, owner: np.ndarray, n_symbols: int, n_owners: int, marks: np.ndarray | None = None):
         self.symbols, self.owner = symbols.astype(np.int64), owner.astype(np.int64)
         self.length = np.ones(n_symbols, np.int64)
+        #: A hash of each symbol's expansion; with ``marks`` of what the symbols stand for, a sequence has the same grammar beside any others.
+        self.marks = np.arange(1, n_symbols + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) if marks is None else marks
         self.n_owners = n_owners
         self.rules = np.zeros(n_owners, np.int64)  # rules that each owner uses
         self.final = np.zeros(n_owners, np.int64)  # length of each owner's start rule
@@ -39,8 +46,8 @@ class Grammar:
         count = np.bincount(code)
         weight = np.zeros(len(s) + 1, np.int64)
         # Ties go by a scattered number of the pair: in order, a phrase seen twice would take a round for each
-        # of its pairs; by pair, copies of a phrase are cut alike in every sequence.
-        scattered = ((pair[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+        # of its pairs; by what the pair stands for, copies of a phrase are cut alike in every sequence.
+        scattered = (_joined(self.marks[s[at]], self.marks[s[at + 1]]) >> np.uint64(32)).astype(np.int64)
         weight[at + 1] = np.where(count[code] > 1, (count[code] << 32) | scattered, 0)
         # Runs of one pair (a a a a): every second place.
         start = np.flatnonzero(np.append(True, weight[1:] != weight[:-1]))
@@ -75,6 +82,7 @@ class Grammar:
             left, right = np.divmod(pairs, first)
             self.rounds.append((first, left, right))
             self.length = np.append(self.length, self.length[left] + self.length[right])
+            self.marks = np.append(self.marks, _joined(self.marks[left], self.marks[right]))
             if not shared:
                 _, once = np.unique(number, return_index=True)
                 self.rules += np.bincount(self.owner[places[once]], minlength=self.n_owners)

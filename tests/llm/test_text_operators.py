@@ -91,10 +91,33 @@ def test_generated_empty_tables(spark):
     assert kinds(spark, [("a.py", HAND)]) == {"a.py": []}
 
 
-def test_catalog_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(generated, "MAX_CATALOG_BYTES", 10)
-    with pytest.raises(ValueError, match="catalogue"):
-        kinds(spark, [("a.py", HAND)], [(1, OUTSIDE)])
+def test_large_catalog_goes_out_in_blocks(spark, rows, monkeypatch):
+    files = spark.createDataFrame([("r/a.py", OUTSIDE + "x = 1\n"), ("r/b.py", HAND), ("r/c.py", RULES), ("r/e.py", "")], "file_path string, content string")
+    known = spark.createDataFrame([(1, RULES), (2, OUTSIDE), (3, SQUEEZED), (4, OUTSIDE + OUTSIDE)], "item_id long, content string")
+    whole = rows(generated.signals(files, known))
+    monkeypatch.setattr(generated, "CATALOG_BYTES", 10)
+    assert rows(generated.signals(files, known)) == whole
+    assert [(r[0], r[8]) for r in whole] == [("r/a.py", 2), ("r/b.py", 2), ("r/c.py", 1), ("r/e.py", -1)]
+
+
+def test_ratios_do_not_depend_on_the_batch():
+    texts = [HAND, RULES, DATA, SQUEEZED, OUTSIDE, "", "7 8 7 8 7 8", DATA.replace("7", "3")]
+    names = [str(i) for i in range(len(texts))]
+    whole = generated.file_signals(names, texts, [])
+    for i, t in enumerate(texts):
+        assert generated.file_signals(["x"], [t], []).drop(columns="file_path").iloc[0].tolist() == whole.drop(columns="file_path").iloc[i].tolist()
+    both = generated.file_signals(names[::-1], texts[::-1], [(1, OUTSIDE)])
+    assert both.grammar_ratio.tolist()[::-1] == whole.grammar_ratio.tolist()
+
+
+@pytest.mark.parametrize("head,want", [
+    ("// Code generated by loom. DO NOT EDIT.", True), ("# machine made from a.proto; edit that", True), ("// !! built by loom on every release", True), ("# This file was automatically created from x.idl", True),
+    ("/* Diese Datei wurde automatisch erzeugt. */", True), ("# Ce fichier est produit par loom.", True), ("// @generated by loom v2", True), ("# source code generated by loom", True),
+    ("// Written by hand, not generated: the old tool emitted a DO NOT EDIT banner.", False), ("// Keep in step with the auto-generated client by hand.", False), ("# Created by the authors, 2020", False),
+    ("// The writer below puts the generated marker into its output.", False), ("# Reads tables produced by the scanner.", False), ("// Does not edit by itself", False),
+])
+def test_statements(head, want):
+    assert bool(generated.STATED.search(generated.file_head(head + "\nint a;\n"))) == want
 
 
 # Documentation
