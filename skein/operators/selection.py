@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.sources.tables import ensure_checkpoint_dir, small_side
 
 #: Bits of a value's name that tell its bin, round by round; the last round tells whole names apart.
-PREFIXES = (16, 32, 64)
+PREFIXES = (20, 40, 64)
 #: A key is hot if it holds more than this share of all rows, so there are never more than its inverse.
 HOT_SHARE = 0.001
 
