@@ -17,16 +17,17 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.paths import parent_dir
-from skein.sources.tables import spread
+from skein.sources.tables import ensure_checkpoint_dir, small_side, spread
 
 SYMBOLS_SCHEMA = (
-    "file_path string, name string, line_start int, qualified string, signature string, "
-    "has_body boolean, documented boolean, doc string, code string, root string, family string, owner string, types string"
+    "file_path string, version long, root string, family string, owner string, name string, types string, line_start int, "
+    "top int, last int, has_body boolean, documented boolean, signature string, doc string, code string, supertype string"
 )
 
 LANGUAGES = {
@@ -35,7 +36,8 @@ LANGUAGES = {
 }
 NAMED = {"javascript": "js", "typescript": "js", "c++": "cpp"}
 
-#: Possessive throughout: an unbalanced parenthesis fails at once.
+#: Possessive throughout: an unbalanced parenthesis fails at once.  Deeper parentheses are brackets by then (``_shallow``).
+ARGS_DEPTH = 3
 _ARGS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
 _ID = r"[A-Za-z_$][\w$]*+"
 _ARGUMENTS = re.compile(_ARGS)
@@ -196,6 +198,28 @@ def language_of(path: str, language: str | None) -> str | None:
     return known or NAMED.get(said, said if said in BLANKED else None)
 
 
+def _shallow(plain: str) -> str:
+    """The text with parentheses nested deeper than _ARGS follows written as brackets, place for place."""
+    a = np.frombuffer(plain.encode("latin-1", "replace"), np.uint8)
+    depth = np.cumsum((a == 40).astype(np.int32) - (a == 41))
+    if not len(depth) or (depth - np.minimum(np.minimum.accumulate(depth), 0)).max() <= ARGS_DEPTH:
+        return plain
+    pairs, opened = [], []
+    for m in re.finditer(r"[()]", plain):
+        if m.group() == "(":
+            opened.append(m.start())
+        elif opened:
+            pairs.append((opened.pop(), m.start()))
+    out, around = list(plain), []
+    for first, last in sorted(pairs):
+        while around and around[-1] < first:
+            around.pop()
+        if len(around) >= ARGS_DEPTH:
+            out[first], out[last] = "[", "]"
+        around.append(last)
+    return "".join(out)
+
+
 def _normal_signature(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\s*([(),:*<>&\[\]=])\s*", r"\1", text)).strip()
 
@@ -396,8 +420,8 @@ def _python(text: str) -> list[tuple] | None:
     return out
 
 
-def _scanned(text: str, lang: str, full: bool = True, owned: bool = True) -> list[tuple]:
-    """Functions by declarations in the text without comments and strings; ``full`` adds arguments, ``owned`` owners and types as well."""
+def _scanned(text: str, lang: str) -> tuple[list[tuple], set[tuple[str, str]]]:
+    """Functions by declarations in the text without comments and strings, and the ``(type, supertype)`` that its types name."""
     comments: list[tuple[int, int]] = []
 
     def blank(m: re.Match) -> str:
@@ -408,12 +432,13 @@ def _scanned(text: str, lang: str, full: bool = True, owned: bool = True) -> lis
         fill = '"' if m.group(1) is None else " "
         return fill * len(s) if "\n" not in s else "".join(c if c == "\n" else fill for c in s)
 
-    plain = BLANKED[lang].sub(blank, text)
+    plain = _shallow(BLANKED[lang].sub(blank, text))
     if lang == "c" and _CPP.search(plain):
         lang = "cpp"
-    members = full and lang == "js" and ("interface" in plain or "abstract" in plain)
-    owned = full and owned and lang in FAMILIES
-    blocks = _Blocks(plain, lang) if lang == "cpp" or members or (owned and lang in _HEADS) else None
+    members = lang == "js" and ("interface" in plain or "abstract" in plain)
+    owned = lang in FAMILIES
+    blocks = _Blocks(plain, lang) if lang in _HEADS else None
+    above_of = blocks.supers() if blocks else set()
     hits: dict[int, tuple[str, re.Match]] = {}
     for n, pattern in enumerate(DECLARED[lang]):
         for m in pattern.finditer(plain):
@@ -438,7 +463,7 @@ def _scanned(text: str, lang: str, full: bool = True, owned: bool = True) -> lis
                 hits[m.start(1)] = (m.group(1), m)
                 declared.add(m.start(1))
     if not hits:
-        return []
+        return [], above_of
     starts = [0]
     for m in re.finditer("\n", text):
         starts.append(m.end())
@@ -470,7 +495,7 @@ def _scanned(text: str, lang: str, full: bool = True, owned: bool = True) -> lis
         if lang == "cpp" and owned:
             of_class = re.findall(r"(\w+)(?:<[^;{}()]*>)?::(?=[\w:<>, ~]*$)", plain[max(m.start(), at - 200) : at])
             owner = of_class[-1] if of_class and plain[at - 2 : at] == "::" else owner
-        args = _ARGUMENTS.search(plain, _skip_angles(plain, at + len(name)) if lang in ("rust", "js") else at, limit) if full else None
+        args = _ARGUMENTS.search(plain, _skip_angles(plain, at + len(name)) if lang in ("rust", "js") else at, limit)
         has_body = not (lang in ("c", "cpp", "java") and tail == ";") and at not in declared
         if lang == "rust" and args and m.re is DECLARED["rust"][0]:
             stop = _TO_BODY.match(plain, args.end()).end()
@@ -478,24 +503,36 @@ def _scanned(text: str, lang: str, full: bool = True, owned: bool = True) -> lis
         signature = _normal_signature(name + (args.group() if args else ""))
         types = ",".join(_parameter_types(args.group(), lang, owner)) if args and owned else ""
         out.append((name, line_at(at) + 1, f"{owner}.{name}" if owner else name, signature, has_body, doc, top + 1, line_at(max(at, limit - 1)) + 1, owner, types))
-    return out
+    return out, above_of
+
+
+def file_functions(path: str, language: str | None, content: str) -> list[tuple]:
+    """``(name, line, qualified, signature, has_body, documented, doc, first, last line, owner, types)`` of each function of a file."""
+    return file_symbols(path, language, content)[0]
 
 
-def file_functions(path: str, language: str | None, content: str, *, full: bool = True, owned: bool = True) -> list[tuple]:
-    """``(name, line, qualified, signature, has_body, documented, doc, first, last line, owner, types)`` of each function of a file; ``full`` adds arguments to signatures, ``owned`` owners and types as well."""
+def _plain_text(content: str) -> str:
+    text = content.replace("\r\n", "\n").replace("\r", "\n")
+    return text[1:] if text.startswith("﻿") else text
+
+
+def file_symbols(path: str, language: str | None, content: str) -> tuple[list[tuple], set[tuple[str, str]]]:
+    """The functions of a file, and the ``(type, supertype)`` that its types name."""
     lang = language_of(path, language)
     if not lang or not content:
-        return []
-    text = content.replace("\r\n", "\n").replace("\r", "\n")
-    text = text[1:] if text.startswith("﻿") else text
+        return [], set()
+    text, supers = _plain_text(content), set()
     found = _python(text) if lang == "python" else None
     if found is None:
-        found = _python_scanned(text) if lang == "python" else _scanned(text, lang, full, owned)
+        if lang == "python":
+            found = _python_scanned(text)
+        else:
+            found, supers = _scanned(text, lang)
     out = []
     for name, line, qualified, signature, has_body, doc, first, last, owner, types in found:
         prose = description(doc.split("\n")) if doc else ""
         out.append((name, line, qualified, signature, has_body, bool(prose) and is_real(prose, name), prose, first, last, owner, types))
-    return out
+    return out, supers
 
 
 def _python_scanned(text: str) -> list[tuple]:
@@ -522,145 +559,123 @@ def _python_scanned(text: str) -> list[tuple]:
     return out
 
 
-def supertypes(path: str, language: str | None, content: str) -> set[tuple[str, str]]:
-    """``(type, supertype)`` that the declarations of types in a file name."""
-    lang = language_of(path, language)
-    if lang not in FAMILIES or not content:
-        return set()
-    fill = lambda m: "".join(c if c == "\n" else " " if m.group(1) is not None else '"' for c in m.group())
-    plain = BLANKED[lang].sub(fill, content.replace("\r\n", "\n").replace("\r", "\n"))
-    return _Blocks(plain, "cpp" if lang == "c" else lang).supers()
-
-
-def _language(path: Column, language: Column) -> Column:
-    """``language_of`` inside the JVM."""
-    suffix = F.create_map(*[F.lit(x) for k, v in LANGUAGES.items() for x in ("." + k, v)])
-    said = F.lower(F.trim(language))
-    named = F.create_map(*[F.lit(x) for k, v in (NAMED | {k: k for k in BLANKED}).items() for x in (k, v)])
-    return F.coalesce(suffix[F.concat(F.lit("."), F.lower(F.substring_index(path, ".", -1)))], named[said])
-
-
-def _with_root(files: DataFrame) -> DataFrame:
-    first = F.substring_index("file_path", "/", 1)
-    root = F.coalesce(F.col("root"), first) if "root" in files.columns else first
-    return files.where("file_path is not null and content is not null").select("file_path", "language", "content", root.alias("root"))
-
-
-def symbol_table(files: DataFrame, *, with_text: bool = True, part: str | None = None) -> DataFrame:
-    """The functions of all files, documented or not.
+def symbol_table(files: DataFrame, *, with_text: bool = True) -> DataFrame:
+    """The functions of all files, documented or not, and the supertypes their types name, from one scan of each file.
 
     ``files`` needs ``file_path``, ``language`` and ``content``; without a
     ``root`` the first part of the path is one.  Rows without a path or content
     and files of unknown languages give none; repeated rows give repeated
-    functions; other columns are ignored.  ``with_text`` adds the code, the
-    description, owners and arguments, else they are null or left out.  A
-    ``part`` has less: ``own`` the documented functions with a body, without
-    owners, ``bare`` those without documentation, ``declared`` the documented
-    declarations.
+    functions; other columns are ignored.  ``with_text`` adds description and
+    signature, and the code of documented functions, else they are null.  A row
+    for a type has its name as ``owner``, a ``supertype`` and no ``name``.
     """
-    wanted = {None: None, "own": (True, True), "bare": (True, False), "declared": (False, True)}[part]
+    first = F.substring_index("file_path", "/", 1)
+    root = F.coalesce(F.col("root"), first) if "root" in files.columns else first
+    rows = files.where("file_path is not null and content is not null").select(
+        "file_path", "language", "content", root.alias("root"), F.xxhash64("content").alias("version")
+    )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("file_path", "name", "line_start", "qualified", "signature", "has_body", "documented", "doc", "code", "root", "family", "owner", "types")
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.string()] * 6)
         for b in batches:
-            rows: list[tuple] = []
-            for path, language, content, root in zip(*(b[c].to_pylist() for c in ("file_path", "language", "content", "root")), strict=True):
-                found = file_functions(path, language, content, full=with_text, owned=part != "own")
-                found = [f for f in found if (f[4], f[5]) == wanted] if wanted else found
-                family = FAMILIES.get(language_of(path, language)) if found else None
-                lines = content.splitlines() if with_text and found else []
-                for name, line, qualified, signature, has_body, real, doc, first, last, owner, types in found:
-                    code = "\n".join(lines[first - 1 : last]).rstrip() if with_text else None
-                    rows.append((path, name, line, qualified, signature, has_body, real, doc if with_text else None, code, root, family, owner, types))
-                if len(rows) > 20_000:
-                    yield _batch(rows, names, kinds)
-                    rows = []
-            if rows:
-                yield _batch(rows, names, kinds)
-
-    return spread(_with_root(files)).mapInArrow(scan, SYMBOLS_SCHEMA)
-
-
-def _ancestors(files: DataFrame) -> DataFrame:
-    """``(root, family, type, ancestor, distance)`` of all types, through any number of steps."""
+            out: list[tuple] = []
+            for path, language, content, root, version in zip(*(b[c].to_pylist() for c in ("file_path", "language", "content", "root", "version")), strict=True):
+                found, supers = file_symbols(path, language, content)
+                family = FAMILIES.get(language_of(path, language))
+                lines = _plain_text(content).split("\n") if with_text and any(f[4] and f[5] for f in found) else []
+                for name, line, _, signature, has_body, real, doc, top, last, owner, types in found:
+                    code = "\n".join(lines[top - 1 : last]).rstrip() if with_text and has_body and real else None
+                    text = (signature, doc, code) if with_text else (None, None, None)
+                    out.append((path, version, root, family, owner, name, types, line, top, last, has_body, real, *text, None))
+                for kind, above in supers:
+                    out.append((path, version, root, family, kind, None, None, None, None, None, None, None, None, None, None, above))
+                if len(out) > 20_000:
+                    yield _batch(out)
+                    out = []
+            if out:
+                yield _batch(out)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [
-                (root, FAMILIES[language_of(path, language)], a, z)
-                for path, language, content, root in zip(*(b[c].to_pylist() for c in ("file_path", "language", "content", "root")), strict=True)
-                for a, z in supertypes(path, language, content)
-            ]
-            if rows:
-                yield _batch(rows, ("root", "family", "type", "above"), (pa.string(),) * 4)
-
-    def closure(t: pa.Table) -> pa.Table:
-        up: dict[str, list[str]] = {}
-        for a, z in zip(t["type"].to_pylist(), t["above"].to_pylist(), strict=True):
-            up.setdefault(a, []).append(z)
-        rows = []
-        for a in up:
-            seen, ring, far = {a}, [a], 0
-            while ring:
-                ring, far = sorted({z for x in ring for z in up.get(x, ())} - seen), far + 1
-                seen.update(ring)
-                rows.extend((a, z, far) for z in ring)
-        n = len(rows)
-        cols = [pa.array([t[k][0].as_py()] * n, pa.string()) for k in ("root", "family")]
-        cols += [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32()))]
-        return pa.Table.from_arrays(cols, names=["root", "family", "type", "ancestor", "distance"])
-
-    edges = spread(files).mapInArrow(scan, "root string, family string, type string, above string").distinct()
-    return edges.groupBy("root", "family").applyInArrow(closure, "root string, family string, type string, ancestor string, distance int")
-
-
-def _batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+    return spread(rows).mapInArrow(scan, SYMBOLS_SCHEMA)
 
 
-def documented_functions(files: DataFrame) -> DataFrame:
-    """``(file_path, name, line_start)`` of each function with real documentation, without duplicates."""
-    return symbol_table(files, with_text=False).where("documented").select("file_path", "name", "line_start").distinct()
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    names, types = zip(*(c.split(" ") for c in SYMBOLS_SCHEMA.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
 
-def code_doc_pairs(files: DataFrame) -> DataFrame:
-    """``(file_path, name, line_start, signature, code, doc, doc_path)``: code with its description.
+KEY = ["root", "family", "owner", "name", "types"]
+
+
+def _offered(table: DataFrame) -> DataFrame:
+    """``(root, family, owner, name, types, folder, d)``: the documented declaration that each owner offers in each folder.
 
-    A function documented where it is defined pairs with that text.  A
-    definition without documentation takes that of a declaration without body
+    A declaration is offered by its own type and, step by step, by all types
+    below it; the nearest counts, then the first by path.  Each step is a join
+    of what came last with the types, so no root is gathered anywhere.
+    """
+    best = F.min(F.struct("distance", "file_path", "line_start", "doc")).alias("d")
+    declared = table.where("documented and not has_body").withColumns({"folder": parent_dir(F.col("file_path")), "distance": F.lit(0)})
+    types = table.where("supertype is not null").select("root", "family", F.col("owner").alias("below"), F.col("supertype").alias("owner")).distinct()
+    last = declared.groupBy(*KEY, "folder").agg(best).checkpoint()
+    every = last
+    while not last.isEmpty():
+        step = last.join(types, ["root", "family", "owner"]).select(
+            "root", "family", F.col("below").alias("owner"), "name", "types", "folder", (F.col("d.distance") + 1).alias("distance"), "d.file_path", "d.line_start", "d.doc"
+        )
+        last = step.groupBy(*KEY, "folder").agg(best).join(every, [*KEY, "folder"], "left_anti").checkpoint()
+        every = every.unionByName(last)
+    return every
+
+
+def resolved_documentation(table: DataFrame) -> DataFrame:
+    """The functions of a symbol table with documentation, their own or else that of a declaration: adds ``doc_path`` and ``doc_line``.
+
+    A definition without documentation takes that of a declaration without body
     (a prototype, an interface's or trait's method, an abstract one) of the
     same root with the same owner, name and parameter types, which tell
     overloads apart; the owner is the type that holds it or stands before
     ``::``, or any type above that one.  Declarations of the same folder come
-    first, then nearer types, then the first by path.  Documentation that is
-    empty or trivial pairs with nothing.  Type parameters are not replaced by
-    their arguments, and Go's interfaces, which no type names, are not followed.
+    first, then nearer types, then the first by path.
+    """
+    cols = ["file_path", "version", "name", "line_start", "top", "last", "signature", "has_body", "code", "doc", "doc_path", "doc_line"]
+    own = table.where("documented").withColumns({"doc_path": F.col("file_path"), "doc_line": F.col("line_start")})
+    near = _offered(table)
+    far = near.groupBy(*KEY).agg(F.min("d").alias("far"))
+    bare = table.where("not documented and has_body").withColumn("folder", parent_dir(F.col("file_path")))
+    met = bare.join(small_side(far), KEY).join(small_side(near), [*KEY, "folder"], "left").withColumn("said", F.coalesce("d", "far"))
+    taken = met.withColumns({"doc": F.col("said.doc"), "doc_path": F.col("said.file_path"), "doc_line": F.col("said.line_start")})
+    return own.select(cols).unionByName(taken.select(cols))
+
+
+def documented_functions(files: DataFrame) -> DataFrame:
+    """``(file_path, name, line_start)`` of each function with real documentation of its own, without duplicates.
+
+    Of the resolved functions those count whose documentation stands at the
+    function itself, declarations without body among them.
+    """
+    ensure_checkpoint_dir(files.sparkSession)
+    found = resolved_documentation(symbol_table(files, with_text=False).checkpoint())
+    return found.where("doc_path = file_path and doc_line = line_start").select("file_path", "name", "line_start").distinct()
+
+
+def code_doc_pairs(files: DataFrame) -> DataFrame:
+    """``(file_path, name, line_start, signature, code, doc, doc_path)``: code with its description.
+
+    A function documented where it is defined pairs with that text, another
+    with that of its declaration (``resolved_documentation``).  Documentation
+    that is empty or trivial pairs with nothing.  Type parameters are not
+    replaced by their arguments, and Go's interfaces, which no type names, are
+    not followed.
     """
-    key = ["root", "family", "owner", "name", "types"]
-    # Not every file is scanned again: only those that can hold what is looked for.
-    lang = _language(F.col("file_path"), F.col("language"))
-    could = _with_root(files).where(lang.isin(*FAMILIES))
-    has = lambda word: F.col("content").rlike(word)
-    declaring = could.where(
-        lang.isin("c", "cpp") | ((lang == "java") & has(r"\b(?:interface|abstract|native)\b"))
-        | ((lang == "js") & has(r"\b(?:interface|abstract)\b")) | ((lang == "rust") & has(r"\b(?:trait|extern)\b"))
-    )
-    deriving = could.where(
-        (lang.isin("c", "cpp") & has(r"\b(?:class|struct)\b[^;{}()]*:")) | (lang.isin("java", "js") & has(r"\b(?:extends|implements)\b"))
-        | ((lang == "rust") & has(r"\b(?:impl|trait)\b"))
-    )
+    ensure_checkpoint_dir(files.sparkSession)
+    found = resolved_documentation(symbol_table(files).checkpoint()).where("has_body")
+    # Code of definitions that took a declaration's text: cut from their files, which are read again for those only.
+    text = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), "^\ufeff", "")
+    sources = files.select("file_path", F.xxhash64("content").alias("version"), F.split(text, "\n").alias("_lines"))
+    taken = found.where("doc_path <> file_path or doc_line <> line_start").drop("code").checkpoint()
+    cut = F.rtrim(F.array_join(F.slice("_lines", F.col("top"), F.col("last") - F.col("top") + 1), "\n"), F.lit(" \t\n\r\f\x0b"))
+    wanted = small_side(taken.select("file_path", "version").distinct())
+    coded = sources.join(wanted, ["file_path", "version"], "left_semi").dropDuplicates(["file_path", "version"]).join(taken, ["file_path", "version"]).withColumn("code", cut)
     cols = ["file_path", "name", "line_start", "signature", "code", "doc", "doc_path"]
-    own = symbol_table(files, part="own").withColumn("doc_path", F.col("file_path"))
-    declared = symbol_table(declaring, part="declared").select(*key, "file_path", "doc").distinct()
-    above = _ancestors(deriving).withColumnRenamed("ancestor", "owner")
-    inherited = declared.join(above, ["root", "family", "owner"]).select("root", "family", F.col("type").alias("owner"), "name", "types", "file_path", "doc", "distance")
-    offered = declared.select(*key, "file_path", "doc", F.lit(0).alias("distance")).unionByName(inherited).withColumn("folder", parent_dir(F.col("file_path")))
-    best = F.min(F.struct("distance", "file_path", "doc"))
-    # The best of each folder, and of these the best of the root: a definition meets one row of each.
-    near = offered.groupBy(*key, "folder").agg(best.alias("d"))
-    far = near.groupBy(*key).agg(F.min("d").alias("far"), F.map_from_entries(F.collect_list(F.struct("folder", "d"))).alias("near"))
-    bare = symbol_table(could, part="bare").drop("doc")
-    said = F.coalesce(F.try_element_at("near", parent_dir(F.col("file_path"))), F.col("far"))
-    joined = bare.join(far, key).withColumn("said", said).withColumns({"doc_path": F.col("said.file_path"), "doc": F.col("said.doc")})
-    return own.select(cols).unionByName(joined.select(cols)).dropDuplicates(["file_path", "name", "line_start"])
+    own = found.where("doc_path = file_path and doc_line = line_start")
+    return own.select(cols).unionByName(coded.select(cols)).dropDuplicates(["file_path", "name", "line_start"])

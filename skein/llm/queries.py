@@ -31,6 +31,27 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.code_doc_pairs(table(spark, sf_dir, "files"))
 
 
+_SAID = "Moves the oldest entries to the archive."
+#: Declarations and definitions apart, and the pairs they make: (definition, name, line, documentation from).
+PLANTED_FILES = [
+    ("r/include/x.h", f"/** {_SAID} */\nint f(int, const char*);\n/** {_SAID} */\nint f(long n);\n/** f */\nint g(void);\n"),
+    ("r/src/x.c", "int f(int count, char const *s) {\n  return 1;\n}\n\nint f(long m) {\n  return 2;\n}\n\nint f(short m) {\n  return 3;\n}\n\nint g(void) {\n  return 4;\n}\n"),
+    ("q/src/x.c", "int f(int count, char const *s) {\n  return 1;\n}\n"),
+    ("r/api/Store.java", f"interface Store {{\n  /** {_SAID} */\n  int put(int key, List<String> rows);\n}}\n"),
+    ("r/disk/Disk.java", "class Disk extends Base {\n  public int put(final int k, List<String> all) {\n    return 1;\n  }\n}\nclass Base implements Store {\n}\n"),
+    ("r/own/a.go", f"// {_SAID}\nfunc Own(a int) int {{\n\treturn a\n}}\n"),
+]
+PLANTED_PAIRS = [
+    ("r/src/x.c", "f", 1, "r/include/x.h"), ("r/src/x.c", "f", 5, "r/include/x.h"), ("r/disk/Disk.java", "put", 2, "r/api/Store.java"), ("r/own/a.go", "Own", 2, "r/own/a.go"),
+]
+
+
+def p5_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of declarations and definitions that stand apart, over a fixed table of such files."""
+    files = spark.createDataFrame([(p, None, c) for p, c in PLANTED_FILES], "file_path string, language string, content string")
+    return docpairs.code_doc_pairs(files).select("file_path", "name", "line_start", "doc", "doc_path")
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ensure_checkpoint_dir(spark)
     packs = table(spark, sf_dir, "pack_sizes").select("pack_id", "capacity").dropna().distinct()
@@ -73,7 +94,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_signals, p5_found, p5_pairs, p7_packed, p7_fill, p8_found, p8_leaks, p9_found, p9_shares)
+    for f in (p1_found, p1_signals, p5_found, p5_pairs, p5_planted, p7_packed, p7_fill, p8_found, p8_leaks, p9_found, p9_shares)
 }
 
 _WORDS = """
@@ -91,6 +112,11 @@ with words as (
 """
 
 ORACLE: dict[str, str] = {
+    "p5_planted": "select file_path, name, line_start::int as line_start, '"
+    + _SAID
+    + "' as doc, doc_path from (values "
+    + ", ".join(f"('{a}', '{b}', {c}, '{d}')" for a, b, c, d in PLANTED_PAIRS)
+    + ") as t(file_path, name, line_start, doc_path)",
     "p9_found": _WORDS + "select distinct doc_id from shares where repeated_share >= 0.4",
     "p9_shares": _WORDS + "select doc_id, n_words, repeated_share from shares",
 }

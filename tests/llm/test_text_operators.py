@@ -189,6 +189,24 @@ PAIRED = [
 ]
 
 
+@pytest.mark.parametrize("depth", [1, 3, 4, 9])
+def test_parentheses_to_any_depth(depth):
+    deep = "d" + "(" * depth + ")" * depth
+    text = f"class A {{\n  /** {REAL} */\n  @Named(x)\n  public int m(@A(b = {deep}) int a, long b) {{\n    return 1;\n  }}\n  int open = g(;\n  /** {REAL} */\n  void n() {{\n  }}\n}}\n"
+    assert [(r[0], r[1]) for r in docpairs.file_functions("A.java", None, text) if r[5]] == [("m", 4), ("n", 9)]
+    assert docpairs._shallow("f(a(b(c(d)e)))") == "f(a(b(c[d]e)))" and docpairs._shallow(")((") == ")(("
+
+
+def test_pairs_through_many_types(spark, rows):
+    chain = "".join(f"class C{i} extends C{i + 1} {{\n  public int m(int a) {{\n    return {i};\n  }}\n}}\n" for i in range(12)) + "class C12 extends C0 implements I {}\n"
+    files = [("r/I.java", None, f"interface I {{\n  /** {REAL} */\n  int m(int x);\n}}\n"), ("r/c/C.java", None, chain)]
+    df = spark.createDataFrame(files, "file_path string, language string, content string")
+    got = docpairs.code_doc_pairs(df).collect()
+    assert sorted(r.line_start for r in got) == [2 + 5 * i for i in range(12)] and {r.doc_path for r in got} == {"r/I.java"}
+    assert rows(docpairs.documented_functions(df)) == [("r/I.java", "m", 3)]
+    assert docpairs.code_doc_pairs(df.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("k", range(len(PAIRED)))
 def test_pairs_across_folders_and_types(spark, k):
     texts, want = PAIRED[k]
