@@ -2,10 +2,12 @@
 
 Texts are canonicalised: markup, entities, invisible characters, letter case
 and layout go, identifiers become one word, numbers become typed slots beside
-the words, unit words a placeholder.  Windows of the items' templates are
-hash-joined with the windows of every document; each hit fixes an alignment,
-which is verified over its whole length, and the slots along it are checked
-for one consistent re-parameterisation.
+the words; in the template, unit words are one placeholder and names (words
+spelt as identifiers) another.  Windows of the items' templates are hash-joined
+with the windows of every document's; each hit fixes an alignment, which is
+verified over its whole length by the words themselves.  Where those differ too
+much but the templates agree, the slots decide: if every name and number is
+replaced by one other throughout, the passage is a re-parameterised copy.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.sources.tables import spread
+from skein.sources.tables import ensure_checkpoint_dir, spread
 
 LEAKS_SCHEMA = "doc_id long, item_id long, n_words int, n_replaced int, n_slots int, reparameterised boolean"
 
@@ -31,10 +33,13 @@ WINDOW = 6
 BLOCK_CHARS = 8_000_000
 #: Words that say in what something is counted; one placeholder, so that a changed unit is a changed slot.
 UNITS = frozenset("ms msec millisecond milliseconds sec secs second seconds min mins minute minutes kb mb gb kib mib gib byte bytes px percent".split())
-UNIT = "<unit>"
+#: Template symbols of units and names, and of a document's words that no item holds.
+UNIT, NAME, UNKNOWN = 1, 2, 0
 
-_TAGS = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
+#: Anything short in angle brackets that begins with a letter, and tags with attributes of any length.
+_TAGS = re.compile(r"""</?[A-Za-z][^<>]{0,200}>|</?[A-Za-z][\w:.-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=`]++))?)*+\s*+/?>|<!--.*?-->""", re.S)
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
+_NAME = re.compile(r"(?<![^\W\d_])(?:[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]+(?:_+[A-Za-z]+)+)(?![^\W\d_])")
 _PIECE = re.compile(r"[^\W\d_]+(?:_+[^\W\d_]+)*|\d+")
 
 
@@ -57,6 +62,11 @@ def canonical(text: str) -> tuple[list[str], list[tuple[int, str]]]:
     return words, numbers
 
 
+def names_of(text: str) -> set[str]:
+    """The words of a text that are spelt as identifiers, as ``canonical`` gives them."""
+    return {m.replace("_", "").lower() for m in _NAME.findall(text)}
+
+
 class Index:
     """Windows of a block of items: sorted hashes, and where each stands."""
 
@@ -64,17 +74,25 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
         self.numbers: list[dict[int, list[str]]] = []
-        self.vocabulary: dict[str, int] = {u: 1 for u in UNITS}
+        self.vocabulary: dict[str, int] = {u: UNIT for u in UNITS}
         hashes, owners, places = [], [], []
-        for n, (_, text) in enumerate(items):
+        spelt: set[str] = set()
+        opened = []
+        for _, text in items:
             words, numbers = canonical(text or "")
-            codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words], np.uint64)
+            spelt |= names_of(text or "")
+            opened.append((np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 3) for w in words], np.int64), numbers))
+        #: The template symbol of each word's number.
+        self.symbol = np.arange(len(self.vocabulary) + 3, dtype=np.uint64)
+        self.symbol[[self.vocabulary[w] for w in spelt if w in self.vocabulary and w not in UNITS]] = NAME
+        self.text = {c: w for w, c in self.vocabulary.items()}
+        for n, (codes, numbers) in enumerate(opened):
             self.words.append(codes)
             slots: dict[int, list[str]] = {}
             for at, digits in numbers:
                 slots.setdefault(at, []).append(digits)
             self.numbers.append(slots)
-            h = window_hashes(codes)
+            h = window_hashes(self.symbol[codes])
             hashes.append(h)
             owners.append(np.full(len(h), n))
             places.append(np.arange(len(h)))
@@ -86,9 +104,16 @@ class Index:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(place in codes, item, place in item)`` of each common window."""
-        h = window_hashes(codes)
+    def template(self, words: list[str], codes: np.ndarray, names: set[str]) -> np.ndarray:
+        """Template symbols of a document: names of the items, and names that no item holds, are NAME."""
+        out = self.symbol[codes]
+        if names:
+            out[[k for k in np.flatnonzero(codes == UNKNOWN) if words[k] in names]] = NAME
+        return out
+
+    def hits(self, template: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place in the document, item, place in item)`` of each common window."""
+        h = window_hashes(template)
         at = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
         left = np.searchsorted(self.hashes, h[at], "left")
         count = np.searchsorted(self.hashes, h[at], "right") - left
@@ -126,33 +151,51 @@ def longest_passage(same: np.ndarray) -> tuple[int, int]:
     return best
 
 
-def document_leaks(words: list[str], numbers: list[tuple[int, str]], index: Index, codes: np.ndarray, found: tuple) -> list[tuple]:
-    """``(item, words, replaced, slots, reparameterised)`` of one document, the longest passage of each item."""
+def document_leaks(words: list[str], numbers: list[tuple[int, str]], index: Index, codes: np.ndarray, template: np.ndarray, found: tuple) -> list[tuple]:
+    """``(item, words, replaced, slots, reparameterised)`` of one document.
+
+    For each item the longest passage by words; if there is none, the longest
+    by templates whose slots are replaced consistently.
+    """
     at, owner, place = found
     diagonal = at - place
     best: dict[int, tuple] = {}
+    alike: dict[int, list[tuple]] = {}
     for item, shift in np.unique(np.stack([owner, diagonal], 1), axis=0):
         theirs = index.words[item]
         a, b = max(0, -shift), min(len(theirs), len(codes) - shift)
-        i, j = longest_passage(theirs[a:b] == codes[a + shift : b + shift])
+        same = theirs[a:b] == codes[a + shift : b + shift]
+        i, j = longest_passage(same)
         if j - i > best.get(item, (0, 0))[1]:
             best[item] = (int(shift), j - i, a + i, a + j)
-    out = []
+        if j == i:
+            fits = index.symbol[theirs[a:b]] == template[a + shift : b + shift]
+            i, j = longest_passage(fits) if (fits & ~same).any() else (0, 0)
+            if j > i:
+                alike.setdefault(item, []).append((int(shift), j - i, a + i, a + j))
     slots: dict[int, list[str]] = {}
     for k, digits in numbers:
         slots.setdefault(k, []).append(digits)
-    for item, (shift, length, start, end) in best.items():
-        theirs = index.words[item][start:end]
-        replaced = int((theirs != codes[start + shift : end + shift]).sum())
+
+    def row(item: int, shift: int, length: int, start: int, end: int) -> tuple:
+        theirs = index.words[item]
         mapping: dict[str, set[str]] = {}
         n_slots = 0
-        for k in range(start + 1, end):
-            for x, y in zip(index.numbers[item].get(k, ()), slots.get(k + shift, ()), strict=False):
+        for k in range(start, end):
+            pairs = list(zip(index.numbers[item].get(k, ()), slots.get(k + shift, ()), strict=False)) if k > start else []
+            if index.symbol[theirs[k]] == NAME and template[k + shift] == NAME:
+                pairs.append((index.text[int(theirs[k])], words[k + shift]))
+            for x, y in pairs:
                 mapping.setdefault(x, set()).add(y)
                 n_slots += 1
-        consistent = all(len(v) == 1 for v in mapping.values())
-        changed = any(v != {k} for k, v in mapping.items())
-        out.append((index.ids[item], length, replaced, n_slots, bool(mapping) and consistent and changed))
+        changed = any(v != {k} for k, v in mapping.items()) and all(len(v) == 1 for v in mapping.values())
+        return index.ids[item], length, int((theirs[start:end] != codes[start + shift : end + shift]).sum()), n_slots, changed
+
+    out = [row(item, *passage) for item, passage in best.items()]
+    for item, passages in alike.items():
+        if item not in best:
+            changed = [r for r in (row(item, *p) for p in passages) if r[4]]
+            out += [max(changed, key=lambda r: r[1])] if changed else []
     return out
 
 
@@ -164,43 +207,81 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id", text:
     case, punctuation, markup, digits and layout do not matter.  Every item
     with such a passage counts, also those that share it.  Null and empty texts
     leak nothing; repeated rows give repeated pairs; other columns are ignored.
+    A passage whose words differ more, but only in names (and numbers) that are
+    each replaced by one other throughout, is a row as well; ``n_replaced`` is
+    above a tenth of its ``n_words`` then.
     The items are a stated query set: they go out in blocks of BLOCK_CHARS, and
-    every document is compared with every block.
+    every document is compared with every block.  If there are several, the
+    documents are canonicalised once, and one block is held at a time.
     """
     known = items.select("item_id", "text").dropna().distinct().orderBy("item_id")
-    blocks: list[list[tuple[int, str]]] = []
-    size = BLOCK_CHARS
-    for row in known.toLocalIterator():
-        if size + len(row[1]) > BLOCK_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((int(row[0]), row[1]))
-        size += len(row[1])
     rows = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     rows = spread(rows)
-    found = [rows.mapInArrow(_searcher(block), LEAKS_SCHEMA) for block in blocks]
-    if not found:
+    blocks = _blocks(known.toLocalIterator())
+    block = next(blocks, None)
+    if block is None:
         return documents.sparkSession.createDataFrame([], LEAKS_SCHEMA)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+    following = next(blocks, None)
+    if following is None:
+        return rows.mapInArrow(_searcher(block, _open_text), LEAKS_SCHEMA)
+    ensure_checkpoint_dir(documents.sparkSession)
+    opened = rows.mapInArrow(_opened, OPENED_SCHEMA).checkpoint()
+    out = None
+    while block is not None:
+        found = opened.mapInArrow(_searcher(block, _open_row), LEAKS_SCHEMA).checkpoint()
+        out = found if out is None else out.unionByName(found)
+        block, following = following, next(blocks, None)
     return out
 
 
-def _searcher(block: list[tuple[int, str]]):
+def _blocks(items: Iterator) -> Iterator[list[tuple[int, str]]]:
+    block: list[tuple[int, str]] = []
+    size = 0
+    for item_id, text in items:
+        if block and size + len(text) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append((int(item_id), text))
+        size += len(text)
+    if block:
+        yield block
+
+
+OPENED_SCHEMA = "doc_id long, words array<string>, places array<int>, digits array<string>, names array<string>"
+
+
+def _open_text(b: pa.RecordBatch) -> Iterator[tuple]:
+    for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+        words, numbers = canonical(text)
+        if len(words) >= LEAST_WORDS:
+            yield doc_id, words, numbers, names_of(text)
+
+
+def _open_row(b: pa.RecordBatch) -> Iterator[tuple]:
+    for doc_id, words, places, digits, names in zip(*(b[c].to_pylist() for c in ("doc_id", "words", "places", "digits", "names")), strict=True):
+        yield doc_id, words, list(zip(places, digits, strict=True)), set(names)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string()))
+    for b in batches:
+        rows = [(d, w, [k for k, _ in n], [x for _, x in n], sorted(s)) for d, w, n, s in _open_text(b)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "words", "places", "digits", "names"])
+
+
+def _searcher(block: list[tuple[int, str]], opened):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(block)
         code_of = index.vocabulary.get
         for b in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                words, numbers = canonical(text)
-                if len(words) < LEAST_WORDS:
-                    continue
-                codes = np.array([code_of(w, 0) for w in words], np.uint64)
-                found = index.hits(codes)
+            for doc_id, words, numbers, names in opened(b):
+                codes = np.array([code_of(w, UNKNOWN) for w in words], np.int64)
+                template = index.template(words, codes, names)
+                found = index.hits(template)
                 if len(found[0]):
-                    rows += [(doc_id, *r) for r in document_leaks(words, numbers, index, codes, found)]
+                    rows += [(doc_id, *r) for r in document_leaks(words, numbers, index, codes, template, found)]
             if rows:
                 ids, item, n, replaced, slots, changed = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(

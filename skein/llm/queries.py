@@ -73,7 +73,8 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they give away."""
-    return p8_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+    within = F.col("n_replaced") * leakage.ONE_IN <= F.col("n_words")
+    return p8_leaks(spark, sf_dir).where(within).select("doc_id", "item_id").distinct()
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

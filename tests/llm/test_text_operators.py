@@ -334,6 +334,19 @@ def test_leaks_blocks_and_slots(spark, rows, monkeypatch):
     assert leakage.leaks(d, i.where("false")).count() == 0
 
 
+def test_leaks_with_other_names(spark, rows, monkeypatch):
+    text = "the worker calls {a} before the queue opens and {b} after it closes so that {a} can drain what {b} left behind in the old and dusty store room"
+    items = spark.createDataFrame([(1, text.format(a="loadRows", b="save_rows"))], "item_id long, text string")
+    docs = [(1, text.format(a="readLines", b="put_lines")), (2, text.format(a="readLines", b="put_lines").replace("readLines can", "otherThing can")), (3, text.format(a="loadRows", b="SAVE_ROWS")), (4, text.format(a="spoon", b="fork"))]
+    docs += [(5, text.format(a="readLines", b="put_lines").replace("worker", "x").replace("queue", "y").replace("dusty", "z").replace("drain", "w").replace("behind", "v"))]
+    docs += [(6, "Intro " + text.format(a="loadRows", b="save_rows").replace("queue", '<a href="' + "x" * 900 + '" title=\'long\'>queue</a>').replace("closes", "closes <br/>"))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r[0]: r for r in rows(leakage.leaks(d, items))}
+    assert {k: (r[3] * 10 <= r[2], r[5]) for k, r in got.items()} == {1: (False, True), 3: (True, False), 6: (True, False)}
+    assert got[1][2] == len(text.split()) and got[1][4] == 4 and got[6][2] == len(text.split())
+    assert leakage.canonical("if a <b and c then d > e and 1 <2 <x y z " + "w " * 200 + ">")[0][:4] == ["if", "a", "e", "and"]
+
+
 # Repetition
 
 
