@@ -3,8 +3,8 @@
 The JVM decodes the JSON text into typed nested columns; Python only sees Arrow
 buffers.  A child table is emitted from a list column's offsets: its values
 are the child rows, ``list_parent_indices`` names each child's parent and keys
-travel down by one ``take``.  Only packed payloads and members below the typed levels
-are visited one by one.
+travel down by one ``take``.  Members below the typed levels are read as one stream of
+JSON into columns again; only packed payloads are visited one by one.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.json as pj
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NODES_SCHEMA = "raw_id long, node_kind string, own_key string, parent_key string, label string"
 
-#: Levels of members that the JVM decodes; deeper ones follow level by level.
+#: Levels of members that the JVM decodes; deeper ones follow in Arrow.
 TYPED_LEVELS = 3
 #: What tells a map; the first two hold its records.
 KNOWN = ("files", "index", "stats", "root", "generated_at")
@@ -159,6 +160,34 @@ def _joined(left: pa.Array, mark: str, right: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(left, right, mark)
 
 
+def _depth(text: str) -> int:
+    a = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    steps = np.isin(a, (91, 123)).astype(np.int32) - np.isin(a, (93, 125))
+    return int(np.cumsum(steps).max(initial=0))
+
+
+def _decode_deep(texts: pa.Array) -> pa.Array:
+    """Members below the typed levels, all levels at once: the texts as one stream of JSON lines, read into typed columns.
+
+    The type goes as deep as brackets nest.  Where values are not of that type
+    (a number for a name, an object for a list), one level is decoded by value.
+    """
+    lines = pc.replace_substring(pc.fill_null(pc.if_else(pc.equal(pc.fill_null(texts, ""), ""), None, texts), "null"), "\n", " ")
+    stream = "\n".join(pc.binary_join_element_wise('{"m":', lines, "}", "").to_pylist())
+    kind: list[tuple] = [("name", pa.string()), ("deps", pa.list_(pa.string()))]
+    for _ in range(_depth(stream) // 2):
+        kind = [*kind[:2], ("members", pa.list_(pa.struct(kind)))]
+    shape = pa.schema([kind[2] if len(kind) > 2 else ("members", pa.list_(pa.struct(kind)))]).field(0)
+    try:
+        found = pj.read_json(
+            pa.BufferReader(stream.encode("utf-8", "surrogatepass")), pj.ReadOptions(use_threads=False, block_size=max(1 << 20, 4 * len(stream) + 64)),
+            pj.ParseOptions(explicit_schema=pa.schema([("m", shape.type)]), unexpected_field_behavior="ignore"),
+        )
+    except pa.ArrowInvalid:
+        return _decode_level(texts)
+    return found["m"].combine_chunks() if found.num_rows == len(texts) else _decode_level(texts)
+
+
 def _decode_level(texts: pa.Array) -> pa.Array:
     """Members below the typed levels: one more level, deeper ones as text again."""
     kind = pa.list_(pa.struct([("name", pa.string()), ("deps", pa.list_(pa.string())), ("members", pa.string())]))
@@ -197,9 +226,11 @@ def _symbols(ids: pa.Array, owner: pa.Array, lists: pa.Array) -> Iterator[pa.Rec
         callee, of, at = _children(deps)
         holder = own.take(pa.array(of))
         yield _nodes(ids.take(pa.array(of)), "dep", _joined(holder, "@", at), holder, _text(callee))
+        if values.type.get_field_index("members") < 0:
+            break
         owner, lists = own, pc.struct_field(values, "members")
         if pa.types.is_string(lists.type) or pa.types.is_large_string(lists.type):
-            lists = _decode_level(lists)
+            lists = _decode_deep(lists)
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -239,3 +239,32 @@ def test_drift_steps_too_many_to_send(spark, rows, monkeypatch):
     want = rows(schema_changes(open_records(data, "f", "b", "p", "sid"))), [repr(r) for r in rows(consistent_records(data, "f", "b", "p", "sid"))]
     monkeypatch.setattr(tables, "BROADCAST_ROWS", 0)
     assert (rows(schema_changes(open_records(data, "f", "b", "p", "sid"))), [repr(r) for r in rows(consistent_records(data, "f", "b", "p", "sid"))]) == want
+
+
+@pytest.mark.parametrize("odd", [None, 7, {"x": 1}, [["a"]], "2024-01-01"])
+@pytest.mark.parametrize("depth", [2, 3, 4, 5, 9, 14])
+def test_members_to_any_depth(spark, rows, depth, odd):
+    def member(k):
+        m = {"name": f'n{k} "[{{\n' if k % 2 else None, "deps": [f"d{k}", None], "extra": {"members": [1]}}
+        return m if k == 0 else {**m, "members": [member(k - 1), None, {"name": odd, "deps": None, "members": []}]}
+
+    payload = json.dumps({"files": {"a": {"hash": "h", "symbols": [member(depth), {"name": "flat"}]}, "b": {"symbols": [{"name": "x", "members": [{"name": "y"}]}]}}, "stats": {"files_processed": 2}})
+    raw = spark.createDataFrame([(1, payload, T0)], "raw_id long, payload string, received_at timestamp")
+    got = [r for r in rows(flatten_maps(raw)) if r[1] in ("symbol", "dep")]
+    want = set()
+
+    def walk(owner, found):
+        for i, m in enumerate(found or []):
+            own, m = f"{owner}#{i}", m or {}
+            if i != 2 or owner.count("#") == 0:
+                want.add((1, "symbol", own, owner, m.get("name") or ""))
+            for j, d in enumerate(m.get("deps") or []):
+                want.add((1, "dep", f"{own}@{j}", own, d or ""))
+            walk(own, m.get("members"))
+
+    for path, f in json.loads(payload)["files"].items():
+        walk(path, f["symbols"])
+    third = lambda r: r[1] == "symbol" and r[2].endswith("#2") and r[3].count("#")
+    assert {r for r in got if not third(r)} == want and sum(map(bool, map(third, got))) == depth
+    if odd is None or isinstance(odd, str):
+        assert {r[4] for r in got if third(r)} == {odd or ""}
