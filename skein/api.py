@@ -108,7 +108,7 @@ class CodeIndex:
     def read(self, name: str, ranges: list[tuple[int, int]], *, context: int = 0) -> DataFrame:
         path = self.path_of(name) or name
         wanted = self.spark.createDataFrame([(path, a, b) for a, b in ranges], "file_path string, first int, last int")
-        return lines.read_merged(lines.file_lines(self.contents().where(F.col("file_path") == path)), wanted, context=context).orderBy("section", "num")
+        return lines.read_merged(lines.file_texts(self.contents().where(F.col("file_path") == path)), wanted, context=context).orderBy("section", "num")
 
     def lookup(self, query: str) -> list[dict]:
         """Matches with body and callers in one call, within a budget by the size of the index."""
@@ -119,7 +119,7 @@ class CodeIndex:
         wanted = self.spark.createDataFrame([(r["file_path"], r["name"], r["line_start"], r["line_end"]) for r in found], "file_path string, name string, line_start int, line_end int")
         near = self.contents().join(F.broadcast(wanted.select("file_path").distinct()), "file_path", "left_semi")
         body: dict = {}
-        for r in lines.lookup_bodies(lines.file_lines(near), wanted, chars=chars).orderBy("num").collect():
+        for r in lines.lookup_bodies(lines.file_texts(near), wanted, chars=chars).orderBy("num").collect():
             body.setdefault((r["file_path"], r["name"], r["line_start"]), []).append(r["content"])
         out = []
         for r in found:

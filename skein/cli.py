@@ -78,6 +78,7 @@ def main(argv: list[str] | None = None) -> int:
     import os
 
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from skein.api import CodeIndex
     from skein.functions.patterns import parse_line_spec
@@ -102,7 +103,6 @@ def main(argv: list[str] | None = None) -> int:
             from skein.sources import listing
             from skein.sources.tables import ensure_checkpoint_dir
             from skein.streaming.watch import Watcher
-            from pyspark.sql import functions as F
 
             snapshot = lambda: listing.read_files(listing.list_tree(spark, args.path, **options), args.path).select("file_path", content_hash(F.col("content")).alias("hash"))
             state = f"{ensure_checkpoint_dir(spark)}/watch-{os.getpid()}"
@@ -127,7 +127,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "read":
         if args.search:
             path = index.path_of(args.file) or args.file
-            found = lines.grep_first(lines.file_lines(index.contents().where(f"file_path = '{path}'")), args.search, context=args.context).orderBy("num")
+            found = lines.grep_first(lines.file_texts(index.contents().where(F.col("file_path") == path)), args.search, context=args.context).orderBy("num")
         else:
             found = index.read(args.file, parse_line_spec(args.lines or "1-50"), context=args.context)
         rows = [r.asDict() for r in found.collect()]

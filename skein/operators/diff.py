@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.paths import content_hash, extension
+from skein.sources.tables import one_content, small_side
 
 GAP_FILES, GAP_LINES = 3, 30
 
 
 def current_hashes(files: DataFrame) -> DataFrame:
     """``(file_path, hash)`` of the contents as they are now; of repeated paths the greatest content counts."""
-    return files.where("content is not null").groupBy("file_path").agg(F.max("content").alias("c")).select("file_path", content_hash(F.col("c")).alias("hash"))
+    return one_content(files).select("file_path", content_hash(F.col("content")).alias("hash"))
 
 
 def incremental_status(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def coverage_gaps(coverage: DataFrame) -> DataFrame:
 
 def coverage_percent(files: DataFrame, mapped: DataFrame) -> DataFrame:
     """One row: mapped and unmapped files by extension, and the percentage mapped (100 for nothing)."""
-    ext = files.select("file_path").distinct().withColumn("ext", extension(F.col("file_path"))).join(F.broadcast(mapped.select("ext", F.lit(1).alias("_m"))), "ext", "left")
+    ext = files.select("file_path").distinct().withColumn("ext", extension(F.col("file_path"))).join(small_side(mapped.select("ext", F.lit(1).alias("_m"))), "ext", "left")
     sums = ext.agg(F.count("_m").alias("mapped"), F.count_if(F.col("_m").isNull()).alias("unmapped"))
     total = F.col("mapped") + F.col("unmapped")
     return sums.withColumn("percent", F.when(total > 0, F.round(100 * F.col("mapped") / total, 1)).otherwise(100.0))
@@ -79,4 +80,4 @@ def unmapped_extensions(paths: DataFrame, mapped: DataFrame) -> DataFrame:
     """``(ext, n)`` of paths whose extension no language has; ``<none>`` for those without one."""
     ext = F.when(extension(F.col("file_path")) == "", "<none>").otherwise(extension(F.col("file_path")))
     rows = paths.select("file_path").distinct().select(ext.alias("ext"))
-    return rows.join(F.broadcast(mapped.select("ext")), "ext", "left_anti").groupBy("ext").agg(F.count("*").alias("n"))
+    return rows.join(small_side(mapped.select("ext")), "ext", "left_anti").groupBy("ext").agg(F.count("*").alias("n"))

@@ -111,9 +111,25 @@ def resolve_imports(imports: DataFrame, paths: DataFrame, *, aliases: list[Alias
         found += [candidate(103, k, inner, "module") for k in ("exact", "no_ext", "index")]
     found += [candidate(104, "suffix", F.when(F.contains(absolute, F.lit("/")), absolute), "suffix")]
     asked = wanted.select("src", "spec", F.explode(F.array(*found)).alias("c")).select("src", "spec", "c.*").where("key is not null and key <> ''")
-    keys = file_keys(paths)
-    hits = asked.join(keys, ["kind", "key"]).where("path <> src")
-    per = hits.groupBy("src", "spec", "prio", "strategy").agg(F.min("path").alias("path"), F.countDistinct("path").alias("candidates")).where("strategy <> 'suffix' or candidates = 1")
+    # A key may belong to many files and be asked for by many: the files shrink to two and a count before they meet.
+    every = file_keys(paths).where("kind <> 'no_ext' or key <> path")
+    keys = every.groupBy("kind", "key").agg(F.min("path").alias("first"), F.max("path").alias("last"), F.count("*").alias("n"))
+    seconds = every.join(keys.where("n > 2").select("kind", "key", "first"), ["kind", "key"]).where(F.col("path") != F.col("first")).groupBy("kind", "key").agg(F.min("path").alias("second"))
+    keys = keys.join(seconds, ["kind", "key"], "left").withColumn("second", F.coalesce("second", F.when(F.col("n") == 2, F.col("last"))))
+    # Of its own keys a file counts as one candidate less: which those are, its path tells.
+    known = paths.select(F.col("path").alias("src"), F.lit(True).alias("is_file")).dropna().distinct()
+    bare = without_extension(F.col("src"))
+    own = (
+        F.when(F.col("kind") == "exact", F.col("key") == F.col("src")).when(F.col("kind") == "no_ext", (F.col("key") == bare) & (bare != F.col("src")))
+        .when(F.col("kind") == "index", basename(bare).isin(*INDEX_FILES) & (F.col("key") == parent_dir(F.col("src"))))
+        .otherwise(F.contains("key", F.lit("/")) & F.endswith(F.concat(F.lit("/"), bare), F.concat(F.lit("/"), F.col("key"))))
+    )
+    others = F.col("n") - F.when(F.col("is_file") & own, 1).otherwise(0)
+    per = (
+        asked.join(keys, ["kind", "key"]).join(known, "src", "left").withColumn("others", others).where("others > 0")
+        .withColumn("path", F.when(F.col("first") == F.col("src"), F.col("second")).otherwise(F.col("first")))
+        .groupBy("src", "spec", "prio", "strategy").agg(F.min("path").alias("path"), F.sum("others").alias("candidates")).where("strategy <> 'suffix' or candidates = 1")
+    )
     best = Window.partitionBy("src", "spec").orderBy("prio", "strategy", "path")
     won = per.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "prio")
     return wanted.select("src", "spec").distinct().join(won, ["src", "spec"], "left").select(

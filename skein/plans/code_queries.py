@@ -328,7 +328,7 @@ def _ranges(spark, sf_dir) -> DataFrame:
 @query(f"""with {_LINES}, {_RANGES} select file_path, range_id, num, content, num between first and last as in_range from l join r using (file_path) where num between first - 1 and last + 1""")
 def read_lines_context(spark, sf_dir):
     """The head of every symbol with a line of context."""
-    return lines.read_with_context(lines.file_lines(table(spark, sf_dir, "files")), _ranges(spark, sf_dir), context=1)
+    return lines.read_with_context(lines.file_texts(table(spark, sf_dir, "files")), _ranges(spark, sf_dir), context=1)
 
 
 @query(f"""with {_LINES}, {_RANGES}, n as (select file_path, max(num) as n from l group by 1),
@@ -338,7 +338,7 @@ i as (select *, sum(opened) over (partition by file_path order by a, b)::bigint
 select file_path, section, num, content from l join m using (file_path) where num between a and b""")
 def read_ranges_merged(spark, sf_dir):
     """The same ranges merged where they come close."""
-    return lines.read_merged(lines.file_lines(table(spark, sf_dir, "files")), _ranges(spark, sf_dir), context=2)
+    return lines.read_merged(lines.file_texts(table(spark, sf_dir, "files")), _ranges(spark, sf_dir), context=2)
 
 
 @query(f"""with {_LINES}, y as (select distinct file_path, name, line_start, line_end from symbols where name is not null and line_start is not null and line_end is not null),
@@ -347,7 +347,7 @@ select file_path, name, line_start, line_end, i, num, content from b where n <=
 union all select file_path, name, line_start, line_end, i, null, '... ' || (n - 19) || ' lines skipped ...' from b where n > 20 and i = 11""")
 def read_symbol_truncated(spark, sf_dir):
     """The bodies of all symbols, at most 20 lines each."""
-    return lines.read_symbols(lines.file_lines(table(spark, sf_dir, "files")), _symbols(spark, sf_dir), max_lines=20)
+    return lines.read_symbols(lines.file_texts(table(spark, sf_dir, "files")), _symbols(spark, sf_dir), max_lines=20)
 
 
 @query(f"""with {_LINES}, h as (select * from l where regexp_matches(content, 'return \\w+;', 'i') qualify row_number() over (partition by file_path order by num) <= 3), n as (select file_path, max(num) as n from l group by 1),
@@ -357,7 +357,7 @@ i as (select *, sum(opened) over (partition by file_path order by a, b)::bigint
 select l.file_path, section, l.num, l.content, h.num is not null as is_match from l join m using (file_path) left join h on h.file_path = l.file_path and h.num = l.num where l.num between a and b""")
 def grep_first_k(spark, sf_dir):
     """The first three matches in each file, with context."""
-    return lines.grep_first(lines.file_lines(table(spark, sf_dir, "files")), r"return \w+;", max_matches=3, context=1)
+    return lines.grep_first(lines.file_texts(table(spark, sf_dir, "files")), r"return \w+;", max_matches=3, context=1)
 
 
 @query(f"""with {_LINES}, y as (select distinct file_path, name, line_start, line_end from symbols where name is not null and line_start is not null and line_end is not null and type = 'class'),
@@ -365,7 +365,7 @@ b as (select *, sum(length(content) + 1) over (partition by file_path, name, lin
 select file_path, name, line_start, num, content, used from b where used <= 400 or num = line_start""")
 def lookup_char_budget(spark, sf_dir):
     """Class bodies within a budget of characters."""
-    return lines.lookup_bodies(lines.file_lines(table(spark, sf_dir, "files")), _symbols(spark, sf_dir).where("type = 'class'"), chars=400)
+    return lines.lookup_bodies(lines.file_texts(table(spark, sf_dir, "files")), _symbols(spark, sf_dir).where("type = 'class'"), chars=400)
 
 
 # Graph

@@ -45,6 +45,20 @@ def small_side(df: DataFrame, how_many: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def one_content(files: DataFrame) -> DataFrame:
+    """``(file_path, content)``: each path once, of repeated ones with the greatest content; rows without content are left out.
+
+    Only paths are shuffled to find those given twice, and only the contents of
+    those to choose one; all others stay where their scan reads them.
+    """
+    ensure_checkpoint_dir(files.sparkSession)
+    twice = files.groupBy("file_path").agg(F.count("*").alias("n")).where("n > 1").select("file_path").checkpoint()
+    rows = files.where("content is not null").select("file_path", "content")
+    side = small_side(twice)
+    chosen = rows.join(side, "file_path", "left_semi").groupBy("file_path").agg(F.max("content").alias("content"))
+    return rows.join(side, "file_path", "left_anti").unionByName(chosen)
+
+
 def tasks_for(df: DataFrame, bytes_per_task: int) -> int:
     """Tasks so that none gets more than about ``bytes_per_task`` of what the plan reads, and at least as many as a shuffle has.
 

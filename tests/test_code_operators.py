@@ -13,11 +13,11 @@ from skein import api, cli
 from skein.functions.patterns import glob_to_regex, java_regex, parse_line_spec, safe_pattern, safe_ref
 from skein.operators import diff, graph, lines, resolve, rollup, search
 from skein.render import text
-from skein.sources import codec, config, listing
+from skein.sources import codec, config, listing, tables
 from skein.sources.ignore import ignored_paths, is_ignored, parse_rules
 from skein.sources.imports import raw_imports
 from skein.sources.parse import LanguageSpec, parse_content, parse_files, register_language
-from skein.sources.tables import ensure_checkpoint_dir, spread, table
+from skein.sources.tables import ensure_checkpoint_dir, one_content, spread, table
 from skein.streaming.watch import Watcher, poll_changes
 
 SYMBOLS = [
@@ -103,7 +103,7 @@ def test_line_specs():
 @pytest.fixture(scope="module")
 def numbered(spark):
     body = "\n".join(f"Line {i}" for i in range(1, 101)) + "\r\n"
-    return lines.file_lines(spark.createDataFrame([("f", body), ("f", body), ("g", ""), ("h", None)], "file_path string, content string"))
+    return lines.file_texts(spark.createDataFrame([("f", body), ("f", body), ("g", ""), ("h", None)], "file_path string, content string"))
 
 
 def test_lines(spark, numbered, rows):
@@ -174,6 +174,16 @@ def test_pagerank_by_brute_force(spark, iterations, tolerance):
     assert {r.path: r["rank"] for r in got.collect()} == pytest.approx(ranks, abs=1e-12)
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_contents_of_repeated_paths(spark, rows, monkeypatch, limit):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", limit)
+    files = [("a", "x\ny"), ("b", "old"), ("b", "one"), ("b", None), ("c", "same"), ("c", "same"), ("d", None), ("d", None), ("e", ""), (None, "n")]
+    df = spark.createDataFrame(files, "file_path string, content string")
+    assert rows(one_content(df)) == sorted([("a", "x\ny"), ("b", "one"), ("c", "same"), ("e", ""), (None, "n")], key=repr)
+    assert rows(lines.file_lines(df.where("file_path = 'a'"))) == [("a", 1, "x"), ("a", 2, "y")]
+    assert one_content(df.where("false")).count() == 0
+
+
 def test_graph(spark, rows):
     edges = spark.createDataFrame([("a", "./b"), ("b", "c"), ("c", "a"), ("d\\x", "a"), ("a", "a"), (None, "a")], "src_file string, dst_file string")
     g = graph.import_graph(edges)
@@ -211,6 +221,18 @@ def test_resolve(spark, src, spec, language, want):
     assert (got.path, got.strategy) == want
 
 
+def test_resolve_leaves_the_importer_out(spark):
+    tree = ["a/x/util.py", "b/x/util.py", "c/x/util.py", "d/x/util.ts", "x/util.py", "bin/run", "bin/run.sh", "m/index.js", "m/index.ts"]
+    asked = [("a/x/util.py", "x.util"), ("z.py", "x.util"), ("bin/run.sh", "bin/run"), ("bin/run", "bin/run"), ("m/index.js", "m"), ("q.js", "m"), ("x/util.py", "x/util.py")]
+    paths = spark.createDataFrame([(p,) for p in tree], "path string")
+    got = resolve.resolve_imports(spark.createDataFrame([(a, b, "python" if "." in b and "/" not in b else "javascript") for a, b in asked], "src string, spec string, language string"), paths).collect()
+    assert {(r.src, r.spec): (r.path, r.strategy, r.candidates) for r in got} == {
+        ("a/x/util.py", "x.util"): ("x/util.py", "no_ext", 1), ("z.py", "x.util"): ("x/util.py", "no_ext", 1), ("bin/run.sh", "bin/run"): ("bin/run", "exact", 1), ("bin/run", "bin/run"): ("bin/run.sh", "no_ext", 1),
+        ("m/index.js", "m"): ("m/index.ts", "index", 1), ("q.js", "m"): ("m/index.js", "index", 2), ("x/util.py", "x/util.py"): (None, "not_found", 0),
+    }
+
+
+
 def test_file_keys(spark, rows):
     keys = rows(resolve.file_keys(spark.createDataFrame([("a.py",), ("x/y/__init__.py",), (None,)], "path string")).select("kind", "key"))
     assert keys == [("exact", "a.py"), ("exact", "x/y/__init__.py"), ("index", "x/y"), ("no_ext", "a"), ("no_ext", "x/y/__init__"), ("suffix", "x/y/__init__"), ("suffix", "y/__init__")]
