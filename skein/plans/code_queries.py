@@ -6,6 +6,7 @@ it is the feature (ranked search, first matches, top-k reports).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.functions.paths import canonical_path, content_hash, extension
 from skein.operators import diff, graph, lines, resolve, rollup, search
 from skein.sources.ignore import DEFAULT_RULES, ignored_paths, parse_rules
-from skein.sources.imports import raw_imports
+from skein.sources.imports import PATTERNS, raw_imports
 from skein.sources.languages import EXTENSIONS, language_table
 from skein.sources.tables import table
 
@@ -84,7 +85,20 @@ def imports_javascript(spark, sf_dir):
     return raw_imports(recorded, ("javascript", "typescript"))
 
 
-@query()
+def _all_of_sql(name: str) -> str:
+    """All that the patterns of a language find in ``c``."""
+    found = [f"regexp_extract_all(c, '{p.replace(chr(39), chr(39) * 2)}', 1)" for p in PATTERNS[name]]
+    if name == "python":
+        lists = r"regexp_extract_all(regexp_replace(c, '\\\r?\n', ' ', 'g'), '(?m)^[ \t]*import[ \t]+([^\n#]+)', 1)"
+        parts = rf"flatten(list_transform({lists}, lambda x: string_split(regexp_replace(regexp_replace(x, ';[ \t]*import[ \t]+', ',', 'g'), ';.*', ''), ',')))"
+        found.append(rf"list_filter(list_transform({parts}, lambda x: regexp_extract(x, '^\s*([\w.]+)', 1)), lambda x: x <> '')")
+    if name == "go":
+        found.append(r"""regexp_extract_all(regexp_extract(c, '(?s)\bimport\s*\((.*?)\)', 1), '"([^"\n]+)"', 1)""")
+    return "flatten([" + ", ".join(found) + "])"
+
+
+@query(f"""with f as (select distinct file_path, content as c, coalesce({_ext_sql("file_path")}, lower(trim(language))) as lang from files where content is not null)
+select distinct file_path, unnest(case lang {" ".join(f"when '{name}' then {_all_of_sql(name)}" for name in PATTERNS)} end) as raw_import from f""")
 def imports_all(spark, sf_dir):
     """Raw imports of every language that has patterns."""
     return raw_imports(table(spark, sf_dir, "files"))
@@ -559,7 +573,10 @@ def alias_match(spark, sf_dir):
     return found.select("spec", F.when(F.col("strategy") == "alias", F.col("path")).alias("path"), F.when(F.col("strategy") == "alias", "alias").otherwise("not_found").alias("strategy"))
 
 
-@query()
+@query(f"""with {_KEYS}, k as (select distinct key, path from keys where kind in ('no_ext', 'suffix', 'index')), s as (select distinct raw_import as spec, string_split(raw_import, '.') as parts from import_edges where raw_import is not null),
+a as (select spec, i as len, array_to_string(parts[1:i], '/') as key from s, unnest(range(1, len(parts) + 1)) as u(i)),
+o as (select spec, len, key, min(path) as path from a join k using (key) group by all having count(*) = 1)
+select spec, arg_max(path, len) as path, arg_max(key, len) as prefix from o group by spec""")
 def resolve_longest_prefix(spark, sf_dir):
     """Dotted names by their longest prefix that one file has."""
     specs = table(spark, sf_dir, "import_edges").select(F.col("raw_import").alias("spec"))
@@ -619,14 +636,29 @@ def render_summary(spark, sf_dir):
 _RULES = "*.min.js\n!src/**/*.min.js\nbuild/\n/dist\n**/generated/\n*_pb2.py\nvendor/\nnode_modules/\n[tT]ests/\n!important.py\n"
 
 
-@query()
+def _ignored_sql(rules: str, paths: str) -> str:
+    """Paths of which a part, from the top, has an ignoring rule as its last match; folders end below their last slash."""
+    rows = []
+    for k, line in enumerate(x for x in rules.splitlines() if x.strip() and not x.startswith("#")):
+        body = line.strip().removeprefix("!")
+        folder, body = body.endswith("/"), body.rstrip("/")
+        placed = "/" in body
+        text = "".join({"**/": "(.*/)?", "/**": "/.*", "*": "[^/]*", "?": "[^/]"}.get(t) or (t.replace("[!", "[^") if t[0] == "[" else re.escape(t)) for t in re.findall(r"\*\*/|/\*\*$|\*|\?|\[[^\]]+\]|.", body.removeprefix("/")))
+        rows.append(f"({k}, {line.startswith('!')}, {folder}, '{'^' if placed else '(^|/)'}{text}$')")
+    return f"""with rules(k, kept, folder, pattern) as (values {", ".join(rows)}), p as ({paths}), t as (select path, string_split(path, '/') as parts from p),
+parts as (select path, array_to_string(parts[1:i], '/') as part, i < len(parts) as is_folder from t, unnest(range(1, len(parts) + 1)) as u(i)),
+said as (select distinct part, is_folder from parts), judged as (select part, is_folder, arg_max(kept, k) as kept from said join rules on regexp_matches(part, pattern) and (is_folder or not folder) group by all)
+select distinct path from parts join judged using (part, is_folder) where not kept"""
+
+
+@query(_ignored_sql(_RULES, "select distinct regexp_replace(path, '^[^/]+/', '') as path from file_nodes"))
 def ignore_last_match(spark, sf_dir):
     """Paths that ignore rules exclude: the last matching rule wins, and nothing comes back below an excluded folder."""
     paths = table(spark, sf_dir, "file_nodes").select(F.regexp_replace("path", "^[^/]+/", "").alias("path")).distinct()
     return ignored_paths(paths, parse_rules(_RULES)).where("ignored").select("path")
 
 
-@query()
+@query(_ignored_sql(DEFAULT_RULES, "select distinct path from file_nodes where path is not null"))
 def ignore_defaults(spark, sf_dir):
     """Paths that the default rules exclude."""
     return ignored_paths(table(spark, sf_dir, "file_nodes").select("path").distinct(), parse_rules(DEFAULT_RULES)).where("ignored").select("path")

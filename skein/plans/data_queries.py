@@ -198,4 +198,28 @@ join schemas p on p.feed = s.feed and p.batch_no = b.before and p.key = s.key wh
   '{{' || coalesce(string_agg(to_json(field)::varchar || ':' || coalesce(to_json(v)::varchar, 'null'), ',' order by field)
     filter (where field not in ({", ".join(f"'{t[0]}'" for t in TARGET)})), '') || '}}' as other
 from one group by feed, batch_no, sid""",
+    "p4_found": r"""
+with recursive one as (
+  select raw_id, arg_max(payload, received_at) as p from raw_maps group by raw_id
+), layers(raw_id, j, depth) as (
+  select raw_id, json(p), 0 from one where json_valid(p)
+  union all
+  select raw_id, case json_type(j) when 'VARCHAR' then json(json_extract_string(j, '$')) when 'ARRAY' then (j->0) else (j->'code_map') end, depth + 1
+  from layers where depth < 8 and ((json_type(j) = 'VARCHAR' and json_valid(json_extract_string(j, '$'))) or json_type(j) = 'ARRAY' or (json_type(j) = 'OBJECT' and (j->'code_map') is not null))
+), maps as (
+  select raw_id, arg_max(j, depth) as j from layers where json_type(j) = 'OBJECT' and ((j->'files') is not null or (j->'index') is not null or (j->'stats') is not null or (j->'root') is not null) group by raw_id
+), files as (
+  select m.raw_id, case when json_type((m.j->'files')) = 'OBJECT' then e.key else json_extract_string(e.value, '$.path') end as path, e.value as f from maps m, json_each(m.j->'files') e
+), symbols(raw_id, own, parent, s) as (
+  select f.raw_id, f.path || '#' || e.key, f.path, e.value from files f, json_each(f.f->'symbols') e where json_type(f.f->'symbols') = 'ARRAY'
+  union all
+  select s.raw_id, s.own || '#' || e.key, s.own, e.value from symbols s, json_each(s.s->'members') e where json_type(s.s->'members') = 'ARRAY'
+), entries as (
+  select m.raw_id, e.key as name, case when json_type(e.value) = 'ARRAY' then e.value else json_array(e.value) end as found from maps m, json_each(m.j->'index') e
+)
+select raw_id, 'map' as node_kind, '' as own_key, '' as parent_key, coalesce(json_extract_string(j, '$.stats.files_processed'), '') as label from maps
+union all select raw_id, 'file', path, '', coalesce(json_extract_string(f, '$.hash'), '') from files
+union all select raw_id, 'symbol', own, parent, coalesce(json_extract_string(s, '$.name'), '') from symbols
+union all select s.raw_id, 'dep', s.own || '@' || e.key, s.own, coalesce(json_extract_string(e.value, '$'), '') from symbols s, json_each(s.s->'deps') e where json_type(s.s->'deps') = 'ARRAY'
+union all select n.raw_id, 'entry', n.name || '#' || e.key, n.name, coalesce(json_extract_string(e.value, '$.file'), '') from entries n, json_each(n.found) e""",
 }
