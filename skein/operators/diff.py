@@ -81,3 +81,12 @@ def unmapped_extensions(paths: DataFrame, mapped: DataFrame) -> DataFrame:
     ext = F.when(extension(F.col("file_path")) == "", "<none>").otherwise(extension(F.col("file_path")))
     rows = paths.select("file_path").distinct().select(ext.alias("ext"))
     return rows.join(small_side(mapped.select("ext")), "ext", "left_anti").groupBy("ext").agg(F.count("*").alias("n"))
+
+
+def skip_causes(files: DataFrame, mapped: DataFrame) -> DataFrame:
+    """``(cause, n)`` of the paths that are not parsed: ``unmapped`` extension, ``unreadable`` (no content) or ``empty``."""
+    ext = extension(F.col("file_path"))
+    one = files.groupBy("file_path").agg(F.max(F.length(F.trim("content"))).alias("n")).withColumn("ext", ext)
+    known = one.join(small_side(mapped.select("ext", F.lit(True).alias("known"))), "ext", "left")
+    cause = F.when(F.col("known").isNull(), "unmapped").when(F.col("n").isNull(), "unreadable").when(F.col("n") == 0, "empty")
+    return known.select(cause.alias("cause")).dropna().groupBy("cause").agg(F.count("*").alias("n"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from skein.functions.paths import canonical_path
+from skein.functions.paths import canonical_path, parent_dir
 from skein.sources.tables import ensure_checkpoint_dir
 
 HUB_DEGREE = 3
@@ -51,6 +51,35 @@ def graph_stats(degree: DataFrame, *, threshold: int = HUB_DEGREE) -> DataFrame:
     )
 
 
+def internal_edges(graph: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges between files of the index ``files(path)``, a file's import of itself aside."""
+    known = files.select(canonical_path(F.col("path")).alias("path")).dropna().distinct()
+    inside = graph.where("src <> dst").join(known.withColumnRenamed("path", "src"), "src", "left_semi")
+    return inside.join(known.withColumnRenamed("path", "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def language_stats(degree: DataFrame, nodes: DataFrame, *, threshold: int = HUB_DEGREE) -> DataFrame:
+    """``(language, files, edges, hubs, avg_in, avg_out)``; of a path given with several languages the greatest counts."""
+    named = nodes.select(canonical_path(F.col("path")).alias("path"), F.lower(F.trim("language")).alias("language")).groupBy("path").agg(F.max("language").alias("language"))
+    return (
+        degree.join(named, "path", "left").groupBy("language")
+        .agg(F.count("*").alias("files"), F.sum("out_degree").alias("edges"), F.count_if(F.col("in_degree") >= threshold).alias("hubs"), F.avg("in_degree").alias("avg_in"), F.avg("out_degree").alias("avg_out"))
+    )
+
+
+def dependency_flow(graph: DataFrame, degree: DataFrame, *, shown: int = 3) -> DataFrame:
+    """``(dir, path, in_degree, imports, more)``: of each file that imports others the first ``shown`` of them, and how many more.
+
+    ``dir`` is 'root' for files at the top.  Imports are numbered where they
+    are, so a file's list is never longer than what is shown.
+    """
+    w = Window.partitionBy("src").orderBy("dst")
+    first = graph.withColumn("k", F.row_number().over(w)).where(F.col("k") <= shown)
+    lists = first.groupBy(F.col("src").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "dst"))), lambda x: x["dst"]).alias("imports"))
+    folder = F.when(parent_dir(F.col("path")) == "", "root").otherwise(parent_dir(F.col("path")))
+    return degree.join(lists, "path").select(folder.alias("dir"), "path", "in_degree", "imports", (F.col("out_degree") - F.size("imports")).alias("more"))
+
+
 def connected(graph: DataFrame, path: str) -> DataFrame:
     """Files that import ``path`` or are imported by it, itself aside."""
     out = graph.where(F.col("src") == path).select(F.col("dst").alias("path"))

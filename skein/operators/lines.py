@@ -106,9 +106,21 @@ def grep_first(texts: DataFrame, pattern: str, *, max_matches: int = 10, context
     return rows.select("file_path", "section", "num", "content", F.array_contains("hits", F.col("num")).alias("is_match"))
 
 
+#: Files below, matches shown, characters of each; above the last: six of 2400.
+BUDGETS = ((150, 3, 1600), (1000, 4, 1800), (5000, 5, 2000))
+
+
+def lookup_budgets(n_files: Column) -> tuple[Column, Column]:
+    """``lookup_budget`` for a column of sizes."""
+    matches, chars = F.lit(6), F.lit(2400)
+    for below, m, c in reversed(BUDGETS):
+        matches, chars = F.when(n_files < below, m).otherwise(matches), F.when(n_files < below, c).otherwise(chars)
+    return matches, chars
+
+
 def lookup_budget(n_files: int) -> tuple[int, int]:
     """Matches shown and characters of each, by the size of the repository (files below, matches, characters)."""
-    for below, matches, chars in ((150, 3, 1600), (1000, 4, 1800), (5000, 5, 2000)):
+    for below, matches, chars in BUDGETS:
         if n_files < below:
             return matches, chars
     return 6, 2400

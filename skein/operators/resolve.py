@@ -137,6 +137,36 @@ def resolve_imports(imports: DataFrame, paths: DataFrame, *, aliases: list[Alias
     )
 
 
+def resolution_stats(resolved: DataFrame) -> DataFrame:
+    """One row: imports, resolved and unresolved ones, and the share resolved (0 for none)."""
+    sums = resolved.agg(F.count("*").alias("total"), F.count("path").alias("resolved"))
+    rate = F.when(F.col("total") > 0, F.col("resolved") / F.col("total")).otherwise(0.0)
+    return sums.select("total", "resolved", (F.col("total") - F.col("resolved")).alias("unresolved"), rate.alias("rate"))
+
+
+def resolve_loosely(specs: DataFrame, paths: DataFrame) -> DataFrame:
+    """``(spec, path, strategy)`` of ``specs(spec)`` with slashes: equal path, path without extension, index file of the folder,
+    the same letters in any case (the shortest path, then the first), or a suffix that one file alone has (of one part or more).
+    """
+    asked = specs.select("spec").dropna().distinct()
+    files = paths.select("path").dropna().distinct()
+    bare = without_extension(F.col("path"))
+    parts = F.split(bare, "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.size(parts) - i + 1, i), "/"))
+    kind = lambda prio, name, key, ok=None: F.when(F.lit(True) if ok is None else ok, F.array(F.struct(F.lit(prio).alias("prio"), F.lit(name).alias("strategy"), key.alias("key"))))
+    keyed = F.flatten(F.array_compact(F.array(
+        kind(1, "exact", F.col("path")), kind(2, "no_ext", bare), kind(3, "index", parent_dir(F.col("path")), basename(bare).isin(*INDEX_FILES)), kind(4, "lower", F.lower(bare)),
+        F.transform(suffixes, lambda x: F.struct(F.lit(5).alias("prio"), F.lit("suffix").alias("strategy"), x.alias("key"))),
+    )))
+    best = F.min(F.struct(F.when(F.col("strategy") == "lower", F.length("path")).otherwise(0).alias("length"), "path"))["path"]
+    # A key of many files is one row before it meets those who ask.
+    keys = files.select("path", F.explode(keyed).alias("k")).select("path", "k.*").groupBy("prio", "strategy", "key").agg(best.alias("path"), F.count("*").alias("n")).where("strategy <> 'suffix' or n = 1")
+    said = F.when(F.col("strategy") == "lower", F.lower("spec")).otherwise(F.col("spec"))
+    wanted = asked.select("spec", F.explode(F.array(*[F.lit(x) for x in ("exact", "no_ext", "index", "lower", "suffix")])).alias("strategy")).withColumn("key", said)
+    won = wanted.join(keys, ["strategy", "key"]).groupBy("spec").agg(F.min(F.struct("prio", "path", "strategy")).alias("b"))
+    return asked.join(won, "spec", "left").select("spec", "b.path", F.coalesce("b.strategy", F.lit("not_found")).alias("strategy"))
+
+
 def longest_prefix(specs: DataFrame, paths: DataFrame) -> DataFrame:
     """``(spec, path, prefix)``: dotted names by their longest prefix that some file's suffix or bare path equals, if one only."""
     parts = F.split("spec", r"\.")

@@ -23,6 +23,24 @@ def micro_meta(symbols: DataFrame) -> DataFrame:
     )
 
 
+def class_methods(symbols: DataFrame, *, shown: int = 3) -> DataFrame:
+    """``(file_path, class_name, n_methods, methods)``: the methods of each parent, the first ``shown`` in order by name."""
+    rows = symbols.where("type = 'method' and parent is not null").select("file_path", F.col("parent").alias("class_name"), "sym_ord", "line_start", "name").distinct()
+    k = F.row_number().over(Window.partitionBy("file_path", "class_name").orderBy("sym_ord", "line_start", "name"))
+    numbered = rows.withColumn("k", k).withColumn("s", F.when(F.col("k") <= shown, F.struct("k", "name")))
+    return numbered.groupBy("file_path", "class_name").agg(
+        F.count("*").alias("n_methods"), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["name"]), ", ").alias("methods")
+    )
+
+
+def meta_with_degrees(symbols: DataFrame, degree: DataFrame) -> DataFrame:
+    """``(file_path, classes, functions, methods, in_degree, out_degree)`` of every file with symbols; 0 for files of no import."""
+    rows = symbols.select("file_path", "sym_ord", "line_start", "name", "type").distinct()
+    counts = rows.groupBy("file_path").agg(*[F.count_if(F.col("type") == t).alias(n) for t, n in (("class", "classes"), ("function", "functions"), ("method", "methods"))])
+    known = degree.select(F.col("path").alias("file_path"), "in_degree", "out_degree")
+    return counts.join(known, "file_path", "left").na.fill(0, ["in_degree", "out_degree"])
+
+
 def is_test_file(symbols: DataFrame) -> DataFrame:
     """``(file_path, is_test)``: 'test' in the path, or a function named ``test_...``."""
     flag = F.contains("file_path", F.lit("test")) | ((F.col("type") == "function") & F.startswith("name", F.lit("test_")))

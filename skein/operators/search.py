@@ -133,6 +133,13 @@ def call_edges(symbols: DataFrame, *, first: int | None = None) -> DataFrame:
     ).distinct()
 
 
+def call_graph(symbols: DataFrame) -> DataFrame:
+    """``(caller_file, caller_name, callee_file, callee_name)``: each call whose name some file defines, to the first such file by path."""
+    first = symbols.where("name is not null").groupBy(F.col("name").alias("callee_name")).agg(F.min("file_path").alias("callee_file"))
+    calls = call_edges(symbols).select("caller_file", "caller_name", "callee_name").distinct()
+    return calls.join(first, "callee_name").select("caller_file", "caller_name", "callee_file", "callee_name")
+
+
 def callers_of(symbols: DataFrame, name: str) -> DataFrame:
     """Who calls ``name`` (exact letter case): filtered on the array before anything is exploded."""
     hit = symbols.where(F.array_contains("dependencies", name))
