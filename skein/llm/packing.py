@@ -203,6 +203,20 @@ def pack(sizes: DataFrame, packs: list[tuple[int, int]], *, open_bins: int = OPE
     return packed.where("not is_open").unionByName(rest).drop("is_open")
 
 
+def packing_faults(packed: DataFrame, sizes: DataFrame, packs: DataFrame) -> DataFrame:
+    """For each capacity: documents, those whose pieces are not their tokens, containers above capacity, and items cut though they fit."""
+    rooms = packed.where("container is not null").groupBy("pack_id", "container").agg(F.sum("n_tokens").alias("n"))
+    above = rooms.join(packs.select("pack_id", "capacity"), "pack_id").groupBy("pack_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_above_capacity"))
+    whole = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("times"))
+    pieces_of = packed.groupBy("pack_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    met = pieces_of.join(whole, "doc_id").join(packs.select("pack_id", "capacity"), "pack_id")
+    per = met.groupBy("pack_id").agg(
+        F.count("*").alias("n_docs"), F.count_if(F.col("n") != F.col("tokens")).alias("n_lost"),
+        F.count_if((F.col("pieces") > F.col("times")) & (F.col("tokens") <= F.col("capacity"))).alias("n_cut_needlessly"),
+    )
+    return per.join(above, "pack_id", "left").na.fill(0, ["n_above_capacity"])
+
+
 def fill_report(packed: DataFrame, packs: DataFrame) -> DataFrame:
     """For each capacity: containers, tokens, and the share of their room that is filled."""
     per = packed.where("container is not null").groupBy("pack_id", "container").agg(F.sum("n_tokens").alias("n"))

@@ -71,6 +71,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packed, packs)
 
 
+def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a packing must not have: lost tokens, containers above capacity, needless cuts."""
+    packed, packs = _packed(spark, sf_dir)
+    return packing.packing_faults(packed, packing.token_counts(table(spark, sf_dir, "documents")), packs)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they give away."""
     within = F.col("n_replaced") * leakage.ONE_IN <= F.col("n_words")
@@ -95,7 +101,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_signals, p5_found, p5_pairs, p5_planted, p7_packed, p7_fill, p8_found, p8_leaks, p9_found, p9_shares)
+    for f in (p1_found, p1_signals, p5_found, p5_pairs, p5_planted, p7_packed, p7_fill, p7_faults, p8_found, p8_leaks, p9_found, p9_shares)
 }
 
 _WORDS = """
@@ -118,6 +124,8 @@ ORACLE: dict[str, str] = {
     + "' as doc, doc_path from (values "
     + ", ".join(f"('{a}', '{b}', {c}, '{d}')" for a, b, c, d in PLANTED_PAIRS)
     + ") as t(file_path, name, line_start, doc_path)",
+    "p7_faults": """select p.pack_id, (select count(distinct doc_id) from documents) as n_docs, 0::bigint as n_lost, 0::bigint as n_above_capacity, 0::bigint as n_cut_needlessly
+from (select distinct pack_id from pack_sizes) p""",
     "p9_found": _WORDS + "select distinct doc_id from shares where repeated_share >= 0.4",
     "p9_shares": _WORDS + "select doc_id, n_words, repeated_share from shares",
 }
