@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +12,15 @@ from skein.operators import diff, graph, lines, resolve, search
 from skein.render import text
 from skein.sources import codec, config, listing
 from skein.sources.imports import file_language, raw_imports
+from skein.sources.listing import inside
 from skein.sources.parse import MAX_LINES, parse_files
 from skein.sources.tables import ensure_checkpoint_dir
 
 
+#: Seconds that listing a tree may take.
+SCAN_BUDGET = 30.0
+
+
 class CodeIndex:
     """Files, symbols and import edges of a tree as DataFrames, with the queries over them."""
 
@@ -24,19 +28,25 @@ class CodeIndex:
         self.spark, self.files, self.symbols, self.root, self.stats = spark, files, symbols, root, stats or {}
 
     @classmethod
-    def scan(cls, spark: SparkSession, root: str, *, ignore: list[str] | None = None, use_gitignore: bool = False, git_only: bool = False, max_symbol_lines: int = MAX_LINES) -> CodeIndex:
-        """List, read and parse a tree."""
+    def scan(cls, spark: SparkSession, root: str, *, ignore: list[str] | None = None, use_gitignore: bool = False, git_only: bool = False, max_symbol_lines: int = MAX_LINES, budget: float | None = SCAN_BUDGET) -> CodeIndex:
+        """List, read and parse a tree; a listing that takes longer than ``budget`` seconds is cut and says so in ``stats``."""
         ensure_checkpoint_dir(spark)
-        listed = listing.list_tree(spark, root, ignore=ignore, use_gitignore=use_gitignore, git_only=git_only)
+        stats: dict = {}
+        listed = listing.list_tree(spark, root, ignore=ignore, use_gitignore=use_gitignore, git_only=git_only, budget=budget, stats=stats)
         files = listing.read_files(listed, root).withColumn("hash", content_hash(F.col("content"))).checkpoint()
-        return cls(spark, files, parse_files(files, max_lines=max_symbol_lines).checkpoint(), root)
+        index = cls(spark, files, parse_files(files, max_lines=max_symbol_lines).checkpoint(), root, stats)
+        gaps = diff.coverage_gaps(diff.coverage_by_language(files, index.symbols)).orderBy("language").collect()
+        if gaps:
+            stats["coverage_gaps"] = [g["language"] for g in gaps]
+        return index
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CodeIndex:
         """From a map in JSON; contents are read from its root when asked for."""
         files, symbols, about = codec.read_map(spark, path)
         row = about.first()
-        return cls(spark, files, symbols, (row and row["root"]) or "", dict((row and row["stats"]) or {}))
+        stats = {k: _decoded(v) for k, v in ((row and row["stats"]) or {}).items()}
+        return cls(spark, files, symbols, (row and row["root"]) or "", stats)
 
     def rescan(self, old_map: str, **options) -> CodeIndex:
         """Scan again, parsing only files whose hash is not the stored one; another map version parses all."""
@@ -78,16 +88,50 @@ class CodeIndex:
         raw = raw_imports(self.files).join(self.files.select("file_path", file_language(F.col("file_path"), F.col("language")).alias("language")), "file_path")
         asked = raw.select(F.col("file_path").alias("src"), F.col("raw_import").alias("spec"), "language")
         aliases = config.tsconfig_aliases(self.root) + config.pyproject_aliases(self.root) if self.root else []
-        module = config.module_name(self.root) if self.root else None
+        module = config.import_name(self.root) if self.root else None
         found = resolve.resolve_imports(asked, self.files.select(F.col("file_path").alias("path")), aliases=aliases, module=module)
         return found.where("path is not null").select(F.col("src").alias("src_file"), F.col("path").alias("dst_file")).distinct()
 
     def search(self, query: str, **options) -> DataFrame:
         return search.search_symbols(self.symbols, query, **options)
 
-    def hubs(self, *, threshold: int = graph.HUB_DEGREE, top: int = 10) -> DataFrame:
-        degree = graph.degrees(graph.import_graph(self.import_edges()), self.files.select(F.col("file_path").alias("path")))
-        return graph.hubs(degree, threshold=threshold).orderBy(F.desc("in_degree"), "path").limit(top)
+    def degrees(self) -> DataFrame:
+        return graph.degrees(graph.import_graph(self.import_edges()), self.files.select(F.col("file_path").alias("path")))
+
+    def hubs(self, *, threshold: int = graph.HUB_DEGREE, top: int | None = 10) -> DataFrame:
+        found = graph.hubs(self.degrees(), threshold=threshold).orderBy(F.desc("in_degree"), "path")
+        return found if top is None else found.limit(top)
+
+    def flow(self, *, shown: int = 3) -> str:
+        """What the files of each folder import, and the greatest hubs."""
+        g = graph.import_graph(self.import_edges())
+        rows = graph.dependency_flow(g, self.degrees(), shown=shown).orderBy("dir", F.desc("in_degree"), "path").collect()
+        return text.dependency_flow([r.asDict() for r in rows], [(r["path"], r["in_degree"]) for r in self.hubs(top=6).collect()])
+
+    def graph_document(self, *, top: int = 20) -> dict:
+        """The import graph as one document: what it amounts to, its edges, and the files that matter most."""
+        edges = self.import_edges().checkpoint()
+        found = graph.analyze(edges, self.files.select(F.col("file_path").alias("path"))).checkpoint()
+        return {
+            "stats": graph.graph_stats(found).first().asDict(),
+            "critical": [r.asDict() for r in found.orderBy(F.desc("rank"), "path").limit(top).collect()],
+            "edges": [[r["src_file"], r["dst_file"]] for r in edges.orderBy("src_file", "dst_file").toLocalIterator()],
+        }
+
+    def health_note(self) -> str:
+        """What the index lacks, for answers that found nothing; '' for a whole one."""
+        said = []
+        skipped = int(self.stats.get("files_skipped") or 0)
+        if skipped:
+            causes = " ".join(f"{k.removeprefix('skipped_')}:{v}" for k, v in sorted(self.stats.items()) if k.startswith("skipped_") and v)
+            said.append(f"{skipped} files skipped" + (f" ({causes})" if causes else ""))
+        if self.stats.get("scan_timeout"):
+            said.append("the scan ran out of time")
+        if self.stats.get("coverage_gaps"):
+            said.append("nothing found in " + ", ".join(self.stats["coverage_gaps"]))
+        if int(self.stats.get("files_unmapped") or 0):
+            said.append(f"{self.stats['files_unmapped']} files of no known language")
+        return "The index is partial, what was not found may not be indexed: " + "; ".join(said) if said else ""
 
     def stale(self) -> DataFrame:
         now = listing.list_tree(self.spark, self.root)
@@ -128,12 +172,11 @@ class CodeIndex:
         return out
 
 
-def inside(root: str, path: str) -> str:
-    """The real path of a file below the root; ValueError if it leads out of it."""
-    base, full = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
-    if full != base and not full.startswith(base + os.sep):
-        raise ValueError(f"{path!r} is outside {root!r}")
-    return full
+def _decoded(value: str):
+    try:
+        return json.loads(value)
+    except (ValueError, TypeError):
+        return value
 
 
 def tools(index: CodeIndex) -> dict:
@@ -147,7 +190,7 @@ def tools(index: CodeIndex) -> dict:
         return dump({"imports": rows(graph.chains(g, start, depth=depth).orderBy("depth", "trail")), "imported_by": rows(graph.chains(g, start, depth=depth, reverse=True).orderBy("depth", "trail"))})
 
     return {
-        "scan": lambda depth=3: text.skeleton(index.to_map(), {r["path"]: r["in_degree"] for r in index.hubs(threshold=2, top=200).collect()}, depth=depth),
+        "scan": lambda depth=3: text.skeleton(index.to_map(), {r["path"]: r["in_degree"] for r in index.hubs(threshold=2, top=None).toLocalIterator()}, depth=depth),
         "search": lambda query, limit=10, symbol_type=None, pattern=None: dump(
             rows(search.search_files_glob(index.search(query, limit=limit, symbol_type=symbol_type), pattern) if pattern else index.search(query, limit=limit, symbol_type=symbol_type))
         ),

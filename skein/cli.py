@@ -6,12 +6,16 @@ import argparse
 import json
 import sys
 
+from skein import __version__
+
 MAP = ".skein.json"
 COMMANDS = ("map", "search", "read", "stats", "watch", "export", "completion")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="skein")
+    p.add_argument("-v", "--version", action="version", version=f"%(prog)s {__version__}")
+    p.add_argument("--no-color", action="store_true", help="no effect: output is never coloured")
     sub = p.add_subparsers(dest="command", required=True)
     m = sub.add_parser("map", aliases=["scan"])
     w = sub.add_parser("watch")
@@ -34,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--deps")
     s.add_argument("--stats", action="store_true")
     s.add_argument("--check-stale", action="store_true")
+    s.add_argument("--warn-stale", action="store_true")
     s.add_argument("--since-commit")
     s.add_argument("-l", "--limit", type=int, default=10)
     s.add_argument("--no-fuzzy", action="store_true")
@@ -58,10 +63,20 @@ def parser() -> argparse.ArgumentParser:
 
 
 def completion(shell: str) -> str:
-    words = " ".join(COMMANDS)
+    """A script that completes commands, and the flags of the command typed."""
+    p = parser()
+    commands = next(a for a in p._actions if isinstance(a, argparse._SubParsersAction)).choices
+    flags = {name: sorted(o for a in q._actions for o in a.option_strings) for name, q in commands.items()}
+    words = " ".join(commands)
     if shell == "bash":
-        return f'complete -W "{words}" skein\n'
-    return f"#compdef skein\n_arguments '1:command:({words})'\n"
+        cases = "\n".join(f'    {name}) COMPREPLY=($(compgen -W "{" ".join(f)}" -- "$word"));;' for name, f in flags.items())
+        return (
+            "_skein() {\n  local word=${COMP_WORDS[COMP_CWORD]}\n"
+            f'  if [ "$COMP_CWORD" -eq 1 ]; then COMPREPLY=($(compgen -W "{words}" -- "$word")); return; fi\n'
+            f"  case ${{COMP_WORDS[1]}} in\n{cases}\n  esac\n}}\ncomplete -o default -F _skein skein\n"
+        )
+    cases = "\n".join(f"    {name}) compadd -- {' '.join(f)};;" for name, f in flags.items())
+    return f"#compdef skein\nif (( CURRENT == 2 )); then\n  compadd -- {words}\nelse\n  case ${{words[2]}} in\n{cases}\n  esac\n  _files\nfi\n"
 
 
 def _show(rows: list[dict], args) -> None:
@@ -133,6 +148,10 @@ def main(argv: list[str] | None = None) -> int:
         rows = [r.asDict() for r in found.collect()]
         print("\n".join(f"{r['num']:>5}  {r['content']}" for r in rows) if args.output == "code" else json.dumps(rows, ensure_ascii=False))
         return 0
+    if getattr(args, "warn_stale", False):
+        n = index.stale().count()
+        if n:
+            print(f"{n} files changed since the map was made", file=sys.stderr)
     if args.command == "stats" or args.stats:
         found = search.stats_by_type(index.symbols).orderBy("type")
     elif args.check_stale:

@@ -142,6 +142,21 @@ def compact_index(code_map: dict, *, by: str = "file", private: bool = False) ->
     return "\n".join(f"{k}: {', '.join(v)}" for k, v in sorted(groups.items())) + "\n"
 
 
+def dependency_flow(rows: list[dict], hubs: list[tuple[str, int]] = ()) -> str:
+    """Folders with what their files import; files that many import have a double arrow."""
+    stem = lambda path: path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    out, folder = [], None
+    for r in rows:
+        if r["dir"] != folder:
+            folder = r["dir"]
+            out += ([""] if out else []) + [f"{folder}/"]
+        more = f" +{r['more']} more" if r["more"] > 0 else ""
+        out.append(f"  {stem(r['path'])} {'==>' if r['in_degree'] >= 3 else '-->'} {', '.join(map(stem, r['imports']))}{more}")
+    if hubs:
+        out += ["", "hubs: " + ", ".join(f"{p} ({n})" for p, n in hubs)]
+    return "\n".join(out) + "\n"
+
+
 def coverage_line(mapped: int, unmapped: dict[str, int], skipped: dict[str, int] | None = None, gaps: list[str] = ()) -> str:
     """How much of a tree is mapped, in one line: the four commonest unmapped extensions, why files were skipped, and gaps."""
     left = sum(unmapped.values())

@@ -60,6 +60,12 @@ def pyproject_aliases(root: str) -> list[Alias]:
     return [Alias(k, (v,) if isinstance(v, str) else tuple(v)) for k, v in found.items()]
 
 
+def import_name(root: str) -> str:
+    """The module's name as Python imports it: dashes are underscores."""
+    name = module_name(root)
+    return name if os.path.exists(os.path.join(root, "go.mod")) else name.replace("-", "_")
+
+
 def module_name(root: str) -> str:
     """What the project calls itself: go.mod, pyproject, package.json, else its folder."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import subprocess
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,14 +61,24 @@ def git_rules(root: str) -> list[Rule]:
     return [r for t in texts for r in parse_rules(t)]
 
 
-def walk(root: str, rules: list[Rule], *, nested: bool = False, only: set[str] | None = None, symlinks: bool = False) -> Iterator[str]:
+def walk(root: str, rules: list[Rule], *, nested: bool = False, only: set[str] | None = None, symlinks: bool = False, budget: float | None = None, stats: dict | None = None) -> Iterator[str]:
     """Paths of files below ``root`` in path order, relative, ignored ones and whole ignored folders left out.
 
     ``nested`` adds each folder's ``.gitignore`` for what is below it; ``only``
-    keeps the given paths.
+    keeps the given paths.  After ``budget`` seconds no further folder is
+    opened and ``stats`` says ``scan_timeout``; it also counts files skipped,
+    by cause.
     """
+    began, stats = time.monotonic(), {} if stats is None else stats
+
+    def skip(cause: str) -> None:
+        for k in ("files_skipped", f"skipped_{cause}"):
+            stats[k] = stats.get(k, 0) + 1
 
     def below(folder: str, known: list[Rule]) -> Iterator[str]:
+        if budget is not None and time.monotonic() - began > budget:
+            stats["scan_timeout"] = True
+            return
         if nested and folder:
             known = known + parse_rules(_read(os.path.join(root, folder, ".gitignore")), folder)
         try:
@@ -81,31 +92,54 @@ def walk(root: str, rules: list[Rule], *, nested: bool = False, only: set[str] |
             if e.is_dir():
                 if not is_ignored(path, known, is_folder=True):
                     yield from below(path, known)
-            elif (only is None or path in only) and not is_ignored(path, known):
+            elif is_ignored(path, known):
+                skip("ignored")
+            elif only is not None and path not in only:
+                skip("not_tracked")
+            else:
                 yield path
 
     yield from below("", rules)
 
 
-def list_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, use_gitignore: bool = False, git_only: bool = False) -> DataFrame:
+def list_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, use_gitignore: bool = False, git_only: bool = False, budget: float | None = None, stats: dict | None = None) -> DataFrame:
     """``(file_ord, file_path, language)`` of the source files of a tree.
 
     ``ignore`` replaces the default rules; only files of known languages count.
+    ``stats``, if given, takes what the scan left out: files by cause, files and
+    extensions without a language, and whether ``budget`` seconds ran out.
     """
+    stats = {} if stats is None else stats
     rules = parse_rules("\n".join(ignore) if ignore else DEFAULT_RULES)
     rules += git_rules(root) if use_gitignore else []
     only = git_tracked(root) if git_only else None
-    found = [(i, p, language_of(p)) for i, p in enumerate(p for p in walk(root, rules, nested=use_gitignore, only=only) if language_of(p))]
+    found: list[tuple] = []
+    unmapped: dict[str, int] = {}
+    for path in walk(root, rules, nested=use_gitignore, only=only, budget=budget, stats=stats):
+        if language_of(path):
+            found.append((len(found), path, language_of(path)))
+        else:
+            ext = os.path.splitext(path)[1].lower() or "<none>"
+            unmapped[ext] = unmapped.get(ext, 0) + 1
+    stats |= {"files_unmapped": sum(unmapped.values()), "unmapped_extensions": unmapped}
     return spark.createDataFrame(found, "file_ord long, file_path string, language string")
 
 
+def inside(root: str, path: str) -> str:
+    """The real path of a file below the root; ValueError if it leads out of it."""
+    base, full = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    if full != base and not full.startswith(base.rstrip(os.sep) + os.sep):
+        raise ValueError(f"{path!r} is outside {root!r}")
+    return full
+
+
 def decode(data: bytes) -> str:
     """UTF-8 with bad bytes left out and one kind of line end."""
     return data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
 
 
 def read_files(listing: DataFrame, root: str) -> DataFrame:
-    """The listing with contents, read where the task runs; files that cannot be read have a null content.
+    """The listing with contents, read where the task runs; files that cannot be read, or lead out of the root, have a null content.
 
     The tree must be visible to the executors (a shared file system).
     """
@@ -116,9 +150,9 @@ def read_files(listing: DataFrame, root: str) -> DataFrame:
             contents = []
             for path in b["file_path"].to_pylist():
                 try:
-                    with open(os.path.join(root, path), "rb") as f:
+                    with open(inside(root, path), "rb") as f:
                         contents.append(decode(f.read()))
-                except OSError:
+                except (OSError, ValueError):
                     contents.append(None)
             yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(contents, pa.string())], names=[*names, "content"])
 

@@ -1,5 +1,6 @@
 """Code-index operators on small fixtures with known answers."""
 
+import io
 import json
 import os
 import random
@@ -412,7 +413,8 @@ def test_index_end_to_end(spark, tree, tmp_path):
     assert {(r.src_file, r.dst_file) for r in index.import_edges().collect()} == {("src/main.py", "src/util.py"), ("src/web/app.ts", "src/web/lib.ts")}
     path = str(tmp_path / "map.json")
     saved = index.save(path)
-    assert saved["stats"] == {"files_processed": 5, "symbols_found": 5}
+    assert {k: saved["stats"][k] for k in ("files_processed", "symbols_found")} == {"files_processed": 5, "symbols_found": 5}
+    assert saved["stats"]["files_unmapped"] == sum(saved["stats"]["unmapped_extensions"].values()) and "scan_timeout" not in saved["stats"]
     loaded = api.CodeIndex.load(spark, path)
     assert loaded.symbols.count() == 5 and loaded.import_edges().count() == 2
     assert loaded.to_map()["files"] == {k: {x: y for x, y in v.items()} for k, v in saved["files"].items()}
@@ -429,10 +431,65 @@ def test_index_end_to_end(spark, tree, tmp_path):
     assert json.loads(calls["dependencies"]("main.py"))["imports"][0]["node"] == "src/util.py"
     assert json.loads(calls["search"]("helper", pattern="*/util.py"))[0]["name"] == "helper"
     assert calls["read"]("src/main.py", 4, 4) == "4: def main():"
+    assert "src/\n  main --> util" in index.flow()
+    document = index.graph_document()
+    assert document["stats"]["edges"] == 2 and ["src/main.py", "src/util.py"] in document["edges"] and document["critical"][0]["rank"] > 0
     with pytest.raises(ValueError):
         api.inside(str(tree), "../x")
 
 
+def test_scan_budget_and_causes(spark, tree):
+    stats: dict = {}
+    assert listing.list_tree(spark, str(tree), budget=-1.0, stats=stats).count() == 0 and stats["scan_timeout"] is True
+    stats = {}
+    listing.list_tree(spark, str(tree), ignore=["*.ts", "bad.py"], stats=stats)
+    assert stats["skipped_ignored"] == 3 == stats["files_skipped"] and "scan_timeout" not in stats
+    index = api.CodeIndex(spark, None, None, "", {**stats, "coverage_gaps": ["go"]})
+    assert "3 files skipped (ignored:3)" in index.health_note() and "go" in index.health_note()
+    assert api.CodeIndex(spark, None, None).health_note() == ""
+
+
+def test_paths_stay_below_the_root(spark, tree, rows):
+    (tree.parent / "secret.py").write_text("SECRET = 1\n")
+    listed = spark.createDataFrame([(0, "../secret.py", "python"), (1, "src/util.py", "python"), (2, "/etc/hostname", "python")], "file_ord long, file_path string, language string")
+    got = dict((r[1], r[3] is not None) for r in rows(listing.read_files(listed, str(tree))))
+    assert got == {"../secret.py": False, "src/util.py": True, "/etc/hostname": False}
+    with pytest.raises(ValueError):
+        api.inside(str(tree), "../secret.py")
+
+
+def test_import_name(tmp_path):
+    (tmp_path / "pyproject.toml").write_text('[project]\nname = "my-tool"\n')
+    assert config.import_name(str(tmp_path)) == "my_tool" and config.module_name(str(tmp_path)) == "my-tool"
+
+
+def test_server(spark, tree):
+    from skein.server import AssistantServer
+
+    server = AssistantServer(spark, str(tree))
+    ask = lambda method, **p: server.handle({"jsonrpc": "2.0", "id": 1, "method": method, "params": p})
+    call = lambda name, **a: ask("tools/call", name=name, arguments=a)["result"]
+    assert ask("initialize")["result"]["serverInfo"]["name"] == "skein" and server.handle({"method": "notifications/initialized"}) is None
+    assert {t["name"] for t in ask("tools/list")["result"]["tools"]} == set(api.tools(api.CodeIndex(spark, None, None)))
+    assert "main.py" in call("scan")["content"][0]["text"] and os.path.exists(server.map_path)
+    assert json.loads(call("search", query="helper")["content"][0]["text"])[0]["name"] == "helper"
+    assert call("read", path="../secret.py", first=1, last=2)["isError"] and call("read", path="a")["isError"] and call("nothing")["isError"]
+    assert "main" in json.loads(json.loads(json.dumps(ask("resources/read", uri="skein://map")))["result"]["contents"][0]["text"])["index"]
+    assert json.loads(ask("resources/read", uri="skein://imports")["result"]["contents"][0]["text"])["src/main.py"] == ["src/util.py"]
+    assert ask("prompts/get", name="overview", arguments={"path": "x"})["result"]["messages"][0]["content"]["text"].startswith("Scan x")
+    assert ask("no/such")["error"]["code"] == -32601 and ask("resources/read", uri="skein://x")["error"]["code"] == -32602
+    out = io.StringIO()
+    AssistantServer(spark, str(tree)).serve(io.StringIO('{"id": 1, "method": "ping"}\n\nnonsense\n'), out)
+    assert [list(json.loads(x))[-1] for x in out.getvalue().splitlines()] == ["result", "error"]
+
+
+def test_completion_and_flags(capsys):
+    assert "--warn-stale" in cli.completion("bash") and "compadd" in cli.completion("zsh") and "--incremental" in cli.completion("zsh")
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+    assert capsys.readouterr().out.startswith("skein ")
+
+
 def test_git(tree):
     if subprocess.run(["git", "init", "-q", str(tree)], capture_output=True).returncode:
         pytest.skip("no git")
