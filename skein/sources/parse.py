@@ -54,12 +54,25 @@ class LanguageSpec:
     constants: str | None = None
     returns: str | None = None
     mixins: str | None = None
+    #: Further declarations: kind, pattern (its last group the name, ``owner`` the type it belongs to) and where it may
+    #: stand: ``own`` (named as the type around it), ``member``, ``outer`` (in no function) or ``any``.
+    more: tuple[tuple[str, str, str], ...] = ()
+    #: Blocks whose lines declare something each: what opens one, kind, and the names of a line.
+    lists: tuple[tuple[str, str, str], ...] = ()
+    #: How documentation begins; other comments above a declaration are none.
+    doc: str = ""
+    #: Calls besides ``name(``.
+    calls: str | None = None
 
 
 _JAVAISH = ("public", "private", "protected", "internal", "static", "final", "abstract", "sealed", "partial", "virtual", "override", "async", "readonly", "open", "data", "inner", "suspend", "default", "synchronized", "export", "declare", "const", "unsafe", "pub", "extern", "inline", "mutating", "required", "convenience", "fileprivate", "indirect", "annotation", "value")
 _ARROW = rf"(?:export\s+)?(?:const|let|var)\s+({_ID})\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:function\b|\((?:[^()]|\([^()]*\))*\)\s*(?::[^=\n{{]+)?=>|{_ID}\s*=>)"
 _JS_STRINGS = r'"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?|`(?:\\.|[^`\\])*`?'
 
+_ARGS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+_ANY = rf"(?:(?:{'|'.join(_JAVAISH)})\s++)*+"
+_PROTOTYPE = rf"^[ \t]*+(?!(?:return|new|else|throw|case|goto|typedef|using|delete|if|while|for|switch)\b)[A-Za-z_][\w:<>,\[\]&* ]*?[\s*&]({_ID})\s*{_ARGS}\s*(?:const\s*|noexcept\s*|override\s*|=\s*(?:0|default|delete)\s*)*(?=;)"
+
 SPECS: dict[str, LanguageSpec] = {}
 
 
@@ -68,25 +81,38 @@ def register_language(spec: LanguageSpec) -> None:
     SPECS[spec.name] = spec
 
 
+#: Analysers by language, tried in order before the syntax tree or the rules.
+ANALYZERS: dict[str, list[Callable[[str], list[dict] | None]]] = {}
+
+
+def register_analyzer(language: str, analyse: Callable[[str], list[dict] | None]) -> None:
+    """Put an analyser (a grammar's, say) before those of a language; where it gives None or fails, the next one is asked."""
+    ANALYZERS.setdefault(language, []).insert(0, analyse)
+
+
 for _spec in (
     LanguageSpec("javascript", {"class": "class"}, ("function", "function*"), _JAVAISH, bare=True, strings=_JS_STRINGS, values=_ARROW, private=lambda n, b: n.startswith("#")),
     LanguageSpec("typescript", {"class": "class", "interface": "interface", "type": "type", "enum": "enum", "namespace": "namespace"}, ("function", "function*"), _JAVAISH, bare=True, strings=_JS_STRINGS, values=_ARROW, returns=r"\)\s*:\s*([^{=]+?)\s*(?:\{|=>|$)"),
-    LanguageSpec("java", {"class": "class", "interface": "interface", "enum": "enum", "record": "class", "@interface": "interface"}, (), _JAVAISH, typed=True),
-    LanguageSpec("csharp", {"class": "class", "interface": "interface", "enum": "enum", "struct": "struct", "record": "class", "namespace": "namespace", "delegate": "type"}, (), _JAVAISH, typed=True),
-    LanguageSpec("go", {}, ("func",), (), strings=r'"(?:\\.|[^"\\\n])*"?|`[^`]*`?|\'(?:\\.|[^\'\\\n])*\'', private=lambda n, b: n[:1].islower(), returns=r"\)\s*((?:\([^()]*\)|[\w*\[\].]+(?:\[[^\]]*\])?[\w*.]*))\s*(?:\{|$)"),
+    LanguageSpec("java", {"class": "class", "interface": "interface", "enum": "enum", "record": "class", "@interface": "interface"}, (), _JAVAISH, typed=True, doc="/**", more=(("constructor", rf"^[ \t]++{_ANY}({_ID})\s*{_ARGS}\s*(?:throws\s+[\w., ]+)?(?=\{{)", "own"), ("method", rf"^[ \t]++{_ANY}(?!(?:return|new|throw|else|case)\b)[A-Za-z_][\w.<>,\[\]? ]*?\s({_ID})\s*{_ARGS}\s*(?:throws\s+[\w., ]+)?(?=;)", "outer"))),
+    LanguageSpec("csharp", {"class": "class", "interface": "interface", "enum": "enum", "struct": "struct", "record": "class", "namespace": "namespace", "delegate": "type"}, (), _JAVAISH, typed=True, comment=r"//[^\n]*|/\*.*?(?:\*/|\Z)|^[ \t]*#[^\n]*", doc="///", more=(("constructor", rf"^[ \t]++{_ANY}({_ID})\s*{_ARGS}\s*(?::\s*(?:base|this)\s*{_ARGS}\s*)?(?=\{{|=>)", "own"), ("method", rf"^[ \t]++{_ANY}(?!(?:return|new|throw|else|case|await)\b)[A-Za-z_][\w.<>,\[\]? ]*?\s({_ID})\s*{_ARGS}\s*(?=;)", "outer"))),
+    LanguageSpec("go", {}, ("func",), (), doc="//", lists=((r"^(?:const)\s*\(", "const", r"^[ \t]+([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)[ \t]*(?:=|$|[\w.*\[\]]+[ \t]*(?:=|$))"), (r"^(?:var)\s*\(", "variable", r"^[ \t]+([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)[ \t]+\S"), (r"^type\s+(\w+)(?:\[[^\]]*\])?\s+interface\s*\{", "method", r"^[ \t]+([A-Za-z_]\w*)\(")), strings=r'"(?:\\.|[^"\\\n])*"?|`[^`]*`?|\'(?:\\.|[^\'\\\n])*\'', private=lambda n, b: n[:1].islower(), returns=r"\)\s*((?:\([^()]*\)|[\w*\[\].]+(?:\[[^\]]*\])?[\w*.]*))\s*(?:\{|$)"),
     LanguageSpec("rust", {"struct": "struct", "enum": "enum", "trait": "trait", "impl": "impl", "mod": "module", "type": "type", "union": "union"}, ("fn",), _JAVAISH, strings=r'r(?P<h>#*)"(?s:.*?)"(?P=h)|"(?:\\.|[^"\\])*"?|\'(?:\\[^\n]+?|[^\'\\\n])\'', private=lambda n, b: "pub" not in b, returns=r"->\s*([^{;]+?)\s*(?:where\b|\{|;|$)"),
-    LanguageSpec("c", {"struct": "struct", "enum": "enum", "union": "union"}, (), ("typedef", "static", "extern", "inline", "const"), typed=True),
-    LanguageSpec("cpp", {"class": "class", "struct": "struct", "enum": "enum", "union": "union", "namespace": "namespace"}, (), ("typedef", "static", "extern", "inline", "const", "virtual", "template"), typed=True),
-    LanguageSpec("ruby", {"class": "class", "module": "module"}, ("def",), (), block="end", comment=r"\#[^\n]*", constants=r"^[ \t]*([A-Z][A-Z0-9_]*)\s*=[^=~]", mixins=r"^\s*(?:include|extend|prepend)\s+([\w:, ]+)"),
+    LanguageSpec("c", {"struct": "struct", "enum": "enum", "union": "union"}, (), ("typedef", "static", "extern", "inline", "const"), typed=True, more=(("function", _PROTOTYPE, "outer"), ("type", rf"^typedef\b[^;{{}}]*?\b({_ID})\s*;", "outer"), ("type", rf"^\}}\s*({_ID})\s*;", "outer"))),
+    LanguageSpec("cpp", {"class": "class", "struct": "struct", "enum": "enum", "union": "union", "namespace": "namespace"}, (), ("typedef", "static", "extern", "inline", "const", "virtual", "template", "explicit"), typed=True, more=(("function", _PROTOTYPE, "outer"), ("method", rf"^[ \t]++(?:explicit\s+|inline\s+|virtual\s+|constexpr\s+)*+(~?{_ID})\s*{_ARGS}[^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*(?=[;{{])", "own"), ("method", rf"^(?:\w+::)*(?P<owner>\w+)::(~?{_ID})\s*{_ARGS}[^;{{}}]*(?=\{{)", "outer"), ("type", rf"^[ \t]*using\s+({_ID})\s*=", "outer"), ("type", rf"^typedef\b[^;{{}}]*?\b({_ID})\s*;", "outer"))),
+    LanguageSpec("ruby", {"class": "class", "module": "module"}, ("def",), (), block="end", comment=r"\#[^\n]*", doc="#", calls=r"(?:\.|&\.)([a-z_]\w*[?!]?)|^[ \t]*([a-z_]\w*[?!]?)(?=[ \t]*$|[ \t]+[:@\"'\[\w])", constants=r"^[ \t]*([A-Z][A-Z0-9_]*)\s*=[^=~]", mixins=r"^\s*(?:include|extend|prepend)\s+([\w:, ]+)"),
     LanguageSpec("php", {"class": "class", "interface": "interface", "trait": "trait", "enum": "enum", "namespace": "namespace"}, ("function",), _JAVAISH, comment=r"//[^\n]*|\#(?!\[)[^\n]*|/\*.*?(?:\*/|\Z)"),
-    LanguageSpec("swift", {"class": "class", "struct": "struct", "enum": "enum", "extension": "extension", "protocol": "protocol", "typealias": "type_alias", "actor": "class"}, ("func",), _JAVAISH, returns=r"->\s*([^{]+?)\s*(?:where\b|\{|$)"),
-    LanguageSpec("kotlin", {"class": "class", "interface": "interface", "object": "object", "typealias": "type_alias"}, ("fun",), _JAVAISH, returns=r"\)\s*:\s*([^{=]+?)\s*(?:\{|=|$)"),
-    LanguageSpec("dart", {"class": "class", "mixin": "mixin", "enum": "enum", "extension": "extension", "typedef": "type_alias"}, (), _JAVAISH, typed=True, private=lambda n, b: n.startswith("_")),
+    LanguageSpec("swift", {"class": "class", "struct": "struct", "enum": "enum", "extension": "extension", "protocol": "protocol", "typealias": "type_alias", "actor": "class"}, ("func",), _JAVAISH, doc="///", calls=r"\.([A-Za-z_]\w*)\s*\{", more=(("constructor", r"^[ \t]++(?:(?:public|private|internal|open|fileprivate|required|convenience|override)\s++)*+(init)[?!]?\s*(?:<[^>\n]*>)?\s*(?=\()", "member"),), returns=r"->\s*([^{]+?)\s*(?:where\b|\{|$)"),
+    LanguageSpec("kotlin", {"class": "class", "interface": "interface", "object": "object", "typealias": "type_alias"}, ("fun",), _JAVAISH, doc="/**", calls=r"\.([A-Za-z_]\w*)\s*\{", more=(("constructor", r"^[ \t]++(?:(?:public|private|protected|internal)\s++)*+(constructor)\s*(?=\()", "member"),), returns=r"\)\s*:\s*([^{=]+?)\s*(?:\{|=|$)"),
+    LanguageSpec("dart", {"class": "class", "mixin": "mixin", "enum": "enum", "extension": "extension", "typedef": "type_alias"}, (), _JAVAISH, typed=True, doc="///", more=(
+        ("constructor", rf"^[ \t]++(?:(?:const|factory|external)\s++)*+(?P<owner>{_ID})(?:\.({_ID}))?\s*{_ARGS}\s*(?=[{{;:]|=>|=)", "own"), ("method", rf"^[ \t]++(?:static\s+)?(?:[A-Za-z_][\w<>?, ]*?\s+)?(?:get|set)\s+({_ID})\s*(?=\{{|=>|async|\()", "member"),
+        ("method", rf"^[ \t]++(?:static\s+)?(?!(?:return|new|throw|await|const)\b)[A-Za-z_][\w<>?, ]*?\s({_ID})\s*{_ARGS}\s*(?=;)", "outer"), ("const", rf"^[ \t]*static\s+(?:final|const)\s+(?:[\w<>?, ]+?\s+)?({_ID})\s*=", "outer"),
+    ), private=lambda n, b: n.startswith("_")),
 ):
     register_language(_spec)
 
 _NOT_NAMES = frozenset("if for while switch catch return else do new throw sizeof when match with function await yield assert synchronized using lock foreach elif except typeof super this".split())
 _CONTAINERS = frozenset({"class", "struct", "interface", "impl", "trait", "module", "enum", "mixin", "extension", "object", "protocol", "union", "namespace"})
+_NO_CALLS = _NOT_NAMES | frozenset("func fn fun def end then unless until begin rescue ensure self nil true false yield raise and or not in base".split())
 _CALL = re.compile(rf"\b({_ID})\s*[!?]?\(")
 
 
@@ -167,7 +193,7 @@ def _rules(spec: LanguageSpec) -> list[tuple[str, re.Pattern]]:
     for word in spec.functions:
         rules.append(("function", re.compile(rf"^[ \t]*+{mods}(?:async\s+)?{re.escape(word)}\s+(?:<[^>\n]*>\s*)?(?:self\.|[\w<>?]+\.)?({_ID}[?!=]?)(?=\s*(?:[<(\[]|$)|\s)", re.M)))
     if spec.typed:
-        rules.append(("function", re.compile(rf"^[ \t]*+{mods}(?:<[^>\n]*>\s*)?(?!(?:return|new|else|throw|case|goto|typedef)\b)(?:[A-Za-z_][\w:<>,\[\]?&* ]*?[\s*&]+)(?:[\w]+::)*(~?{_ID})\s*{args}\s*(?:const\s*|noexcept\s*|override\s*|async\*?\s*|throws\s+[\w., ]+)*(?=\{{|=>)", re.M)))
+        rules.append(("function", re.compile(rf"^[ \t]*+{mods}(?:<[^>\n]*>\s*)?(?!(?:return|new|else|throw|case|goto|typedef)\b)(?:[A-Za-z_][\w:<>,\[\]?&* ]*?[\s*&]+)(?:(?:\w+::)*(?P<owner>\w+)::)?(~?{_ID})\s*{args}\s*(?:const\s*|noexcept\s*|override\s*|async\*?\s*|throws\s+[\w., ]+)*(?=\{{|=>)", re.M)))
     if spec.bare:
         rules.append(("method", re.compile(rf"^[ \t]++{mods}(?:get\s+|set\s+|\*\s*)?(#?{_ID})\s*(?:<[^>\n(]*>)?{args}\s*(?::[^{{;=\n]+)?(?=\{{)", re.M)))
     if spec.values:
@@ -183,7 +209,7 @@ _COMPILED: dict[str, tuple] = {}
 def _compiled(spec: LanguageSpec) -> tuple:
     key = _COMPILED.get(spec.name)
     if key is None or key[0] is not spec:
-        key = _COMPILED[spec.name] = (spec, re.compile(rf"({spec.comment})|{spec.strings}", re.S), _rules(spec))
+        key = _COMPILED[spec.name] = (spec, re.compile(rf"({spec.comment})|{spec.strings}", re.S | re.M), _rules(spec))
     return key
 
 
@@ -236,6 +262,71 @@ def _members(spec: LanguageSpec, out: list[dict], lines: list[str]) -> None:
                 members[i]["visibility"] = now
 
 
+#: Class-body macros of Ruby that declare methods.
+_RUBY_MACROS = {"attr_accessor": "attr", "attr_reader": "attr", "attr_writer": "attr", "scope": "scope", "delegate": "delegated", "define_method": "dynamic"} | {m: f"association:{m}" for m in ("belongs_to", "has_one", "has_many", "has_and_belongs_to_many")}
+_MACRO = re.compile(rf"^[ \t]*({'|'.join(_RUBY_MACROS)})[ \t(]+((?::\w+[?!=]?|[^\n]*?)(?:[ \t]*,\s*[^\n]*)?)$", re.M)
+
+
+def _ruby_macros(text: str) -> Iterator[tuple[int, str, str]]:
+    """``(place, name, modifier)`` of the methods that macros of a class body declare."""
+    for m in _MACRO.finditer(text):
+        macro, rest = m[1], m[2]
+        names = re.match(r"(?:[ \t]*:(\w+[?!=]?)\s*,?)+", rest)
+        names = re.findall(r":(\w+[?!=]?)", names.group()) if names else []
+        if macro not in ("attr_accessor", "attr_reader", "attr_writer", "delegate"):
+            names = names[:1]
+        front = ""
+        if macro == "delegate" and (p := re.search(r"\bprefix:\s*:?(\w+)", rest)):
+            to = re.search(r"\bto:\s*:?(\w+)", rest)
+            front = f"{to[1] if to else ''}_" if p[1] == "true" else f"{p[1]}_"
+        for name in names:
+            yield m.start(1), front + name, _RUBY_MACROS[macro]
+
+
+def _further(spec: LanguageSpec, plain: str, found: dict[tuple[int, str], dict], first_of: Callable[[int], int], add: Callable) -> None:
+    """Declarations that depend on what stands around them."""
+    at_lines = lambda kinds: [(s["line_start"], s["line_end"], s["name"]) for s in found.values() if s["type"] in kinds]
+    holders, bodies = at_lines(_CONTAINERS), at_lines(("function", "method", "arrow"))
+
+    def around(line: int) -> str | None:
+        inside = [h for h in holders if h[0] < line <= h[1]]
+        return max(inside)[2] if inside else None
+
+    for kind, pattern, scope in spec.more:
+        for m in re.compile(pattern, re.M).finditer(plain):
+            owner = m.groupdict().get("owner")
+            name = m.group(m.re.groups) or owner
+            at = m.start(m.re.groups) if m.group(m.re.groups) else m.start("owner")
+            line = first_of(at) + 1
+            holder = around(line)
+            if name in _NOT_NAMES or (line - 1, name) in found or any(a < line <= b for a, b, _ in bodies):
+                continue
+            if scope == "own" and (holder is None or holder != (owner or name.lstrip("~"))) or (scope == "member" and holder is None):
+                continue
+            add(kind if kind != "function" or holder is None else "method", name, m.start(), at, owner if scope == "outer" else holder, plain[m.end() : m.end() + 1] == ";" or kind in ("type", "const"))
+    for opening, kind, names in spec.lists:
+        for m in re.compile(opening, re.M).finditer(plain):
+            close = plain.find("\n)" if m.group().endswith("(") else "\n}", m.end())
+            for x in re.compile(names, re.M).finditer(plain, m.end(), close if close >= 0 else len(plain)):
+                for n in re.finditer(r"\w+", x.group(1)):
+                    add(kind, n.group(), x.start(), x.start(1) + n.start(), m.group(1) if m.re.groups else None, True)
+    if spec.name == "ruby":
+        for at, name, modifier in _ruby_macros(plain):
+            line = first_of(at) + 1
+            if around(line) and not any(a < line <= b for a, b, _ in bodies):
+                add("method", name, at, at, around(line), True)["modifiers"] = [modifier]
+    if spec.name == "dart":
+        for a, b, name in at_lines(("enum",)):
+            body = "\n".join(plain.split("\n")[a - 1 : b])
+            start = plain.find(body)
+            inner = re.compile(r"\{([^;}]*)").search(plain, start)
+            if inner:
+                flat = re.sub(_ARGS, lambda x: " " * len(x.group()), inner.group(1))
+                for n in re.finditer(r"(?:^|,)\s*(\w+)", flat):
+                    at = inner.start(1) + n.start(1)
+                    add("enum_member", n.group(1), at, at, name, True)
+
+
 def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> list[dict]:
     """Symbols of a file by its language's rules, in order of their first line."""
     _, blanked, rules = _compiled(spec)
@@ -274,6 +365,18 @@ def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> lis
                 parent=owner, truncated=cut, source="rules", visibility="private" if private else None,
                 modifiers=[w for w in re.findall(r"[\w#]+", before) if w in spec.modifiers] or None,
             )
+
+    def add(kind: str, name: str, begin: int, at: int, owner: str | None, short: bool) -> dict:
+        first = bisect_right(starts, at) - 1
+        last, cut = (first, False) if short else _end(lines, first, spec.block, max_lines)
+        private = spec.private(name, plain[begin:at])
+        found[first, name] = _symbol(
+            name=name, type=kind, line_start=first + 1, line_end=last + 1, signature=original[first].strip()[:SIGNATURE].rstrip("{ ").rstrip(),
+            parent=owner, truncated=cut, source="rules", visibility="private" if private else None, modifiers=[w for w in re.findall(r"[\w#]+", plain[begin:at]) if w in spec.modifiers or w in ("get", "set")] or None,
+        )
+        return found[first, name]
+
+    _further(spec, plain, found, lambda at: bisect_right(starts, at) - 1, add)
     out = [found[k] for k in sorted(found, key=lambda k: k[0])]
     _members(spec, out, lines)
     holders = [s for s in out if s["type"] in _CONTAINERS]
@@ -287,13 +390,19 @@ def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> lis
         doc, i = [], s["line_start"] - 2
         while i >= 0 and re.match(r"\s*(?:@|#\[)", lines[i]) and lines[i].strip():
             i -= 1
-        while i in comments:
+        while i in comments and (spec.doc in ("", "/**") or comments[i].startswith(spec.doc)):
             doc.append(re.sub(r"^(?:/\*+|//[/!]*|\*+/?|\#+)\s?|\s*\*+/$", "", comments[i]).strip())
             i -= 1
+        if spec.doc == "/**" and doc and not comments[i + 1].startswith("/**"):
+            doc = []
         s["docstring"] = _short_doc("\n".join(x for x in reversed(doc) if x)) if doc else None
-        if s["type"] in ("function", "method", "arrow"):
+        if s["type"] in ("function", "method", "arrow", "constructor") and s["line_end"] >= s["line_start"]:
             body = "\n".join(lines[s["line_start"] - 1 : s["line_end"]])
-            s["dependencies"] = sorted({c for c in _CALL.findall(body) if c not in _NOT_NAMES and c != s["name"]})[:MAX_CALLS]
+            called = set(_CALL.findall(body))
+            if spec.calls:
+                below = body.partition("\n")[2] if spec.block == "end" else body
+                called |= {c for m in re.finditer(spec.calls, below, re.M) for c in m.groups() if c}
+            s["dependencies"] = sorted({c for c in called if c not in _NO_CALLS and c != s["name"].lstrip("~")})[:MAX_CALLS]
     return [s for s in out if not (s["type"] == "method" and spec.bare and s["parent"] is None)]
 
 
@@ -302,6 +411,13 @@ def parse_content(path: str, content: str, max_lines: int = MAX_LINES) -> list[d
     language = language_of(path)
     text = content.replace("\r\n", "\n").replace("\r", "\n")
     text = text[1:] if text.startswith("﻿") else text
+    for analyse in ANALYZERS.get(language or "", ()):
+        try:
+            found = analyse(text)
+        except Exception:  # noqa: BLE001
+            found = None
+        if found is not None:
+            return [_symbol(**{"source": "analyser", "signature": None, "line_end": s.get("line_start"), **s}) for s in found]
     if language == "python":
         return parse_python(text)
     spec = SPECS.get(language or "")
@@ -314,7 +430,7 @@ def parse_files(files: DataFrame, *, max_lines: int = MAX_LINES) -> DataFrame:
     Rows without path or content give none.  One pass over Arrow batches; a scan
     with fewer splits than cores is spread over them first.
     """
-    specs = dict(SPECS)
+    specs, analyzers = dict(SPECS), {k: list(v) for k, v in ANALYZERS.items()}
     kinds = pa.schema(
         [("file_path", pa.string()), ("sym_ord", pa.int32()), ("name", pa.string()), ("type", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()),
          ("signature", pa.string()), ("docstring", pa.string()), ("parent", pa.string()), ("dependencies", pa.list_(pa.string())), ("decorators", pa.list_(pa.string())),
@@ -322,7 +438,11 @@ def parse_files(files: DataFrame, *, max_lines: int = MAX_LINES) -> DataFrame:
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        SPECS.update(specs)
+        # The worker's own module, not the copy of its globals that travels with this function.
+        from skein.sources import parse
+
+        parse.SPECS.update(specs)
+        parse.ANALYZERS.update(analyzers)
         for b in batches:
             rows: list[dict] = []
             for path, content in zip(b["file_path"].to_pylist(), b["content"].to_pylist(), strict=True):

@@ -400,6 +400,79 @@ def tree(tmp_path):
     return root
 
 
+FURTHER = {
+    'A.java': (
+        '/** Doc. */\npublic class A extends B {\n  // no doc\n  private int x = f(1);\n  /** Makes one. */\n  public A(int a) throws E {\n    super(a);\n    init(a);\n  }\n  abstract int m(int a);\n  int n() {\n    return new C(1);\n  }\n}\ninterface I {\n  void run(String s);\n}\n',
+        [(2, 'class', 'A', None), (6, 'constructor', 'A', 'A'), (10, 'method', 'm', 'A'), (11, 'method', 'n', 'A'), (15, 'interface', 'I', None), (16, 'method', 'run', 'I')],
+    ),
+    'a.go': (
+        'package a\n\n// Kinds.\nconst (\n\tOne = iota\n\tTwo, Three = 2, 3\n)\n\nvar (\n\tcache map[string]int\n)\n\ntype Store interface {\n\t// Get it.\n\tGet(key string) (int, error)\n\tio.Closer\n}\n\n// Put it.\nfunc (s *T) Put(a int) error {\n\treturn s.save(a)\n}\n',
+        [(5, 'const', 'One', None), (6, 'const', 'Two', None), (6, 'const', 'Three', None), (10, 'variable', 'cache', None), (13, 'interface', 'Store', None), (15, 'method', 'Get', 'Store'), (20, 'method', 'Put', 'T')],
+    ),
+    'a.swift': (
+        '/// A box.\nclass Box: Base {\n    // plain\n    required init?(coder: NSCoder) {\n        super.init(coder: coder)\n        items.forEach { use($0) }\n    }\n    func go() -> Int { return 1 }\n}\n',
+        [(2, 'class', 'Box', None), (4, 'constructor', 'init', 'Box'), (8, 'method', 'go', 'Box')],
+    ),
+    'a.c': (
+        '#include <x.h>\ntypedef struct point point_t;\nint add(int a, int b);\nstatic char *name(void);\nstruct s { int a; };\nint add(int a, int b) {\n  int r = sum(a, b);\n  return r;\n}\n',
+        [(2, 'struct', 'point', None), (2, 'type', 'point_t', None), (3, 'function', 'add', None), (4, 'function', 'name', None), (5, 'struct', 's', None), (6, 'function', 'add', None)],
+    ),
+    'a.cpp': (
+        'namespace n {\nclass Foo : public B {\n public:\n  explicit Foo(int a);\n  ~Foo();\n  virtual int bar(int) const = 0;\n  int size() const { return n_; }\n};\n}\nn::Foo::Foo(int a) : a_(a) {\n  init();\n}\nint n::Foo::bar(int x) const {\n  Foo f(1);\n  return g(x);\n}\nusing Id = int;\n',
+        [(1, 'namespace', 'n', None), (2, 'class', 'Foo', 'n'), (4, 'method', 'Foo', 'Foo'), (5, 'method', '~Foo', 'Foo'), (6, 'method', 'bar', 'Foo'), (7, 'method', 'size', 'Foo'), (10, 'method', 'Foo', 'Foo'), (13, 'method', 'bar', 'Foo'), (17, 'type', 'Id', None)],
+    ),
+    'a.dart': (
+        '/// A box.\nclass Box extends W {\n  static const max = 3;\n  final int n;\n  const Box(this.n);\n  Box.empty() : n = 0;\n  factory Box.of(int k) => Box(k);\n  int get size => n;\n  set size(int k) {\n    n = k;\n  }\n  void run(int a) {\n    go(a);\n  }\n  void stop();\n}\nenum Color { red, green(1), blue }\n',
+        [(2, 'class', 'Box', None), (3, 'const', 'max', 'Box'), (5, 'constructor', 'Box', 'Box'), (6, 'constructor', 'empty', 'Box'), (7, 'constructor', 'of', 'Box'), (8, 'method', 'size', 'Box'), (9, 'method', 'size', 'Box'), (12, 'method', 'run', 'Box'), (15, 'method', 'stop', 'Box'), (17, 'enum', 'Color', None), (17, 'enum_member', 'red', 'Color'), (17, 'enum_member', 'green', 'Color'), (17, 'enum_member', 'blue', 'Color')],
+    ),
+    'a.rb': (
+        '# A user.\nclass User < Base\n  include Auth\n  NAMES = 1\n  attr_accessor :name, :age\n  belongs_to :team\n  has_many :posts, dependent: :destroy\n  scope :active, -> { where(on: true) }\n  delegate :title, :size, to: :team, prefix: true\n  def self.make(x)\n    reset\n    puts "a"\n    obj.save!\n    new(x)\n  end\n  private\n  def hid\n    1\n  end\nend\n',
+        [(2, 'class', 'User', None), (4, 'constant', 'NAMES', 'User'), (5, 'method', 'name', 'User'), (5, 'method', 'age', 'User'), (6, 'method', 'team', 'User'), (7, 'method', 'posts', 'User'), (8, 'method', 'active', 'User'), (9, 'method', 'team_title', 'User'), (9, 'method', 'team_size', 'User'), (10, 'method', 'make', 'User'), (17, 'method', 'hid', 'User')],
+    ),
+    'a.cs': (
+        '#region A\n/// <summary>Doc</summary>\npublic class A {\n#if X\n  public A(int a) : base(a) {\n    Init();\n  }\n#endif\n  public int M(int a) => a;\n}\ninterface I {\n  void Run(int a);\n}\n',
+        [(3, 'class', 'A', None), (5, 'constructor', 'A', 'A'), (9, 'method', 'M', 'A'), (11, 'interface', 'I', None), (12, 'method', 'Run', 'I')],
+    ),
+    'a.kt': (
+        '/** K. */\nclass K {\n  constructor(a: Int) {\n    go(a)\n  }\n  fun run(): Int {\n    xs.map { it }\n    return 1\n  }\n}\n',
+        [(2, 'class', 'K', None), (3, 'constructor', 'constructor', 'K'), (6, 'method', 'run', 'K')],
+    ),
+}
+
+
+@pytest.mark.parametrize("path", FURTHER)
+def test_parse_further_declarations(path):
+    text_, want = FURTHER[path]
+    assert [(s["line_start"], s["type"], s["name"], s["parent"]) for s in parse_content(path, text_)] == want
+
+
+def test_parse_calls_docs_and_modifiers():
+    of = lambda path: {(s["name"], s["line_start"]): s for s in parse_content(path, FURTHER[path][0])}
+    ruby, go, swift, java, cpp, cs = (of(p) for p in ("a.rb", "a.go", "a.swift", "A.java", "a.cpp", "a.cs"))
+    assert ruby["make", 10]["dependencies"] == ["puts", "reset", "save!"] and ruby["hid", 17]["visibility"] == "private" and ruby["User", 2]["mixins"] == ["Auth"]
+    assert ruby["posts", 7]["modifiers"] == ["association:has_many"] and ruby["team_title", 9]["modifiers"] == ["delegated"]
+    assert go["Put", 20]["dependencies"] == ["save"] and go["Get", 15]["docstring"] == "Get it." and go["cache", 10]["visibility"] == "private"
+    assert swift["init", 4]["dependencies"] == ["forEach", "use"] and swift["init", 4]["docstring"] is None and swift["Box", 2]["docstring"] == "A box."
+    assert java["A", 6]["docstring"] == "Makes one." and java["A", 2]["docstring"] == "Doc."
+    assert cpp["bar", 13]["parent"] == "Foo" and cs["A", 5]["dependencies"] == ["Init"]
+
+
+def test_analyzers_come_first_and_fall_back(spark, rows):
+    from skein.sources import parse
+
+    def whole(text_):
+        if "odd" in text_:
+            raise RuntimeError
+        return [{"name": "whole", "type": "file", "line_start": 1}] if "mine" in text_ else None
+
+    parse.register_analyzer("kotlin", whole)
+    try:
+        files = spark.createDataFrame([("a.kt", "// mine\nfun a() {}\n"), ("b.kt", "fun b() {}\n"), ("c.kt", "// odd mine\nfun c() {}\n")], "file_path string, content string")
+        assert [(r[0], r[2], r[12]) for r in rows(parse_files(files))] == [("a.kt", "whole", "analyser"), ("b.kt", "b", "rules"), ("c.kt", "c", "rules")]
+    finally:
+        parse.ANALYZERS.pop("kotlin")
+
+
 def test_config(tree):
     assert config.tsconfig_aliases(str(tree)) == [resolve.Alias("@/*", ("src/*",))]
     assert config.pyproject_aliases(str(tree)) == [resolve.Alias("core/*", ("src/*",))]
