@@ -39,7 +39,8 @@ UNIT, NAME, UNKNOWN = 1, 2, 0
 #: Anything short in angle brackets that begins with a letter, and tags with attributes of any length.
 _TAGS = re.compile(r"""</?[A-Za-z][^<>]{0,200}>|</?[A-Za-z][\w:.-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'|[^\s"'<>=`]++))?)*+\s*+/?>|<!--.*?-->""", re.S)
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
-_NAME = re.compile(r"(?<![^\W\d_])(?:[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)+|[A-Za-z]+(?:_+[A-Za-z]+)+)(?![^\W\d_])")
+_INNER = re.compile(r"[a-z][A-Z]|[A-Za-z]_+[A-Za-z]")
+_LETTERS = re.compile(r"(?:[^\W\d])*")
 _PIECE = re.compile(r"[^\W\d_]+(?:_+[^\W\d_]+)*|\d+")
 
 
@@ -64,7 +65,15 @@ def canonical(text: str) -> tuple[list[str], list[tuple[int, str]]]:
 
 def names_of(text: str) -> set[str]:
     """The words of a text that are spelt as identifiers, as ``canonical`` gives them."""
-    return {m.replace("_", "").lower() for m in _NAME.findall(text)}
+    out, end = set(), 0
+    for m in _INNER.finditer(text):
+        if m.start() < end:
+            continue
+        first, end = m.start(), _LETTERS.match(text, m.end()).end()
+        while first and (text[first - 1] == "_" or text[first - 1].isalpha()):
+            first -= 1
+        out.add(text[first:end].replace("_", "").lower())
+    return out
 
 
 class Index:
