@@ -48,6 +48,19 @@ class CodeIndex:
         stats = {k: _decoded(v) for k, v in ((row and row["stats"]) or {}).items()}
         return cls(spark, files, symbols, (row and row["root"]) or "", stats)
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> CodeIndex:
+        """From tables written by ``write``."""
+        about = json.loads(spark.read.text(f"{folder}/about").first()[0])
+        return cls(spark, spark.read.parquet(f"{folder}/files"), spark.read.parquet(f"{folder}/symbols"), about["root"], about["stats"])
+
+    def write(self, folder: str) -> None:
+        """The index as tables in any shared folder, for indexes that one JSON document cannot hold; nothing is collected."""
+        self.files.write.mode("overwrite").parquet(f"{folder}/files")
+        self.symbols.write.mode("overwrite").parquet(f"{folder}/symbols")
+        about = json.dumps({"version": codec.INDEX_VERSION, "root": self.root, "stats": self.stats})
+        self.spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/about")
+
     def rescan(self, old_map: str, **options) -> CodeIndex:
         """Scan again, parsing only files whose hash is not the stored one; another map version parses all."""
         before = codec.read_map(self.spark, old_map)

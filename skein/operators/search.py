@@ -38,6 +38,15 @@ def _similarity(names: pd.Series, query: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def _common_letters(name: Column, query: str) -> Column:
+    """Letters that a name shares with the query, each as often as both hold it: no matching has more."""
+    shared = F.lit(0)
+    for letter in sorted(set(query)):
+        held = F.length(name) - F.length(F.replace(name, F.lit(letter), F.lit("")))
+        shared = shared + F.least(held, F.lit(query.count(letter)))
+    return shared
+
+
 def _wanted(symbols: DataFrame, symbol_type: str | None, file_pattern: str | None) -> DataFrame:
     if symbol_type is not None:
         symbols = symbols.where(F.col("type") == symbol_type)
@@ -89,8 +98,9 @@ def search_symbols(
         scored = rest.withColumn("score", native)
         near = scored.where("score is not null")
         if similarity and q:
-            # Python sees different names only, once each, and only those long enough to reach one half.
-            names = scored.where(F.col("score").isNull() & (2.0 * F.least(length, F.lit(len(q))) > 0.5 * (length + len(q)))).select("name_lower").distinct()
+            # Python sees different names only, once each, and only those whose length and letters can reach one half.
+            long_enough = scored.where(F.col("score").isNull() & (2.0 * F.least(length, F.lit(len(q))) > 0.5 * (length + len(q))))
+            names = long_enough.select("name_lower").distinct().where(2.0 * _common_letters(F.col("name_lower"), q) > 0.5 * (length + len(q)))
             ratios = names.withColumn("ratio", _similarity("name_lower", F.lit(q))).where("ratio > 0.5")
             far = scored.where("score is null").drop("score").join(ratios, "name_lower").withColumn("score", 0.6 * F.col("ratio")).drop("ratio")
             near = near.unionByName(far)
