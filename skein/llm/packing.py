@@ -10,11 +10,12 @@ packed again, together, in far fewer tasks.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +46,16 @@ def _encoding(path: str, pattern: str):
 
 
 def token_counts(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """``(doc_id, n_tokens)`` of each row by the tokenizer file at ``tokenizer``; a null text has 0 tokens."""
+    """``(doc_id, n_tokens)`` of each row by the tokenizer file at ``tokenizer``; a null text has 0 tokens.
+
+    The file need only be where the driver runs: executors that do not see it get it from there.
+    """
+    name = os.path.basename(tokenizer)
+    if os.path.exists(tokenizer):
+        documents.sparkSession.sparkContext.addFile(tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer, pattern).encode_ordinary
+        encode = _encoding(tokenizer if os.path.exists(tokenizer) else SparkFiles.get(name), pattern).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
