@@ -9,6 +9,7 @@ from skein.plans.code_queries import _CANON, _GRAPH, _KEYS, _MAPPED, _SYM, _conv
 from skein.plans.code_queries import ORACLE as CODE_SQL
 from skein.sources.imports import raw_imports
 from skein.sources.languages import language_table
+from skein.sources.parse import parse_files
 from skein.sources.tables import table
 
 QUERIES: dict = {}
@@ -160,3 +161,64 @@ union select distinct 'called_by', file_path, name, line_start from symbols wher
 def callees_in_folder(spark, sf_dir):
     """What one symbol calls and who calls it, in paths that contain a text."""
     return search.dependencies_of(_symbols(spark, sf_dir), "merge_stream_gap", file_contains="/src/")
+
+
+# The recorded symbols of the tables are what a scan of the same files finds, but for constants, which they hold in part.
+
+_VALUES = ("constant", "const", "variable", "type", "type_alias")
+
+
+def _recorded_sql(columns: str, suffixes: str, where: str = "true") -> str:
+    return f"""select distinct {columns} from symbols where regexp_matches(file_path, '\\.({suffixes})$') and type not in {_VALUES} and name is not null and line_start is not null and {where}
+and file_path in (select file_path from files where content is not null)"""
+
+
+def _parsed(spark, sf_dir, suffixes: str):
+    """Symbols that parsing finds in the files of some suffixes."""
+    files = table(spark, sf_dir, "files").where(F.col("file_path").rlike(rf"\.({suffixes})$"))
+    return parse_files(files).where(~F.col("type").isin(*_VALUES))
+
+
+def _where_recorded(spark, sf_dir, found, column: str):
+    """Rows whose recorded symbol tells the column: the tables have nulls in optional fields."""
+    told = _symbols(spark, sf_dir).where(F.col(column).isNotNull()).select("file_path", "name", "line_start").distinct()
+    return found.join(told, ["file_path", "name", "line_start"], "left_semi").select("file_path", "name", "line_start", column).distinct()
+
+
+_PLACE = ["file_path", "name", "type", "line_start", "line_end", "parent"]
+
+
+@query(_recorded_sql(", ".join(_PLACE), "py"))
+def parse_python_symbols(spark, sf_dir):
+    """Classes, functions and methods of Python, by the syntax tree."""
+    return _parsed(spark, sf_dir, "py").select(*_PLACE).distinct()
+
+
+@query(_recorded_sql(", ".join(_PLACE), "java|rs|rb|c|h"))
+def parse_rules_symbols(spark, sf_dir):
+    """Symbols of Java, Rust, Ruby and C, by rules."""
+    return _parsed(spark, sf_dir, "java|rs|rb|c|h").select(*_PLACE).distinct()
+
+
+@query(_recorded_sql(", ".join(_PLACE), "ts|tsx|jsx"))
+def parse_script_symbols(spark, sf_dir):
+    """Symbols of TypeScript and of scripts with markup, by rules."""
+    return _parsed(spark, sf_dir, "ts|tsx|jsx").select(*_PLACE).distinct()
+
+
+@query(_recorded_sql("file_path, name, line_start, line_end", "go"))
+def parse_go_symbols(spark, sf_dir):
+    """Symbols of Go, by rules."""
+    return _parsed(spark, sf_dir, "go").select("file_path", "name", "line_start", "line_end").distinct()
+
+
+@query(_recorded_sql("file_path, name, line_start, signature", "py|java|rs|rb|c|h|ts|tsx|jsx|go", "signature is not null"))
+def parse_signatures(spark, sf_dir):
+    """First lines of declarations, cut to their length."""
+    return _where_recorded(spark, sf_dir, _parsed(spark, sf_dir, "py|java|rs|rb|c|h|ts|tsx|jsx|go"), "signature")
+
+
+@query(_recorded_sql("file_path, name, line_start, docstring", "py|java|rs|rb|c|h", "docstring is not null"))
+def parse_docstrings(spark, sf_dir):
+    """The first lines of documentation."""
+    return _where_recorded(spark, sf_dir, _parsed(spark, sf_dir, "py|java|rs|rb|c|h"), "docstring")

@@ -95,7 +95,7 @@ for _spec in (
     LanguageSpec("typescript", {"class": "class", "interface": "interface", "type": "type", "enum": "enum", "namespace": "namespace"}, ("function", "function*"), _JAVAISH, bare=True, strings=_JS_STRINGS, values=_ARROW, returns=r"\)\s*:\s*([^{=]+?)\s*(?:\{|=>|$)"),
     LanguageSpec("java", {"class": "class", "interface": "interface", "enum": "enum", "record": "class", "@interface": "interface"}, (), _JAVAISH, typed=True, doc="/**", more=(("constructor", rf"^[ \t]++{_ANY}({_ID})\s*{_ARGS}\s*(?:throws\s+[\w., ]+)?(?=\{{)", "own"), ("method", rf"^[ \t]++{_ANY}(?!(?:return|new|throw|else|case)\b)[A-Za-z_][\w.<>,\[\]? ]*?\s({_ID})\s*{_ARGS}\s*(?:throws\s+[\w., ]+)?(?=;)", "outer"))),
     LanguageSpec("csharp", {"class": "class", "interface": "interface", "enum": "enum", "struct": "struct", "record": "class", "namespace": "namespace", "delegate": "type"}, (), _JAVAISH, typed=True, comment=r"//[^\n]*|/\*.*?(?:\*/|\Z)|^[ \t]*#[^\n]*", doc="///", more=(("constructor", rf"^[ \t]++{_ANY}({_ID})\s*{_ARGS}\s*(?::\s*(?:base|this)\s*{_ARGS}\s*)?(?=\{{|=>)", "own"), ("method", rf"^[ \t]++{_ANY}(?!(?:return|new|throw|else|case|await)\b)[A-Za-z_][\w.<>,\[\]? ]*?\s({_ID})\s*{_ARGS}\s*(?=;)", "outer"))),
-    LanguageSpec("go", {}, ("func",), (), doc="//", lists=((r"^(?:const)\s*\(", "const", r"^[ \t]+([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)[ \t]*(?:=|$|[\w.*\[\]]+[ \t]*(?:=|$))"), (r"^(?:var)\s*\(", "variable", r"^[ \t]+([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)[ \t]+\S"), (r"^type\s+(\w+)(?:\[[^\]]*\])?\s+interface\s*\{", "method", r"^[ \t]+([A-Za-z_]\w*)\(")), strings=r'"(?:\\.|[^"\\\n])*"?|`[^`]*`?|\'(?:\\.|[^\'\\\n])*\'', private=lambda n, b: n[:1].islower(), returns=r"\)\s*((?:\([^()]*\)|[\w*\[\].]+(?:\[[^\]]*\])?[\w*.]*))\s*(?:\{|$)"),
+    LanguageSpec("go", {}, ("func",), (), lists=((r"^(?:const)\s*\(", "const", r"^[ \t]+([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)[ \t]*(?:=|$|[\w.*\[\]]+[ \t]*(?:=|$))"), (r"^(?:var)\s*\(", "variable", r"^[ \t]+([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)[ \t]+\S"), (r"^type\s+(\w+)(?:\[[^\]]*\])?\s+interface\s*\{", "method", r"^[ \t]+([A-Za-z_]\w*)\(")), strings=r'"(?:\\.|[^"\\\n])*"?|`[^`]*`?|\'(?:\\.|[^\'\\\n])*\'', private=lambda n, b: n[:1].islower(), returns=r"\)\s*((?:\([^()]*\)|[\w*\[\].]+(?:\[[^\]]*\])?[\w*.]*))\s*(?:\{|$)"),
     LanguageSpec("rust", {"struct": "struct", "enum": "enum", "trait": "trait", "impl": "impl", "mod": "module", "type": "type", "union": "union"}, ("fn",), _JAVAISH, strings=r'r(?P<h>#*)"(?s:.*?)"(?P=h)|"(?:\\.|[^"\\])*"?|\'(?:\\[^\n]+?|[^\'\\\n])\'', private=lambda n, b: "pub" not in b, returns=r"->\s*([^{;]+?)\s*(?:where\b|\{|;|$)"),
     LanguageSpec("c", {"struct": "struct", "enum": "enum", "union": "union"}, (), ("typedef", "static", "extern", "inline", "const"), typed=True, more=(("function", _PROTOTYPE, "outer"), ("type", rf"^typedef\b[^;{{}}]*?\b({_ID})\s*;", "outer"), ("type", rf"^\}}\s*({_ID})\s*;", "outer"))),
     LanguageSpec("cpp", {"class": "class", "struct": "struct", "enum": "enum", "union": "union", "namespace": "namespace"}, (), ("typedef", "static", "extern", "inline", "const", "virtual", "template", "explicit"), typed=True, more=(("function", _PROTOTYPE, "outer"), ("method", rf"^[ \t]++(?:explicit\s+|inline\s+|virtual\s+|constexpr\s+)*+(~?{_ID})\s*{_ARGS}[^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*(?=[;{{])", "own"), ("method", rf"^(?:\w+::)*(?P<owner>\w+)::(~?{_ID})\s*{_ARGS}[^;{{}}]*(?=\{{)", "outer"), ("type", rf"^[ \t]*using\s+({_ID})\s*=", "outer"), ("type", rf"^typedef\b[^;{{}}]*?\b({_ID})\s*;", "outer"))),
@@ -123,7 +123,7 @@ def _symbol(**x) -> dict:
 def _short_doc(text: str | None) -> str | None:
     if not text:
         return None
-    lines = text.strip().splitlines()
+    lines = [x.rstrip() for x in text.strip().splitlines()]
     return "\n".join(lines[:DOC_LINES]) + ("..." if len(lines) > DOC_LINES else "") if lines else None
 
 
@@ -346,8 +346,9 @@ def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> lis
     for m in re.finditer("\n", plain):
         starts.append(m.end())
     found: dict[tuple[int, str], dict] = {}
-    for kind, pattern in rules:
+    for rule, pattern in rules:
         for m in pattern.finditer(plain):
+            kind = rule
             group = pattern.groups
             name = m.group(group)
             # Only forms without a keyword can be mistaken for a statement.
@@ -358,10 +359,11 @@ def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> lis
                 continue
             last, cut = _end(lines, first, spec.block, max_lines) if kind not in ("constant", "const", "variable", "type_alias") else (first, False)
             owner = m.groupdict().get("owner")
+            kind = "function" if kind == "arrow" and m.group().endswith("function") else kind
             before = plain[m.start() : m.start(group)]
             private = spec.private(name, before)
             found[first, name] = _symbol(
-                name=name, type=kind, line_start=first + 1, line_end=last + 1, signature=original[first].strip()[:SIGNATURE].rstrip("{ ").rstrip(),
+                name=name, type=kind, line_start=first + 1, line_end=last + 1, signature=original[first].strip().rstrip("{ ").rstrip()[:SIGNATURE],
                 parent=owner, truncated=cut, source="rules", visibility="private" if private else None,
                 modifiers=[w for w in re.findall(r"[\w#]+", before) if w in spec.modifiers] or None,
             )
@@ -371,7 +373,7 @@ def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> lis
         last, cut = (first, False) if short else _end(lines, first, spec.block, max_lines)
         private = spec.private(name, plain[begin:at])
         found[first, name] = _symbol(
-            name=name, type=kind, line_start=first + 1, line_end=last + 1, signature=original[first].strip()[:SIGNATURE].rstrip("{ ").rstrip(),
+            name=name, type=kind, line_start=first + 1, line_end=last + 1, signature=original[first].strip().rstrip("{ ").rstrip()[:SIGNATURE],
             parent=owner, truncated=cut, source="rules", visibility="private" if private else None, modifiers=[w for w in re.findall(r"[\w#]+", plain[begin:at]) if w in spec.modifiers or w in ("get", "set")] or None,
         )
         return found[first, name]
@@ -395,7 +397,7 @@ def parse_text(text: str, spec: LanguageSpec, max_lines: int = MAX_LINES) -> lis
             i -= 1
         if spec.doc == "/**" and doc and not comments[i + 1].startswith("/**"):
             doc = []
-        s["docstring"] = _short_doc("\n".join(x for x in reversed(doc) if x)) if doc else None
+        s["docstring"] = _short_doc("\n".join(reversed(doc))) if doc else None
         if s["type"] in ("function", "method", "arrow", "constructor") and s["line_end"] >= s["line_start"]:
             body = "\n".join(lines[s["line_start"] - 1 : s["line_end"]])
             called = set(_CALL.findall(body))
