@@ -49,6 +49,9 @@ def _holds_records(text: Column) -> Column:
     return F.startswith(text, F.lit("{")) & F.coalesce(*[F.when(probe[k].rlike(r"^\s*[{\[]"), True) for k in KNOWN[:2]], F.lit(False))
 
 
+#: Brackets that a type may nest.
+MOST_TYPED = 64
+_STRINGS = re.compile(r'"(?:[^"\\]|\\.)*"')
 _BLANK = re.compile(r"[ \t\r\n]*")
 _DECODER = json.JSONDecoder(strict=False)
 
@@ -170,20 +173,26 @@ def _decode_deep(texts: pa.Array) -> pa.Array:
     """Members below the typed levels, all levels at once: the texts as one stream of JSON lines, read into typed columns.
 
     The type goes as deep as brackets nest.  Where values are not of that type
-    (a number for a name, an object for a list), one level is decoded by value.
+    (a number for a name, an object for a list) or nest deeper than MOST_TYPED
+    brackets, one level is decoded by value, and the rest comes back here.
     """
     lines = pc.replace_substring(pc.fill_null(pc.if_else(pc.equal(pc.fill_null(texts, ""), ""), None, texts), "null"), "\n", " ")
     stream = "\n".join(pc.binary_join_element_wise('{"m":', lines, "}", "").to_pylist())
     kind: list[tuple] = [("name", pa.string()), ("deps", pa.list_(pa.string()))]
-    for _ in range(_depth(stream) // 2):
+    depth = _depth(stream)
+    if depth > MOST_TYPED:
+        depth = _depth(_STRINGS.sub('""', stream))
+    if depth > MOST_TYPED:
+        return _decode_level(texts)
+    for _ in range(depth // 2):
         kind = [*kind[:2], ("members", pa.list_(pa.struct(kind)))]
     shape = pa.schema([kind[2] if len(kind) > 2 else ("members", pa.list_(pa.struct(kind)))]).field(0)
     try:
         found = pj.read_json(
-            pa.BufferReader(stream.encode("utf-8", "surrogatepass")), pj.ReadOptions(use_threads=False, block_size=max(1 << 20, 4 * len(stream) + 64)),
+            pa.BufferReader(stream.encode("utf-8", "surrogatepass")), pj.ReadOptions(use_threads=False, block_size=min(max(1 << 20, 4 * len(stream) + 64), 2**31 - 1)),
             pj.ParseOptions(explicit_schema=pa.schema([("m", shape.type)]), unexpected_field_behavior="ignore"),
         )
-    except pa.ArrowInvalid:
+    except (pa.ArrowException, OverflowError):
         return _decode_level(texts)
     return found["m"].combine_chunks() if found.num_rows == len(texts) else _decode_level(texts)
 

@@ -241,6 +241,15 @@ def test_drift_steps_too_many_to_send(spark, rows, monkeypatch):
     assert (rows(schema_changes(open_records(data, "f", "b", "p", "sid"))), [repr(r) for r in rows(consistent_records(data, "f", "b", "p", "sid"))]) == want
 
 
+def test_members_deeper_than_types_and_brackets_in_strings(spark, rows):
+    deep = {"name": "[" * 5000, "deps": ["{" * 99]}
+    for k in range(60):
+        deep = {"name": str(k), "members": [deep]}
+    raw = spark.createDataFrame([(1, json.dumps({"files": {"a": {"symbols": [deep]}}}), T0)], "raw_id long, payload string, received_at timestamp")
+    got = rows(flatten_maps(raw))
+    assert sum(r[1] == "symbol" for r in got) == 61 and sum(r[1] == "dep" for r in got) == 1 and any(r[4] == "[" * 5000 for r in got)
+
+
 @pytest.mark.parametrize("odd", [None, 7, {"x": 1}, [["a"]], "2024-01-01"])
 @pytest.mark.parametrize("depth", [2, 3, 4, 5, 9, 14])
 def test_members_to_any_depth(spark, rows, depth, odd):
