@@ -98,7 +98,7 @@ def main(argv: list[str] | None = None) -> int:
     from skein.api import CodeIndex
     from skein.functions.patterns import parse_line_spec
     from skein.operators import diff, lines, search
-    from skein.render.text import export
+    from skein.render.text import coverage_line, export
     from skein.sources.ignore import DEFAULT_RULES
 
     spark = SparkSession.builder.appName("skein").getOrCreate()
@@ -126,6 +126,8 @@ def main(argv: list[str] | None = None) -> int:
         gaps = diff.coverage_gaps(diff.coverage_by_language(index.files, index.symbols)).collect()
         for g in gaps:
             print(f"no symbols found in {g['files']} files of {g['language']}", file=sys.stderr)
+        causes = {k.removeprefix("skipped_"): v for k, v in index.stats.items() if k.startswith("skipped_")}
+        print(coverage_line(out["stats"]["files_processed"], index.stats.get("unmapped_extensions", {}), causes, [g["language"] for g in gaps]), file=sys.stderr)
         return 2 if gaps else 0
     if not os.path.exists(args.map):
         print(f"no map at {args.map}; make one with: skein map PATH", file=sys.stderr)

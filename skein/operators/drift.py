@@ -8,7 +8,6 @@ its feed into one consistent table.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,14 +154,20 @@ def schema_changes(records: DataFrame) -> DataFrame:
     return added.unionByName(removed).unionByName(retyped)
 
 
-def _chain(steps: pd.DataFrame) -> pd.DataFrame:
-    """Names a feed has used, each with the first batch of its use and the name it began as."""
-    origin: dict[str, str] = {}
-    out = []
-    for batch, old, new in steps.sort_values(["batch", "old"])[["batch", "old", "new"]].itertuples(index=False):
-        origin[new] = origin.get(old, old)
-        out.append((steps["feed"].iloc[0], batch, new, origin[new]))
-    return pd.DataFrame(out, columns=["feed", "batch", "key", "first_name"])
+def _chained(steps: DataFrame) -> DataFrame:
+    """``(feed, routes)``: names each feed has used, in order: the first batch of their use and the name they began as.
+
+    One array for each feed, as long as it has renamed keys.
+    """
+    ordered = steps.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("batch", "old", "new"))).alias("s"))
+    none = F.array().cast("array<struct<batch:bigint,key:string,first_name:string>>")
+
+    def add(known: Column, step: Column) -> Column:
+        earlier = F.filter(known, lambda u: u["key"] == step["old"])
+        origin = F.coalesce(F.get(earlier, F.size(earlier) - 1)["first_name"], step["old"])
+        return F.concat(known, F.array(F.struct(step["batch"].alias("batch"), step["new"].alias("key"), origin.alias("first_name"))))
+
+    return ordered.select("feed", F.aggregate("s", none, add).alias("routes"))
 
 
 def consistent_records(raw: DataFrame, feed: str, batch: str, payload: str, identity: str, target=None) -> DataFrame:
@@ -181,16 +186,14 @@ def consistent_records(raw: DataFrame, feed: str, batch: str, payload: str, iden
     ensure_checkpoint_dir(raw.sparkSession)
     records = open_records(raw, feed, batch, payload, identity)
     steps = renames(records, fingerprints(records).checkpoint()).select("feed", F.col("batch").cast("long"), "old", "new")
-    # The steps of one feed: as many as it has renamed keys, far below a task's memory.
-    named = steps.groupBy("feed").applyInPandas(_chain, "feed string, batch long, key string, first_name string")
-    uses = named.groupBy("feed", "key").agg(F.array_sort(F.collect_list(F.struct("batch", "first_name"))).alias("uses"))
-    routes = uses.groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("key", "uses"))).alias("routes")).checkpoint()
+    routes = _chained(steps).checkpoint()
     kept = raw.where(F.col(feed).isNotNull() & F.col(batch).isNotNull()).select(
         F.col(feed).alias("feed"), F.col(batch).alias("batch"), F.get_json_object(payload, f"$.{identity}").alias("sid"), F.col(payload).alias("p")
     )
     one = kept.where("sid is not null").repartition("feed", "batch", "sid").groupBy("feed", "batch", "sid").agg(F.max("p").alias("p"))
     routed = one.join(small_side(routes), "feed", "left").select("feed", "batch", "sid", "routes", F.from_json("p", "map<string,variant>").alias("m"))
-    latest = lambda key: F.element_at(F.filter(F.try_element_at("routes", key), lambda u: u["batch"] <= F.col("batch")), -1)["first_name"]
+    used = lambda key: F.filter("routes", lambda u: (u["key"] == key) & (u["batch"] <= F.col("batch")))
+    latest = lambda key: F.get(used(key), F.size(used(key)) - 1)["first_name"]
     entry = lambda e: F.struct(F.coalesce(latest(e["key"]), e["key"]).alias("field"), latest(e["key"]).isNull().alias("own"), _text(e["value"]).alias("v"))
     entries = F.filter(F.array_sort(F.transform(F.map_entries("m"), entry)), lambda e: e["field"] != identity)
     routed = routed.withColumn("e", entries)

@@ -100,6 +100,17 @@ def resolve_relative(spark, sf_dir):
     return resolve.resolve_imports(asked, table(spark, sf_dir, "file_nodes").select("path"))
 
 
+@query(f"""with {_KEYS}, i as (select distinct raw_import as spec from import_edges where raw_import is not null),
+h as (select spec, min(path) as path from i join keys on starts_with(spec, 'net.') and key = 'shared-commons/net/' || substr(spec, 5) where kind in ('exact', 'no_ext', 'index') group by spec)
+select spec, path, case when path is null then 'not_found' else 'alias' end as strategy from i left join h using (spec)""")
+def alias_all(spark, sf_dir):
+    """All imports against one alias of the shared library; those of other form are not found by it."""
+    edges = table(spark, sf_dir, "import_edges").where("raw_import is not null").select(F.lit("-").alias("src"), F.col("raw_import").alias("spec"), F.lit("").alias("language"))
+    found = resolve.resolve_imports(edges, table(spark, sf_dir, "file_nodes").select("path"), aliases=[resolve.Alias("net.*", ("shared-commons/net/*",))])
+    by_alias = F.col("strategy") == "alias"
+    return found.select("spec", F.when(by_alias, F.col("path")).alias("path"), F.when(by_alias, "alias").otherwise("not_found").alias("strategy"))
+
+
 @query("""with m as (select distinct file_path, parent as class_name, sym_ord, line_start, name from symbols where type = 'method' and parent is not null),
 r as (select *, row_number() over (partition by file_path, class_name order by sym_ord, line_start, name) as k from m)
 select file_path, class_name, count(*) as n_methods, coalesce(string_agg(name, ', ' order by k) filter (where k <= 3), '') as methods from r group by all""")

@@ -511,6 +511,15 @@ def test_index_end_to_end(spark, tree, tmp_path):
         api.inside(str(tree), "../x")
 
 
+def test_index_tables(spark, tmp_path, rows):
+    source = spark.createDataFrame([("a.py", "def f():\n    return g()\n", "h")], "file_path string, content string, hash string")
+    index = api.CodeIndex(spark, source, parse_files(source), "/r", {"files_skipped": 2})
+    index.write(str(tmp_path / "index"))
+    again = api.CodeIndex.open(spark, str(tmp_path / "index"))
+    assert (again.root, again.stats) == ("/r", {"files_skipped": 2}) and rows(again.symbols.select("name", "dependencies")) == [("f", ["g"])]
+    assert again.files.first()["hash"] == "h"
+
+
 def test_scan_budget_and_causes(spark, tree):
     stats: dict = {}
     assert listing.list_tree(spark, str(tree), budget=-1.0, stats=stats).count() == 0 and stats["scan_timeout"] is True
