@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from skein.plans import code_queries, data_queries
+from skein.plans import code_queries, data_queries, index_queries
 from tests.compare import compare, duck
 
-NAMES = [*code_queries.QUERIES, *data_queries.QUERIES]
+NAMES = [*code_queries.QUERIES, *index_queries.QUERIES, *data_queries.QUERIES]
 
 
 @pytest.fixture(scope="module")
